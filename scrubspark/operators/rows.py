@@ -6,12 +6,13 @@ duplicate is "first") take an explicit ``order_by``, since a Spark table has no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubspark.contracts import (field_type, is_numeric, is_string, qcol, require_numeric, resolve_column,
+from scrubspark.contracts import (field_type, is_integral, is_numeric, is_string, qcol, require_numeric, resolve_column,
                                   resolve_columns)
 from scrubspark.functions.parse import missing, text_form, to_number
 from scrubspark.functions.stats import DEFAULT_ACCURACY, iqr_bounds
@@ -86,8 +87,13 @@ def filter_rows(df: DataFrame, column: str, condition: str, value=None) -> DataF
         except (TypeError, ValueError):
             raise ValueError(f"Condition '{condition}' requires a numeric column and numeric value.") from None
         if is_numeric(dt):
-            # Written so the scan can take it: keep = not-matching OR null OR NaN.
-            keep = (col <= F.lit(v)) if condition == "greater_than" else (col >= F.lit(v))
+            # Written so the scan can take it: keep = not-matching OR null (OR NaN). On an
+            # integer column the bound is an integer literal (c > 2.5 <=> c > 2), so the
+            # column is not cast and the predicate reaches Parquet.
+            bound = F.lit(v)
+            if is_integral(dt) and math.isfinite(v) and abs(v) < 2 ** 62:
+                bound = F.lit(math.floor(v) if condition == "greater_than" else math.ceil(v)).cast(dt)
+            keep = (col <= bound) if condition == "greater_than" else (col >= bound)
             keep = keep | missing(col, dt)
         else:
             num = to_number(col, dt)

@@ -69,24 +69,27 @@ def compute_correlation(df: DataFrame, method: str = "pearson", threshold: float
     return _report(values, pairs, threshold)
 
 
-def _ranks(cells: DataFrame, side: str) -> DataFrame:
-    """(k, value, avg_rank, dense_rank) for one side of every pair."""
-    distinct = cells.groupBy("k", F.col(side).alias("value")).agg(F.sum("cnt").alias("c"))
+def _ranks(cells: DataFrame, sides: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """(k, side, value, avg_rank, dense_rank) for the given sides of every pair, from one
+    segmented prefix count over the distinct values of each (pair, side)."""
+    items = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in sides])
+    long = cells.select("k", "cnt", F.explode(items).alias("e")).select("k", "e.side", "e.value", "cnt")
+    distinct = long.groupBy("k", "side", "value").agg(F.sum("cnt").alias("c"))
     distinct = distinct.withColumn("one", F.lit(1).cast("long"))
-    ps = prefix_sums(distinct, ["value"], ["c", "one"], segment_cols=["k"])
-    return ps.select("k", "value", (F.col("c_before") + (F.col("c") + 1) / 2.0).alias("avg_rank"),
+    ps = prefix_sums(distinct, ["value"], ["c", "one"], segment_cols=["k", "side"])
+    return ps.select("k", "side", "value", (F.col("c_before") + (F.col("c") + 1) / 2.0).alias("avg_rank"),
                      F.col("one_before").alias("dense_rank"))
 
 
 def _spearman(cells: DataFrame) -> DataFrame:
-    rx = _ranks(cells, "x").select("k", F.col("value").alias("x"), F.col("avg_rank").alias("rx"))
-    ry = _ranks(cells, "y").select("k", F.col("value").alias("y"), F.col("avg_rank").alias("ry"))
+    ranks = _ranks(cells)
+    rx = ranks.where(F.col("side") == "x").select("k", F.col("value").alias("x"), F.col("avg_rank").alias("rx"))
+    ry = ranks.where(F.col("side") == "y").select("k", F.col("value").alias("y"), F.col("avg_rank").alias("ry"))
     ranked = cells.join(rx, ["k", "x"]).join(ry, ["k", "y"])
     w = F.col("cnt").cast("double")
-    per = ranked.groupBy("k").agg(F.sum(w).alias("n"), F.sum(w * F.col("rx")).alias("sx"),
-                                  F.sum(w * F.col("ry")).alias("sy"))
     # center on the exact mean rank (n + 1) / 2 for numerical stability
-    centered = ranked.join(per.select("k", ((F.col("n") + 1) / 2.0).alias("mid")), "k")
+    per = cells.groupBy("k").agg(((F.sum(w) + 1) / 2.0).alias("mid"))
+    centered = ranked.join(per, "k")
     dx, dy = F.col("rx") - F.col("mid"), F.col("ry") - F.col("mid")
     mom = centered.groupBy("k").agg(F.sum(w * dx * dy).alias("sxy"), F.sum(w * dx * dx).alias("sxx"),
                                     F.sum(w * dy * dy).alias("syy"))
@@ -102,7 +105,7 @@ def _kendall(cells: DataFrame) -> DataFrame:
     ty = (cells.groupBy("k", "y").agg(F.sum(cnt).alias("t")).groupBy("k")
           .agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2")))
     # dense rank of y per pair, then bit levels
-    ry = _ranks(cells, "y").select("k", F.col("value").alias("y"), F.col("dense_rank").alias("r"))
+    ry = _ranks(cells, ("y",)).select("k", F.col("value").alias("y"), F.col("dense_rank").alias("r"))
     ranked = cells.join(ry, ["k", "y"])
     top_rank = ranked.agg(F.max("r")).first()[0] or 0
     levels = max(1, int(top_rank).bit_length())

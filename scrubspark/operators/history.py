@@ -28,17 +28,21 @@ def fold_older_turns(df: DataFrame, keys: Sequence[str], order_by: str, role_col
     and are joined into a ``role: text`` transcript (one line per turn, in order).
 
     Returns (kept turns, folded transcripts per key with the number of folded turns).
-    The group count is a map-side combined ``groupBy`` joined back (a hot key is split by
-    AQE's skew join); each transcript is one output cell, so it is assembled per key.
+    A turn's place from the end is its group count minus its position, and the position is
+    a segmented prefix count (``plans.ordered``), so a hot conversation is ranked across
+    tasks rather than sorted in one. Each transcript is one output cell, so it is assembled
+    per key. Key columns must be non-null.
     """
+    from scrubspark.plans.ordered import prefix_sums
+
     ks = resolve_columns(df, keys)
     o = resolve_column(df, order_by)
     role, text = resolve_column(df, role_col), resolve_column(df, text_col)
     counts = df.groupBy(*[F.col(qcol(k)) for k in ks]).agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.partitionBy(*[F.col(qcol(k)) for k in ks]).orderBy(F.col(qcol(o)).desc())
-    ranked = df.join(counts, ks).withColumn("__from_end", F.row_number().over(w))
+    pos = prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), [o], ["__one"], segment_cols=ks)
+    ranked = pos.join(counts, ks).withColumn("__from_end", F.col("__cnt") - F.col("__one_before"))
     older = (F.col("__cnt") > trigger) & (F.col("__from_end") > keep)
-    kept = ranked.where(~older).drop("__cnt", "__from_end")
+    kept = ranked.where(~older).select(*[F.col(qcol(c)) for c in df.columns])
     lines = ranked.where(older).select(*ks, F.struct(F.col(qcol(o)).alias("o"), F.concat_ws(
         ": ", F.col(qcol(role)), F.col(qcol(text))).alias("line")).alias("e"))
     folded = lines.groupBy(*ks).agg(F.count(F.lit(1)).alias("n_folded"),

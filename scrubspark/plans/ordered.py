@@ -7,8 +7,9 @@ computes the same running totals with every task bounded:
 1. ``repartitionByRange`` on (segment, order) splits the ordered sequence into ``P``
    contiguous ranges (a hot segment spans several ranges), sorted within each range;
 2. one ``mapInPandas`` pass computes running totals inside each range;
-3. the result is checkpointed to the shared checkpoint folder, so the sampled range bounds
-   and the local totals are fixed once (and lineage is cut for executor loss);
+3. the result is written as a Parquet table under the shared checkpoint folder, so the
+   sampled range bounds and the local totals are fixed once and lineage is cut (an executor
+   lost later re-reads the table instead of re-running the range shuffle);
 4. a per-range summary (``P`` rows: first segment, last segment, last segment's total)
    gives each range the carry-in from earlier ranges with a window over those ``P`` rows;
 5. the carry table, bounded by ``P``, is broadcast back on the range id.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubspark.contracts import qcol
-from scrubspark.session import checkpoint_dir
+from scrubspark.session import scratch_path
 
 PID = "__pid"
 
@@ -83,19 +84,20 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str
     (segment, order) get an arbitrary but fixed order among themselves.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     seg, order, sums = list(segment_cols), list(order_cols), list(sum_cols)
-    keys = seg + order
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(p, *[F.col(qcol(k)) for k in keys]).sortWithinPartitions(
-        *[F.col(qcol(k)) for k in keys])
+    keys = [F.col(qcol(k)) for k in seg + order]
+    # Without an explicit count AQE may coalesce adjacent ranges, which keeps them contiguous.
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
+    ranged = ranged.sortWithinPartitions(*keys)
     fields = list(df.schema.fields)
     for c in sums:
         fields.append(T.StructField(c + "_before", df.schema[c].dataType, True))
     fields.append(T.StructField(PID, T.IntegerType(), False))
-    local = ranged.mapInPandas(_local_scan(seg, sums), T.StructType(fields)).checkpoint(eager=True)
+    path = scratch_path(spark, "prefix")
+    ranged.mapInPandas(_local_scan(seg, sums), T.StructType(fields)).write.parquet(path)
+    local = spark.read.parquet(path)
 
-    key_struct = F.struct(*[F.col(qcol(k)) for k in keys])
+    key_struct = F.struct(*keys)
     last_vals = F.struct(*[(F.col(qcol(c + "_before")) + F.col(qcol(c))).alias(c) for c in sums])
     seg_struct = (lambda s: F.struct(*[s[k] for k in seg])) if seg else (lambda s: F.lit(0))
     summary = local.groupBy(PID).agg(F.min(key_struct).alias("first"), F.max(key_struct).alias("last"),

@@ -16,8 +16,10 @@ _STATE = T.StructType([T.StructField("current", T.IntegerType()), T.StructField(
 
 class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, initial: DataFrame | None = None):
+        """Start a new history at ``root`` from ``initial``, or attach to an existing one."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self._cached: tuple[int, int] | None = None
         if initial is not None:
             self._write(0, initial)
             self._set_state(0, 1)
@@ -30,12 +32,15 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(self._path(n))
 
     def _state(self) -> tuple[int, int]:
-        row = self.spark.read.schema(_STATE).json(f"{self.root}/_state").first()
-        return row["current"], row["length"]
+        if self._cached is None:  # attaching to a history written by another session
+            row = self.spark.read.schema(_STATE).json(f"{self.root}/_state").first()
+            self._cached = (row["current"], row["length"])
+        return self._cached
 
     def _set_state(self, current: int, length: int) -> None:
         (self.spark.createDataFrame([(current, length)], _STATE).coalesce(1)
          .write.mode("overwrite").json(f"{self.root}/_state"))
+        self._cached = (current, length)
 
     # -- the state machine --
     def apply(self, df: DataFrame) -> int:

@@ -43,20 +43,33 @@ def _value_text(df: DataFrame, c: str) -> Column:
     return F.col(qcol(c)).cast("string")
 
 
-def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) for every non-null value of each column, values as text.
+def value_frequencies(df: DataFrame, columns: Sequence[str], as_double: bool = False) -> DataFrame:
+    """(column, value, n) for every non-null value of each column.
 
-    The table is unpivoted then grouped; partial aggregation collapses repeated values
-    in each task before the shuffle, so a hot value costs one row per task.
+    Values are text, or doubles with ``as_double`` (numbers, booleans and datetimes as epoch
+    micros), which skips formatting numbers as text when only distinct counts are needed.
+    The table is unpivoted then grouped; partial aggregation collapses repeated values in
+    each task before the shuffle, so a hot value costs one row per task.
     """
     cols = list(columns)
     if not cols:
         raise ValueError("no columns")
-    pairs = [F.struct(F.lit(c).alias("column"), _value_text(df, c).alias("value")) for c in cols]
+    vals = [_value_double(df, c) if as_double else _value_text(df, c) for c in cols]
+    pairs = [F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in zip(cols, vals)]
     long = df.select(_stack(pairs).alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _value_double(df: DataFrame, c: str) -> Column:
+    dt = field_type(df, c)
+    col = F.col(qcol(c))
+    if isinstance(dt, T.DateType):
+        return F.unix_date(col).cast("double")
+    if is_datetime(dt):
+        return F.unix_micros(col.cast("timestamp")).cast("double")
+    return nan_to_null(col, dt).cast("double")
+
+
 def top_values(freq: DataFrame, k: int) -> DataFrame:
     """(column, value, n, rank): the k most frequent values per column, ties by value."""
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
@@ -109,10 +122,19 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
             *[(F.col(f"d{s}{i}") if kinds[c] == "datetime" else none_s).alias(f"dt_{s}") for s in ("min", "max")],
         ))
     summary = wide.select(_stack(rows).alias("r")).select("r.*")
-    freq = value_frequencies(df, cols)
-    distinct = freq.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
     text_cols = [c for c in cols if kinds[c] == "text"]
-    tops = (top_values(freq.where(F.col("column").isin(text_cols)), max_categories)
+    typed_cols = [c for c in cols if kinds[c] != "text"]
+    text_freq = value_frequencies(df, text_cols) if text_cols else None
+    parts = []
+    if text_freq is not None:
+        parts.append(text_freq.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count")))
+    if typed_cols:
+        parts.append(value_frequencies(df, typed_cols, as_double=True)
+                     .groupBy("column").agg(F.count(F.lit(1)).alias("unique_count")))
+    distinct = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if text_freq is None:
+        text_freq = df.sparkSession.createDataFrame([], "column string, value string, n long")
+    tops = (top_values(text_freq, max_categories)
             .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
             .select("column", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
                     .alias("top_categories")))

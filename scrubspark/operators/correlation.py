@@ -24,6 +24,7 @@ from scrubspark.functions.parse import nan_to_null
 from scrubspark.plans.ordered import prefix_sums
 
 METHODS = ("pearson", "spearman", "kendall")
+PAIRS_PER_PASS = 200
 
 
 def _pairs(df: DataFrame) -> list[tuple[str, str]]:
@@ -60,9 +61,16 @@ def compute_correlation(df: DataFrame, method: str = "pearson", threshold: float
         raise ValueError("method must be 'pearson', 'spearman', or 'kendall'.")
     pairs = _pairs(df)
     if method == "pearson":
-        wide = df.agg(*[F.corr(_v(df, a), _v(df, b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-        values = wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("r"))
-                                                 for k in range(len(pairs))])).alias("e")).select("e.*")
+        # one aggregate per batch of pairs keeps generated code small on wide tables
+        parts = []
+        for start in range(0, len(pairs), PAIRS_PER_PASS):
+            ks = range(start, min(start + PAIRS_PER_PASS, len(pairs)))
+            wide = df.agg(*[F.corr(_v(df, pairs[k][0]), _v(df, pairs[k][1])).alias(f"r{k}") for k in ks])
+            parts.append(wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("r"))
+                                                         for k in ks])).alias("e")).select("e.*"))
+        values = parts[0]
+        for p in parts[1:]:
+            values = values.unionByName(p)
         return _report(values, pairs, threshold)
     cells = _cells(df, pairs).persist()
     values = _spearman(cells) if method == "spearman" else _kendall(cells)

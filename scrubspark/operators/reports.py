@@ -3,7 +3,7 @@
 Shared plan shapes:
 * one wide aggregate per table for null counts and moments (one scan);
 * one value-frequency aggregate over the table unpivoted to (column, value), which gives
-  both exact distinct counts and top values; top-k per column uses ``row_number() <= k``
+  both exact distinct counts and top values (numbers and datetimes grouped as doubles); top-k per column uses ``row_number() <= k``
   so Spark inserts a partial ``WindowGroupLimit`` before the shuffle;
 * exact quantiles through the bounded two-pass fit in ``functions.stats``.
 """
@@ -122,19 +122,22 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
             *[(F.col(f"d{s}{i}") if kinds[c] == "datetime" else none_s).alias(f"dt_{s}") for s in ("min", "max")],
         ))
     summary = wide.select(_stack(rows).alias("r")).select("r.*")
-    text_cols = [c for c in cols if kinds[c] == "text"]
-    typed_cols = [c for c in cols if kinds[c] != "text"]
-    text_freq = value_frequencies(df, text_cols) if text_cols else None
-    parts = []
-    if text_freq is not None:
-        parts.append(text_freq.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count")))
-    if typed_cols:
-        parts.append(value_frequencies(df, typed_cols, as_double=True)
-                     .groupBy("column").agg(F.count(F.lit(1)).alias("unique_count")))
-    distinct = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if text_freq is None:
-        text_freq = df.sparkSession.createDataFrame([], "column string, value string, n long")
-    tops = (top_values(text_freq, max_categories)
+    # One unpivot for every column: text columns keep their text (for top values), others
+    # are compared as doubles (no number formatting). Grouping is map-side combined.
+    items = [F.struct(F.lit(c).alias("column"),
+                      (_value_text(df, c) if kinds[c] == "text" else F.lit(None).cast("string")).alias("s"),
+                      (_value_double(df, c) if kinds[c] != "text" else F.lit(None).cast("double")).alias("d"))
+             for c in cols]
+    freq = (df.select(_stack(items).alias("p")).select("p.*")
+            .where(F.col("s").isNotNull() | F.col("d").isNotNull())
+            .groupBy("column", "s", "d").agg(F.count(F.lit(1)).alias("n")))
+    # sum(signum(n)) counts the groups while still reading n, so the optimizer keeps the
+    # count in this consumer of ``freq`` too and both consumers share one shuffle
+    distinct = freq.groupBy("column").agg(F.sum(F.signum("n")).cast("long").alias("unique_count"))
+    # filter text values after the top-k window: a filter there cannot move below the
+    # aggregate, so this branch and ``distinct`` share one frequency shuffle
+    tops = (top_values(freq.select("column", F.col("s").alias("value"), "n"), max_categories)
+            .where(F.col("value").isNotNull())
             .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
             .select("column", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
                     .alias("top_categories")))

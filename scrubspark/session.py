@@ -34,17 +34,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared file system).
     Only a local-mode session with nothing configured gets a private folder under /tmp.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext, the conf is all there is
+        sc = None
+    if not configured and sc is not None:
+        configured = sc.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local"):
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a shared folder; checkpoints cannot live on one machine.")
         configured = tempfile.mkdtemp(prefix="scrubspark-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

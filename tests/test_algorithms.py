@@ -91,3 +91,16 @@ def test_table_shape_and_summary(people):
     assert summ["age"]["null_count"] == 2 and summ["age"]["max"] == 160.0
     assert summ["status"]["top_categories"][0]["value"] == "active"
     assert summ["city"]["unique_count"] == 6
+
+
+def test_pearson_wide_table_in_batches(spark):
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(400, 1))
+    data = base + rnd.normal(scale=rnd.uniform(0.1, 3.0, size=25), size=(400, 25))
+    pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(25)])
+    df = spark.createDataFrame(pdf)
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in correlation.compute_correlation(df, "pearson", 0.0).collect()}
+    want = pdf.corr()
+    assert len(got) == 300
+    for (a, b), r in got.items():
+        assert r == pytest.approx(round(want.loc[a, b], 3), abs=1e-9)

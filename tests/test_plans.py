@@ -49,3 +49,15 @@ def test_no_single_partition_exchange_on_rows_in_reports(spark):
     e = table(spark, SF, "events")
     p = plan(reports.value_counts(e, "event_type"))
     assert "BatchEvalPython" not in p
+
+
+def test_column_summary_two_scans_one_frequency_shuffle(spark):
+    from scrubspark.operators import reports
+
+    li = table(spark, SF, "lineitem")
+    out = reports.column_summary(li)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # one scan for the wide aggregate, one for the value frequencies (shared by distinct
+    # counts and top values through a reused exchange)
+    assert final.count("FileScan parquet") == 2 and "ReusedExchange" in final

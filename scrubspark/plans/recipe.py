@@ -21,7 +21,8 @@ from scrubspark.operators.registry import ANALYSES, TRANSFORMS
 AUDIT_SCHEMA = T.StructType([
     T.StructField("step", T.IntegerType()), T.StructField("operator", T.StringType()),
     T.StructField("args", T.StringType()), T.StructField("outcome", T.StringType()),
-    T.StructField("message", T.StringType()), T.StructField("rows_after", T.LongType()),
+    T.StructField("message", T.StringType()), T.StructField("rows_before", T.LongType()),
+    T.StructField("rows_after", T.LongType()),
 ])
 
 
@@ -31,6 +32,7 @@ class RecipeResult:
     records: list[dict] = field(default_factory=list)
     reports: dict[int, DataFrame] = field(default_factory=dict)
     computed: bool = False
+    input_observation: Observation | None = None
 
     def write(self, path: str, fmt: str = "parquet") -> None:
         """Compute the cleaned table into ``path``; the per-step row counts fill in."""
@@ -39,11 +41,16 @@ class RecipeResult:
 
     def audit(self) -> DataFrame:
         """One row per step; ``rows_after`` is set once the table was computed (``write``)."""
+        def rows(obs):
+            return obs.get.get("rows") if (obs is not None and self.computed) else None
+
         out = []
+        current = rows(self.input_observation)
         for r in self.records:
             obs = r.get("observation")
-            rows_after = obs.get.get("rows") if (obs is not None and self.computed) else None
-            out.append((r["step"], r["operator"], r["args"], r["outcome"], r["message"], rows_after))
+            after = rows(obs) if obs is not None else current
+            out.append((r["step"], r["operator"], r["args"], r["outcome"], r["message"], current, after))
+            current = after
         return self.df.sparkSession.createDataFrame(out, AUDIT_SCHEMA)
 
 
@@ -55,7 +62,8 @@ def run_recipe(df: DataFrame, steps: list[dict], max_steps: int | None = None) -
     """Apply ``steps`` (each ``{"name": ..., "args": {...}}``) in order."""
     result = RecipeResult(df)
     seen: set[str] = set()
-    current = df
+    result.input_observation = Observation("recipe_input")
+    current = df.observe(result.input_observation, F.count(F.lit(1)).alias("rows"))
     for i, step in enumerate(steps):
         name, args = step.get("name"), dict(step.get("args") or {})
         rec = {"step": i, "operator": name, "args": json.dumps(args, sort_keys=True, default=str)}

@@ -33,7 +33,8 @@ def test_recipe_validation_skip_and_errors(people, spark):
     audit = {r["step"]: r for r in res.audit().collect()}
     assert [audit[i]["outcome"] for i in range(7)] == ["Success", "Skipped", "Error", "Error", "Error",
                                                         "Result", "Success"]
-    assert audit[6]["rows_after"] == 7 and audit[0]["rows_after"] == 8
+    assert audit[6]["rows_after"] == 7 and audit[6]["rows_before"] == 8
+    assert audit[0]["rows_before"] == 8 and audit[0]["rows_after"] == 8
     assert 5 in res.reports and "price" not in res.df.columns
 
 

@@ -109,3 +109,26 @@ def test_stream_rejects_stateful_steps(spark):
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     with pytest.raises(ValueError, match="stream"):
         freeze_steps(batch, [{"name": "drop_duplicates", "args": {}}])
+
+
+def test_file_order_dedup_and_missing_pattern_match_pandas(spark):
+    import pandas as pd
+
+    from scrubspark.operators import reports
+    from scrubspark.sources.parquet import ORDER_COLUMNS, read_parquet_ordered
+
+    path = "/root/testdata/sf0.01/orders.parquet"
+    df = read_parquet_ordered(spark, path)
+    got = rows.drop_duplicates(df, ["o_custkey"], "first", ORDER_COLUMNS)
+    pdf = pd.read_parquet(path)
+    want = pdf.drop_duplicates(subset=["o_custkey"], keep="first")
+    assert sorted(r["o_orderkey"] for r in got.select("o_orderkey").collect()) == sorted(want.o_orderkey.tolist())
+
+    gaps = df.selectExpr("*", "CASE WHEN o_orderkey % 3 = 0 OR o_custkey < 200 THEN NULL ELSE o_totalprice END AS p")
+    rep = reports.detect_missing_pattern(gaps, "p", ORDER_COLUMNS).first()
+    is_null = ((pdf.o_orderkey % 3 == 0) | (pdf.o_custkey < 200)).to_numpy()
+    run = best = 0
+    for v in is_null:
+        run = run + 1 if v else 0
+        best = max(best, run)
+    assert rep["n_missing"] == int(is_null.sum()) and rep["longest_run"] == best

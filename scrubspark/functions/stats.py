@@ -43,18 +43,31 @@ def numeric_value(df: DataFrame, column: str) -> Column:
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
               accuracy: int = DEFAULT_ACCURACY) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated quantiles for every (column, p); None for an empty column."""
-    keys = [(c, float(p)) for c in columns for p in probs]
-    if not keys:
-        return {}
+    return fit(df, [(c, p) for c in columns for p in probs], [], accuracy)[0]
+
+
+def fit(df: DataFrame, quantile_requests: Sequence[tuple[str, float]], mean_columns: Sequence[str] = (),
+        accuracy: int = DEFAULT_ACCURACY) -> tuple[dict[tuple[str, float], float | None], dict[str, float | None]]:
+    """Quantiles for every (column, p) and means for ``mean_columns``, in at most two passes
+    over ``df`` however many columns are asked for (means ride along in the first pass)."""
+    keys = list(dict.fromkeys((c, float(p)) for c, p in quantile_requests))
+    means = list(dict.fromkeys(mean_columns))
+    if not keys and not means:
+        return {}, {}
+    columns = list(dict.fromkeys(c for c, _ in keys))
     margin = 3.0 / accuracy
-    vals = {c: numeric_value(df, c) for c in columns}
+    vals = {c: numeric_value(df, c) for c in set(columns) | set(means)}
 
-    # Pass 1: non-null counts and an approximate bracket per (column, p).
+    # Pass 1: non-null counts and an approximate bracket per (column, p); the means.
     aggs = [F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(columns)]
+    aggs += [F.avg(vals[c]).alias(f"m{i}") for i, c in enumerate(means)]
     for k, (c, p) in enumerate(keys):
         lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
         aggs.append(F.approx_percentile(vals[c], F.array(F.lit(lo_p), F.lit(hi_p)), accuracy).alias(f"b{k}"))
     row = df.agg(*aggs).first()
+    mean_of = {c: row[f"m{i}"] for i, c in enumerate(means)}
+    if not keys:
+        return {}, mean_of
     n_of = {c: row[f"n{i}"] for i, c in enumerate(columns)}
 
     plan = {}  # key index -> (lo, hi, rank_a, rank_b, frac)
@@ -70,7 +83,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
         lo, hi = row[f"b{k}"]
         plan[k] = (lo, hi, fl, rank_b, h - fl)
     if not plan:
-        return out
+        return out, mean_of
 
     # Pass 2: exact global ranks inside each bracket. A null value row carries the count
     # of values below the bracket, so the running count is the global rank.
@@ -104,7 +117,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
         exact = df.agg(*[F.percentile(vals[keys[k][0]], F.lit(keys[k][1])).alias(f"x{k}") for k in fallback]).first()
         for k in fallback:
             out[keys[k]] = exact[f"x{k}"]
-    return out
+    return out, mean_of
 
 
 def quantile(df: DataFrame, column: str, p: float, accuracy: int = DEFAULT_ACCURACY) -> float | None:

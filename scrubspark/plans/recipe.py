@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubspark.contracts import ColumnNotFoundError, StepValidationError, validate_call
+from scrubspark.contracts import (ColumnNotFoundError, StepValidationError, require_numeric, resolve_column,
+                                  validate_call)
+from scrubspark.functions import stats
+from scrubspark.operators import cells
 from scrubspark.operators.registry import ANALYSES, TRANSFORMS
 
 AUDIT_SCHEMA = T.StructType([
@@ -58,10 +61,64 @@ def _signature(name: str, args: dict) -> str:
     return f"{name}::{json.dumps(args, sort_keys=True, default=str)}"
 
 
+def _batchable(name: str, args: dict) -> bool:
+    """Fitted steps that rewrite only their own column: fills by mean/median, outlier caps."""
+    if name == "handle_missing_values":
+        return args.get("strategy", "mean") in ("mean", "median")
+    if name == "handle_outliers":
+        return args.get("method", "cap") == "cap"
+    return False
+
+
+def _prefit(df: DataFrame, steps: list[dict], start: int, seen: set[str]) -> dict[int, object]:
+    """Fit a run of consecutive batchable steps on distinct numeric columns in one go.
+
+    None of them changes another's column or the rows, so fitting all on the table before
+    the run equals fitting each in turn, and costs two passes instead of two per step.
+    """
+    reqs, means, plan, cols, sigs = [], [], {}, set(), set(seen)
+    for j in range(start, len(steps)):
+        name, args = steps[j].get("name"), dict(steps[j].get("args") or {})
+        sig = _signature(name, args)
+        if not _batchable(name, args) or sig in sigs:
+            break
+        try:
+            validate_call(TRANSFORMS[name], args, name)
+            c = resolve_column(df, args["column"])
+            require_numeric(df, c)
+        except ValueError:
+            break
+        if c in cols:
+            break
+        cols.add(c)
+        sigs.add(sig)
+        if name == "handle_outliers":
+            reqs += [(c, 0.25), (c, 0.75)]
+            plan[j] = ("iqr", c)
+        elif args.get("strategy", "mean") == "mean":
+            means.append(c)
+            plan[j] = ("mean", c)
+        else:
+            reqs.append((c, 0.5))
+            plan[j] = ("median", c)
+    if len(plan) < 2:
+        return {}
+    q, m = stats.fit(df, reqs, means)
+    return {j: (m[c] if kind == "mean" else q[(c, 0.5)] if kind == "median" else (q[(c, 0.25)], q[(c, 0.75)]))
+            for j, (kind, c) in plan.items()}
+
+
+def _apply_fitted(df: DataFrame, name: str, args: dict, value) -> DataFrame:
+    if name == "handle_outliers":
+        return cells.cap_outliers(df, args["column"], args.get("iqr_multiplier", 1.5), fitted=value)
+    return cells.fill_missing(df, args["column"], args.get("strategy", "mean"), fitted=value)
+
+
 def run_recipe(df: DataFrame, steps: list[dict], max_steps: int | None = None) -> RecipeResult:
     """Apply ``steps`` (each ``{"name": ..., "args": {...}}``) in order."""
     result = RecipeResult(df)
     seen: set[str] = set()
+    fitted: dict[int, object] = {}
     result.input_observation = Observation("recipe_input")
     current = df.observe(result.input_observation, F.count(F.lit(1)).alias("rows"))
     for i, step in enumerate(steps):
@@ -79,7 +136,12 @@ def run_recipe(df: DataFrame, steps: list[dict], max_steps: int | None = None) -
         try:
             if name in TRANSFORMS:
                 validate_call(TRANSFORMS[name], args, name)
-                nxt = TRANSFORMS[name](current, **args)
+                if i not in fitted and _batchable(name, args):
+                    fitted.update(_prefit(current, steps[:max_steps] if max_steps else steps, i, seen - {sig}))
+                if i in fitted:
+                    nxt = _apply_fitted(current, name, args, fitted[i])
+                else:
+                    nxt = TRANSFORMS[name](current, **args)
                 obs = Observation(f"step{i}")
                 current = nxt.observe(obs, F.count(F.lit(1)).alias("rows"))
                 rec.update(outcome="Success", message="applied", observation=obs)

@@ -132,3 +132,28 @@ def test_file_order_dedup_and_missing_pattern_match_pandas(spark):
         run = run + 1 if v else 0
         best = max(best, run)
     assert rep["n_missing"] == int(is_null.sum()) and rep["longest_run"] == best
+
+
+def test_recipe_batches_independent_fits(spark, monkeypatch):
+    from scrubspark.functions import stats
+
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").selectExpr(
+        "l_orderkey", "CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS q",
+        "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount END AS d", "l_extendedprice", "l_tax")
+    steps = [{"name": "handle_missing_values", "args": {"column": "q", "strategy": "median"}},
+             {"name": "handle_missing_values", "args": {"column": "d", "strategy": "mean"}},
+             {"name": "handle_outliers", "args": {"column": "l_extendedprice", "method": "cap"}},
+             {"name": "handle_outliers", "args": {"column": "l_tax", "method": "cap"}}]
+    calls = []
+    real_fit = stats.fit
+    monkeypatch.setattr(stats, "fit", lambda *a, **k: calls.append(1) or real_fit(*a, **k))
+    batched = recipe.run_recipe(df, steps).df
+    assert len(calls) == 1
+    monkeypatch.setattr(stats, "fit", real_fit)
+    from scrubspark.operators import cells
+
+    one = cells.fill_missing(df, "q", "median")
+    one = cells.fill_missing(one, "d", "mean")
+    one = cells.cap_outliers(one, "l_extendedprice")
+    one = cells.cap_outliers(one, "l_tax")
+    assert sorted(batched.collect()) == sorted(one.collect())

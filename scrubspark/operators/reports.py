@@ -141,7 +141,7 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
             .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
             .select("column", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
                     .alias("top_categories")))
-    out = summary.join(distinct, "column", "left").join(tops, "column", "left")
+    out = (summary.join(distinct, "column", "left") if exact_distinct else summary).join(tops, "column", "left")
     uniq = (F.coalesce("unique_count", F.lit(0).cast("long")) if exact_distinct else F.col("approx_unique"))
     return out.select("ordinal", "column", "dtype", "null_count", "null_pct", uniq.alias("unique_count"),
                       "min", "max", "mean", "std", "dt_min", "dt_max", "top_categories").orderBy("ordinal")

@@ -26,7 +26,7 @@ INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 def read_csv(spark: SparkSession, path: str, infer_types: bool = True, na_tokens=None,
              multiline: bool = False) -> DataFrame:
     raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-           .option("multiLine", multiline).option("nullValue", None).csv(path))
+           .option("multiLine", multiline).csv(path))
     tokens = NA_TOKENS if na_tokens is None else list(na_tokens)
     cols = raw.columns
     clean = raw.select(*[F.when(F.col(qcol(c)).isin(tokens), F.lit(None).cast("string"))

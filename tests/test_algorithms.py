@@ -104,3 +104,8 @@ def test_pearson_wide_table_in_batches(spark):
     assert len(got) == 300
     for (a, b), r in got.items():
         assert r == pytest.approx(round(want.loc[a, b], 3), abs=1e-9)
+
+
+def test_column_summary_approximate_distinct(people):
+    summ = {r["column"]: r for r in reports.column_summary(people, exact_distinct=False).collect()}
+    assert summ["city"]["unique_count"] == 6 and summ["status"]["top_categories"][0]["value"] == "active"

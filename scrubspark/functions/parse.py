@@ -68,8 +68,12 @@ def to_timestamp_ntz(col: Column, dt: T.DataType, formats: Sequence[str] | None
     if not is_string(dt):
         return F.lit(None).cast("timestamp_ntz")
     text = F.trim(col)
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in (formats or DATETIME_FORMATS)]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    # try_to_timestamp only decides whether the text fits the layout (it never raises);
+    # the value comes from to_timestamp_ntz, which reads the wall clock without a zone, so
+    # the result does not depend on the session time zone (no shift across DST gaps).
+    tries = [F.when(F.try_to_timestamp(text, F.lit(f)).isNotNull(), F.to_timestamp_ntz(text, F.lit(f)))
+             for f in (formats or DATETIME_FORMATS)]
+    return F.coalesce(*tries)
 
 
 def unicode_trim(col: Column) -> Column:

@@ -46,8 +46,8 @@ def _value_text(df: DataFrame, c: str) -> Column:
 def value_frequencies(df: DataFrame, columns: Sequence[str], as_double: bool = False) -> DataFrame:
     """(column, value, n) for every non-null value of each column.
 
-    Values are text, or doubles with ``as_double`` (numbers, booleans and datetimes as epoch
-    micros), which skips formatting numbers as text when only distinct counts are needed.
+    Values are text, or doubles with ``as_double`` (numbers, booleans, zoned timestamps as
+    epoch micros), which skips formatting numbers as text when only distinct counts are needed.
     The table is unpivoted then grouped; partial aggregation collapses repeated values in
     each task before the shuffle, so a hot value costs one row per task.
     """
@@ -124,13 +124,24 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
     summary = wide.select(_stack(rows).alias("r")).select("r.*")
     # One unpivot for every column: text columns keep their text (for top values), others
     # are compared as doubles (no number formatting). Grouping is map-side combined.
-    items = [F.struct(F.lit(c).alias("column"),
-                      (_value_text(df, c) if kinds[c] == "text" else F.lit(None).cast("string")).alias("s"),
-                      (_value_double(df, c) if kinds[c] != "text" else F.lit(None).cast("double")).alias("d"))
-             for c in cols]
+    def slot(c: str, kind: str):
+        dt = field_type(df, c)
+        if kind == "text":
+            return _value_text(df, c), None, None
+        if isinstance(dt, (T.TimestampNTZType, T.DateType)):  # zone-free wall clock
+            return None, None, F.col(qcol(c)).cast("timestamp_ntz")
+        return None, _value_double(df, c), None
+
+    items = []
+    for c in cols:
+        sv, dv, tv = slot(c, kinds[c])
+        items.append(F.struct(F.lit(c).alias("column"),
+                              (sv if sv is not None else F.lit(None).cast("string")).alias("s"),
+                              (dv if dv is not None else F.lit(None).cast("double")).alias("d"),
+                              (tv if tv is not None else F.lit(None).cast("timestamp_ntz")).alias("t")))
     freq = (df.select(_stack(items).alias("p")).select("p.*")
-            .where(F.col("s").isNotNull() | F.col("d").isNotNull())
-            .groupBy("column", "s", "d").agg(F.count(F.lit(1)).alias("n")))
+            .where(F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull())
+            .groupBy("column", "s", "d", "t").agg(F.count(F.lit(1)).alias("n")))
     # sum(signum(n)) counts the groups while still reading n, so the optimizer keeps the
     # count in this consumer of ``freq`` too and both consumers share one shuffle
     distinct = freq.groupBy("column").agg(F.sum(F.signum("n")).cast("long").alias("unique_count"))

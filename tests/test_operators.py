@@ -250,3 +250,17 @@ def test_rename_clash(people):
 
 def test_drop_column(people):
     assert cells.drop_column(people, ["age", " City"]).columns[:3] == ["customer_id", "full_name", "salary"]
+
+
+def test_datetime_parse_ignores_session_zone(spark):
+    from scrubspark.operators import reports
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2020-03-08 02:30:00",), ("2020-03-08 03:30:00",), ("bad",)], "s string")
+        out = cells.convert_dtype(df, "s", "datetime")
+        assert col(out, "s") == [dt.datetime(2020, 3, 8, 2, 30), dt.datetime(2020, 3, 8, 3, 30), None]
+        assert reports.column_summary(out).first()["unique_count"] == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

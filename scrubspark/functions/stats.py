@@ -41,15 +41,19 @@ def numeric_value(df: DataFrame, column: str) -> Column:
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-              accuracy: int = DEFAULT_ACCURACY) -> dict[tuple[str, float], float | None]:
-    """Exact linear-interpolated quantiles for every (column, p); None for an empty column."""
-    return fit(df, [(c, p) for c in columns for p in probs], [], accuracy)[0]
+              accuracy: int = DEFAULT_ACCURACY, exact: bool = True) -> dict[tuple[str, float], float | None]:
+    """Linear-interpolated quantiles for every (column, p); None for an empty column."""
+    return fit(df, [(c, p) for c in columns for p in probs], [], accuracy, exact)[0]
 
 
 def fit(df: DataFrame, quantile_requests: Sequence[tuple[str, float]], mean_columns: Sequence[str] = (),
-        accuracy: int = DEFAULT_ACCURACY) -> tuple[dict[tuple[str, float], float | None], dict[str, float | None]]:
+        accuracy: int = DEFAULT_ACCURACY,
+        exact: bool = True) -> tuple[dict[tuple[str, float], float | None], dict[str, float | None]]:
     """Quantiles for every (column, p) and means for ``mean_columns``, in at most two passes
-    over ``df`` however many columns are asked for (means ride along in the first pass)."""
+    over ``df`` however many columns are asked for (means ride along in the first pass).
+
+    ``exact=False`` is the opt-in for very large tables: one pass, ``approx_percentile``
+    at p with rank error at most ``n / accuracy`` (no interpolation)."""
     keys = list(dict.fromkeys((c, float(p)) for c, p in quantile_requests))
     means = list(dict.fromkeys(mean_columns))
     if not keys and not means:
@@ -62,12 +66,14 @@ def fit(df: DataFrame, quantile_requests: Sequence[tuple[str, float]], mean_colu
     aggs = [F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(columns)]
     aggs += [F.avg(vals[c]).alias(f"m{i}") for i, c in enumerate(means)]
     for k, (c, p) in enumerate(keys):
-        lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
+        lo_p, hi_p = (max(0.0, p - margin), min(1.0, p + margin)) if exact else (p, p)
         aggs.append(F.approx_percentile(vals[c], F.array(F.lit(lo_p), F.lit(hi_p)), accuracy).alias(f"b{k}"))
     row = df.agg(*aggs).first()
     mean_of = {c: row[f"m{i}"] for i, c in enumerate(means)}
     if not keys:
         return {}, mean_of
+    if not exact:
+        return {key: (row[f"b{k}"][0] if row[f"b{k}"] is not None else None) for k, key in enumerate(keys)}, mean_of
     n_of = {c: row[f"n{i}"] for i, c in enumerate(columns)}
 
     plan = {}  # key index -> (lo, hi, rank_a, rank_b, frac)
@@ -120,14 +126,15 @@ def fit(df: DataFrame, quantile_requests: Sequence[tuple[str, float]], mean_colu
     return out, mean_of
 
 
-def quantile(df: DataFrame, column: str, p: float, accuracy: int = DEFAULT_ACCURACY) -> float | None:
-    return quantiles(df, [column], [p], accuracy)[(column, float(p))]
+def quantile(df: DataFrame, column: str, p: float, accuracy: int = DEFAULT_ACCURACY,
+             exact: bool = True) -> float | None:
+    return quantiles(df, [column], [p], accuracy, exact)[(column, float(p))]
 
 
-def iqr_bounds(df: DataFrame, columns: Sequence[str], k: float = 1.5,
-               accuracy: int = DEFAULT_ACCURACY) -> dict[str, tuple[float, float] | None]:
+def iqr_bounds(df: DataFrame, columns: Sequence[str], k: float = 1.5, accuracy: int = DEFAULT_ACCURACY,
+               exact: bool = True) -> dict[str, tuple[float, float] | None]:
     """Tukey fences ``[q1 - k*iqr, q3 + k*iqr]`` per column; None when a column has no values."""
-    q = quantiles(df, columns, [0.25, 0.75], accuracy)
+    q = quantiles(df, columns, [0.25, 0.75], accuracy, exact)
     out = {}
     for c in columns:
         q1, q3 = q[(c, 0.25)], q[(c, 0.75)]

@@ -161,7 +161,7 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
 # --- profile_column -------------------------------------------------------------------
 
 def profile_column(df: DataFrame, column: str, top_n: int = 5,
-                   accuracy: int = stats.DEFAULT_ACCURACY) -> DataFrame:
+                   accuracy: int = stats.DEFAULT_ACCURACY, exact: bool = True) -> DataFrame:
     """Rows, missing, unique and a quality score; numeric moments (3 dp, bias-corrected
     skewness and excess kurtosis as pandas gives them) or the top values."""
     c = resolve_column(df, column)
@@ -176,7 +176,7 @@ def profile_column(df: DataFrame, column: str, top_n: int = 5,
         base += [F.min(v).alias("mn"), F.max(v).alias("mx"), F.avg(v).alias("mean_"),
                  F.stddev_samp(v).alias("std_"), F.count(v).alias("nn"), F.skewness(v).alias("g1"),
                  F.kurtosis(v).alias("g2"), F.var_pop(v).alias("m2")]
-        median = stats.quantile(df, c, 0.5, accuracy)
+        median = stats.quantile(df, c, 0.5, accuracy, exact)
     a = df.agg(*base)
     rows_, miss = F.col("rows"), F.col("missing")
     pct = F.when(rows_ > 0, F.round(miss * 100.0 / rows_, 2)).otherwise(F.lit(0.0))
@@ -204,8 +204,9 @@ def profile_column(df: DataFrame, column: str, top_n: int = 5,
 # --- outlier report -------------------------------------------------------------------
 
 def detect_outliers_report(df: DataFrame, column: str | None = None, iqr_multiplier: float = 1.5,
-                           accuracy: int = stats.DEFAULT_ACCURACY) -> DataFrame:
-    """Per numeric column: Tukey-fence outlier count, % of all rows, severity, bounds (2 dp)."""
+                           accuracy: int = stats.DEFAULT_ACCURACY, exact: bool = True) -> DataFrame:
+    """Per numeric column: Tukey-fence outlier count, % of all rows, severity, bounds (2 dp).
+    ``exact=False`` fits the fences with one approximate pass (opt-in for very large tables)."""
     if column is not None:
         cols = [resolve_column(df, column)]
         dt = field_type(df, cols[0])
@@ -215,7 +216,7 @@ def detect_outliers_report(df: DataFrame, column: str | None = None, iqr_multipl
         cols = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     if not cols:
         raise ValueError("No numeric columns available to check for outliers.")
-    bounds = stats.iqr_bounds(df, cols, iqr_multiplier, accuracy)
+    bounds = stats.iqr_bounds(df, cols, iqr_multiplier, accuracy, exact)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
         b = bounds[c]

@@ -121,11 +121,12 @@ def _equals(col: Column, dt, value) -> Column:
 
 
 def remove_outliers(df: DataFrame, column: str, iqr_multiplier: float = 1.5,
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Drop rows outside the Tukey fences; nulls are kept. The fit is one bounded pass."""
+                    accuracy: int = DEFAULT_ACCURACY, exact: bool = True) -> DataFrame:
+    """Drop rows outside the Tukey fences; nulls are kept. The quartiles are exact unless
+    ``exact=False`` (one approximate pass, for very large tables)."""
     c = resolve_column(df, column)
     require_numeric(df, c)
-    bounds = iqr_bounds(df, [c], iqr_multiplier, accuracy)[c]
+    bounds = iqr_bounds(df, [c], iqr_multiplier, accuracy, exact)[c]
     if bounds is None:
         return df
     lo, hi = bounds

@@ -109,3 +109,12 @@ def test_pearson_wide_table_in_batches(spark):
 def test_column_summary_approximate_distinct(people):
     summ = {r["column"]: r for r in reports.column_summary(people, exact_distinct=False).collect()}
     assert summ["city"]["unique_count"] == 6 and summ["status"]["top_categories"][0]["value"] == "active"
+
+
+def test_approximate_quantiles_opt_in_is_close(spark):
+    vals = np.random.default_rng(9).normal(size=5000)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = stats.quantiles(df, ["x"], [0.25, 0.5, 0.75], accuracy=1000, exact=False)
+    for p in [0.25, 0.5, 0.75]:
+        rank = (vals < got[("x", p)]).mean()
+        assert abs(rank - p) <= 2 / 1000 + 1 / 5000

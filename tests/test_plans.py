@@ -61,3 +61,14 @@ def test_column_summary_two_scans_one_frequency_shuffle(spark):
     # one scan for the wide aggregate, one for the value frequencies (shared by distinct
     # counts and top values through a reused exchange)
     assert final.count("FileScan parquet") == 2 and "ReusedExchange" in final
+
+
+def test_no_query_plans_pairs_or_python_rows(spark):
+    import __spark_entry__ as entry
+
+    hazards = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"]
+    for name, q in entry.queries().items():
+        df = q(spark, SF)
+        p = df._jdf.queryExecution().executedPlan().toString()
+        found = [h for h in hazards if h in p]
+        assert not found, f"{name}: {found}"

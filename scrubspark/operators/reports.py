@@ -115,7 +115,8 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
             F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
             F.lit(field_type(df, c).simpleString()).alias("dtype"),
             F.col(f"nulls{i}").alias("null_count"),
-            F.round(F.col(f"nulls{i}") * 100.0 / F.col("__rows"), 2).alias("null_pct"),
+            F.when(F.col("__rows") > 0, F.round(F.col(f"nulls{i}") * 100.0 / F.col("__rows"), 2))
+            .otherwise(F.lit(0.0)).alias("null_pct"),
             (F.col(f"uniq{i}") if not exact_distinct else F.lit(None).cast("long")).alias("approx_unique"),
             *[(F.round(F.col(f"{s}{i}"), 4) if kinds[c] == "numeric" else none_d).alias(s)
               for s in ("min", "max", "mean", "std")],
@@ -280,7 +281,8 @@ def detect_missing_pattern(df: DataFrame, column: str, order_by: Sequence[str])
     head = [F.lit(c).alias("column"), F.lit(n).cast("long").alias("n_rows"), F.lit(m).cast("long").alias("n_missing"),
             F.round(F.lit(m * 100.0 / n if n else 0.0), 2).alias("missing_pct")]
     if m == 0 or m == n:
-        return base.limit(1).select(*head, F.lit(0.0 if m == 0 else 1.0).alias("frac_first"),
+        return base.agg(F.count(F.lit(1)).alias("__n")).select(
+            *head, F.lit(0.0 if m == 0 else 1.0).alias("frac_first"),
                                     F.lit(0.0 if m == 0 else 1.0).alias("frac_last"),
                                     F.lit(m).cast("long").alias("longest_run"),
                                     F.lit(PATTERNS["none" if m == 0 else "all"]).alias("pattern"))

@@ -118,3 +118,21 @@ def test_approximate_quantiles_opt_in_is_close(spark):
     for p in [0.25, 0.5, 0.75]:
         rank = (vals < got[("x", p)]).mean()
         assert abs(rank - p) <= 2 / 1000 + 1 / 5000
+
+
+def test_reports_on_an_empty_table(spark):
+    from scrubspark.operators import cells, rows
+
+    df = spark.createDataFrame([], "id long, x double, s string")
+    assert reports.table_shape(df).first()["n_rows"] == 0
+    assert {r["column"]: r["null_pct"] for r in reports.column_summary(df).collect()} == {"id": 0.0, "x": 0.0,
+                                                                                       "s": 0.0}
+    prof = reports.profile_column(df, "x").first()
+    assert prof["rows"] == 0 and prof["quality_score"] == 100.0
+    assert reports.value_counts(df, "s").count() == 0
+    pat = reports.detect_missing_pattern(df, "x", ["id"]).first()
+    assert pat["pattern"] == "none" and pat["n_rows"] == 0
+    assert reports.detect_outliers_report(df).where("n_outliers > 0").count() == 0
+    assert correlation.compute_correlation(df, "pearson", 0.0).count() == 0
+    assert cells.fill_missing(df, "x", "median").count() == 0
+    assert rows.remove_outliers(df, "x").count() == 0

@@ -23,17 +23,31 @@ FALSE_TOKENS = ["False", "FALSE", "false"]
 INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 
+ORDER_COLUMNS = ["_file", "_block", "_row"]
+
+
 def read_csv(spark: SparkSession, path: str, infer_types: bool = True, na_tokens=None,
-             multiline: bool = False) -> DataFrame:
+             multiline: bool = False, with_order: bool = False) -> DataFrame:
+    """Header row, comma separated, every column read as text, NA tokens to NULL, then typed.
+
+    A malformed row raises (``FAILFAST``) instead of turning into nulls. ``with_order``
+    adds ``_file``, ``_block`` and ``_row``: ordering by them is file order (the id is
+    increasing within each split, and splits of a file are ordered by block start).
+    """
     raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-           .option("multiLine", multiline).csv(path))
+           .option("multiLine", multiline).option("mode", "FAILFAST").csv(path))
     tokens = NA_TOKENS if na_tokens is None else list(na_tokens)
     cols = raw.columns
+    order = []
+    if with_order:
+        order = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                 F.monotonically_increasing_id().alias("_row")]
     clean = raw.select(*[F.when(F.col(qcol(c)).isin(tokens), F.lit(None).cast("string"))
-                         .otherwise(F.col(qcol(c))).alias(c) for c in cols])
+                         .otherwise(F.col(qcol(c))).alias(c) for c in cols], *order)
     if not infer_types:
         return clean
-    return clean.select(*[cast_expr(c, t) for c, t in infer_csv_types(clean).items()])
+    types = infer_csv_types(clean.select(*[F.col(qcol(c)) for c in cols]))
+    return clean.select(*[cast_expr(c, t) for c, t in types.items()], *[F.col(o) for o in (ORDER_COLUMNS if with_order else [])])
 
 
 def infer_csv_types(df: DataFrame) -> dict[str, str]:

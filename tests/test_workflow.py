@@ -157,3 +157,15 @@ def test_recipe_batches_independent_fits(spark, monkeypatch):
     one = cells.cap_outliers(one, "l_extendedprice")
     one = cells.cap_outliers(one, "l_tax")
     assert sorted(batched.collect()) == sorted(one.collect())
+
+
+def test_csv_file_order_and_failfast(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("k,v\n" + "".join(f"{i % 7},{i}\n" for i in range(500)))
+    df = csv.read_csv(spark, str(p), with_order=True)
+    first = rows.drop_duplicates(df, ["k"], "first", csv.ORDER_COLUMNS)
+    assert sorted(r["v"] for r in first.collect()) == list(range(7))
+    bad = tmp_path / "bad.csv"
+    bad.write_text("k,v\n1,2\n3,4,5\n")
+    with pytest.raises(Exception):
+        csv.read_csv(spark, str(bad)).collect()

@@ -1,4 +1,4 @@
-"""Checks for the recipe, version, history and CSV operators (whole tables)."""
+"""Checks for the recipe, version, history, CSV and streaming operators (whole tables)."""
 
 from __future__ import annotations
 
@@ -128,3 +128,34 @@ def csv_roundtrip(spark, sf):
     return back.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("c_acctbal"), 2).alias("sum_acctbal"),
                     F.count_distinct("c_mktsegment").alias("n_segments"),
                     F.sum("c_nationkey").alias("sum_nationkey"), F.lit(inferred).alias("inferred"))
+
+
+# --- streaming ------------------------------------------------------------------------
+
+STREAM_STEPS = [
+    {"name": "handle_outliers", "args": {"column": "value", "method": "cap"}},
+    {"name": "standardize_text", "args": {"column": "event_type", "case": "upper"}},
+    {"name": "filter_rows", "args": {"column": "value", "condition": "less_than", "value": 1}},
+]
+
+
+@register("stream_clean_events", """
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q),
+c AS (SELECT e.event_id, upper(trim(e.event_type)) AS event_type,
+        CASE WHEN e.value < b.lo THEN b.lo WHEN e.value > b.hi THEN b.hi ELSE e.value END AS value
+      FROM events e, b)
+SELECT event_id, event_type, round(value, 6) AS value FROM c WHERE NOT coalesce(value < 1, false)""")
+def stream_clean_events(spark, sf):
+    from scrubspark.streaming.clean import apply_to_stream, freeze_steps
+
+    batch = table(spark, sf, "events")
+    frozen = freeze_steps(batch, STREAM_STEPS)
+    stream = (spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    q = (apply_to_stream(stream, frozen).select("event_id", "event_type", "value").writeStream
+         .format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).withColumn("value", F.round("value", 6))

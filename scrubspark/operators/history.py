@@ -31,16 +31,19 @@ def fold_older_turns(df: DataFrame, keys: Sequence[str], order_by: str, role_col
     A turn's place from the end is its group count minus its position, and the position is
     a segmented prefix count (``plans.ordered``), so a hot conversation is ranked across
     tasks rather than sorted in one. Each transcript is one output cell, so it is assembled
-    per key. Key columns must be non-null.
+    per key. A null key is one conversation, as in the group count.
     """
     from scrubspark.plans.ordered import prefix_sums
 
     ks = resolve_columns(df, keys)
     o = resolve_column(df, order_by)
     role, text = resolve_column(df, role_col), resolve_column(df, text_col)
-    counts = df.groupBy(*[F.col(qcol(k)) for k in ks]).agg(F.count(F.lit(1)).alias("__cnt"))
+    counts = df.groupBy(*[F.col(qcol(k)).alias(f"__k{i}") for i, k in enumerate(ks)]).agg(
+        F.count(F.lit(1)).alias("__cnt"))
     pos = prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), [o], ["__one"], segment_cols=ks)
-    ranked = pos.join(counts, ks).withColumn("__from_end", F.col("__cnt") - F.col("__one_before"))
+    on = [pos[qcol(k)].eqNullSafe(counts[f"__k{i}"]) for i, k in enumerate(ks)]  # a null key is a key too
+    ranked = (pos.join(counts, on).drop(*[f"__k{i}" for i in range(len(ks))])
+              .withColumn("__from_end", F.col("__cnt") - F.col("__one_before")))
     older = (F.col("__cnt") > trigger) & (F.col("__from_end") > keep)
     kept = ranked.where(~older).select(*[F.col(qcol(c)) for c in df.columns])
     lines = ranked.where(older).select(*ks, F.struct(F.col(qcol(o)).alias("o"), F.concat_ws(

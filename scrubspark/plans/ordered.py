@@ -45,12 +45,16 @@ def _local_scan(seg_cols: list[str], sum_cols: list[str]):
                 continue
             n = len(pdf)
             if seg_cols:
-                keys = pdf[seg_cols].to_numpy()
-                change = np.ones(n, dtype=bool)
-                if n > 1:
-                    change[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+                keys = pdf[seg_cols].to_numpy(dtype=object)
+                prev = np.empty_like(keys)
+                prev[1:] = keys[:-1]
                 if last_key is not None:
-                    change[0] = bool((keys[0] != last_key).any())
+                    prev[0] = last_key
+                # a missing key (None, or NaN after Arrow) equals a missing key
+                same = (keys == prev) | (pd.isna(keys) & pd.isna(prev))
+                change = ~same.all(axis=1)
+                if last_key is None:
+                    change[0] = True
                 seg_id = np.cumsum(change)
                 last_key = keys[-1].copy()
             else:
@@ -80,8 +84,8 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str
                 segment_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """Add ``<c>_before``: the sum of ``c`` over earlier rows of the same segment in order.
 
-    ``sum_cols`` must be non-null numbers and ``segment_cols`` non-null; rows that tie on
-    (segment, order) get an arbitrary but fixed order among themselves.
+    ``sum_cols`` must be non-null numbers; a null segment key is one segment; rows that tie
+    on (segment, order) get an arbitrary but fixed order among themselves.
     """
     spark = df.sparkSession
     seg, order, sums = list(segment_cols), list(order_cols), list(sum_cols)

@@ -136,3 +136,14 @@ def test_reports_on_an_empty_table(spark):
     assert correlation.compute_correlation(df, "pearson", 0.0).count() == 0
     assert cells.fill_missing(df, "x", "median").count() == 0
     assert rows.remove_outliers(df, "x").count() == 0
+
+
+def test_prefix_sums_null_segment_spans_ranges(spark):
+    data = [(None if i % 3 else i % 2, i, 1) for i in range(2000)]
+    df = spark.createDataFrame(data, "seg int, o long, v long")
+    got = {r["o"]: r["v_before"] for r in prefix_sums(df, ["o"], ["v"], ["seg"], 7).collect()}
+    pdf = pd.DataFrame(data, columns=["seg", "o", "v"])
+    pdf["seg"] = pdf["seg"].fillna(-1)
+    pdf = pdf.sort_values(["seg", "o"])
+    pdf["b"] = pdf.groupby("seg")["v"].cumsum() - pdf["v"]
+    assert got == dict(zip(pdf.o, pdf.b))

@@ -72,6 +72,9 @@ def test_history(spark):
     assert set(f) == {1, 2} and f[1]["n_folded"] == 4
     assert f[1]["transcript"].split("\n")[0] == "user: m1.0"
     assert kept.count() == conv.count() - 4 - 8
+    nulls = conv.selectExpr("CASE WHEN c = 2 THEN NULL ELSE c END AS c", "t", "role", "text")
+    kept_n, folded_n = history.fold_older_turns(nulls, ["c"], "t", "role", "text", trigger=5, keep=2)
+    assert kept_n.count() == kept.count() and folded_n.count() == 2
 
 
 def test_csv_roundtrip_inference(spark, people):

@@ -114,8 +114,8 @@ def _kendall(cells: DataFrame) -> DataFrame:
           .agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2")))
     # dense rank of y per pair, then bit levels
     ry = _ranks(cells, ("y",)).select("k", F.col("value").alias("y"), F.col("dense_rank").alias("r"))
+    top_rank = ry.agg(F.max("r")).first()[0] or 0   # from the (written) rank table, no join
     ranked = cells.join(ry, ["k", "y"])
-    top_rank = ranked.agg(F.max("r")).first()[0] or 0
     levels = max(1, int(top_rank).bit_length())
     bits = ranked.select("k", "x", "cnt", "r", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("lvl"))
     bits = bits.select("k", "lvl", F.expr("shiftright(r, lvl + 1)").alias("prefix"), "x", "cnt",

@@ -286,7 +286,7 @@ def detect_missing_pattern(df: DataFrame, column: str, order_by: Sequence[str])
                                     F.lit(0.0 if m == 0 else 1.0).alias("frac_last"),
                                     F.lit(m).cast("long").alias("longest_run"),
                                     F.lit(PATTERNS["none" if m == 0 else "all"]).alias("pattern"))
-    ps = prefix_sums(base.withColumn("__one", F.lit(1).cast("long")), order, ["__one", "__null"])
+    ps = prefix_sums(base.withColumn("__one", F.lit(1).cast("long")), order, ["__one", "__null"], row_bound=n)
     pos = F.col("__one_before")
     nulls = ps.where(F.col("__null") == 1)
     runs = (nulls.groupBy((pos - F.col("__null_before")).alias("island")).agg(F.count(F.lit(1)).alias("run"))

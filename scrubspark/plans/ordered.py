@@ -13,6 +13,10 @@ computes the same running totals with every task bounded:
 4. a per-range summary (``P`` rows: first segment, last segment, last segment's total)
    gives each range the carry-in from earlier ranges with a window over those ``P`` rows;
 5. the carry table, bounded by ``P``, is broadcast back on the range id.
+
+When the caller knows the input has at most ``SMALL_SCAN_ROWS`` rows (``row_bound``), the
+same sums come from one window, in one bounded task, skipping the sampling job, the range
+shuffle and the table write; the bound is checked, as with a broadcast threshold.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from scrubspark.contracts import qcol
 from scrubspark.session import scratch_path
 
 PID = "__pid"
+SMALL_SCAN_ROWS = 1_000_000
 
 
 def _local_scan(seg_cols: list[str], sum_cols: list[str]):
@@ -81,15 +86,23 @@ def _local_scan(seg_cols: list[str], sum_cols: list[str]):
 
 
 def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
-                segment_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+                segment_cols: Sequence[str] = (), num_partitions: int | None = None,
+                row_bound: int | None = None) -> DataFrame:
     """Add ``<c>_before``: the sum of ``c`` over earlier rows of the same segment in order.
 
     ``sum_cols`` must be non-null numbers; a null segment key is one segment; rows that tie
-    on (segment, order) get an arbitrary but fixed order among themselves.
+    on (segment, order) get an arbitrary but fixed order among themselves. ``row_bound`` is
+    a known upper bound on the input's row count (enables the small-input path).
     """
     spark = df.sparkSession
     seg, order, sums = list(segment_cols), list(order_cols), list(sum_cols)
     keys = [F.col(qcol(k)) for k in seg + order]
+    if row_bound is not None and row_bound <= SMALL_SCAN_ROWS:
+        w = Window.partitionBy(*[F.col(qcol(k)) for k in seg]).orderBy(*keys).rowsBetween(
+            Window.unboundedPreceding, -1)
+        return df.select(*[F.col(qcol(c)) for c in df.columns],
+                         *[F.coalesce(F.sum(F.col(qcol(c))).over(w), F.lit(0)).cast(df.schema[c].dataType)
+                           .alias(c + "_before") for c in sums])
     # Without an explicit count AQE may coalesce adjacent ranges, which keeps them contiguous.
     ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
     ranged = ranged.sortWithinPartitions(*keys)
@@ -126,8 +139,9 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str
 
 
 def positions(df: DataFrame, order_cols: Sequence[str], name: str = "position",
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, row_bound: int | None = None) -> DataFrame:
     """0-based dense position of each row in ``order_cols`` order."""
     one = "__one"
-    out = prefix_sums(df.withColumn(one, F.lit(1).cast("long")), order_cols, [one], num_partitions=num_partitions)
+    out = prefix_sums(df.withColumn(one, F.lit(1).cast("long")), order_cols, [one], num_partitions=num_partitions,
+                      row_bound=row_bound)
     return out.withColumnRenamed(one + "_before", name).drop(one)

@@ -56,3 +56,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the checkpoint folder for tables an operator writes."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, label: str):
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back:
+    computed once, lineage cut, nothing pinned in executor memory."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

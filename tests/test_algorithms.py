@@ -147,3 +147,31 @@ def test_prefix_sums_null_segment_spans_ranges(spark):
     pdf = pdf.sort_values(["seg", "o"])
     pdf["b"] = pdf.groupby("seg")["v"].cumsum() - pdf["v"]
     assert got == dict(zip(pdf.o, pdf.b))
+
+
+@pytest.fixture()
+def distributed_scans(monkeypatch):
+    """Force the range-partitioned path even for small inputs."""
+    from scrubspark.plans import ordered
+
+    monkeypatch.setattr(ordered, "SMALL_SCAN_ROWS", -1)
+
+
+def test_small_and_distributed_scans_agree(spark, monkeypatch):
+    from scrubspark.plans import ordered
+
+    rnd = random.Random(3)
+    data = [(rnd.randint(0, 3), i, rnd.randint(0, 9)) for i in range(1500)]
+    df = spark.createDataFrame(data, "seg int, o long, v long")
+    small = sorted(tuple(r) for r in prefix_sums(df, ["o"], ["v"], ["seg"], row_bound=1500).collect())
+    monkeypatch.setattr(ordered, "SMALL_SCAN_ROWS", -1)
+    big = sorted(tuple(r) for r in prefix_sums(df, ["o"], ["v"], ["seg"], row_bound=1500).collect())
+    assert small == big
+
+
+def test_rank_correlations_distributed_path(spark, distributed_scans):
+    test_kendall_and_spearman_with_ties_and_nulls(spark)
+
+
+def test_missing_pattern_distributed_path(spark, distributed_scans):
+    test_missing_pattern_block_spanning_partitions(spark)

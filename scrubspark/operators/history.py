@@ -40,7 +40,9 @@ def fold_older_turns(df: DataFrame, keys: Sequence[str], order_by: str, role_col
     role, text = resolve_column(df, role_col), resolve_column(df, text_col)
     counts = df.groupBy(*[F.col(qcol(k)).alias(f"__k{i}") for i, k in enumerate(ks)]).agg(
         F.count(F.lit(1)).alias("__cnt"))
-    pos = prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), [o], ["__one"], segment_cols=ks)
+    # the row count (footer metadata for a Parquet scan) lets small inputs take one window
+    pos = prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), [o], ["__one"], segment_cols=ks,
+                      row_bound=df.count())
     on = [pos[qcol(k)].eqNullSafe(counts[f"__k{i}"]) for i, k in enumerate(ks)]  # a null key is a key too
     ranked = (pos.join(counts, on).drop(*[f"__k{i}" for i in range(len(ks))])
               .withColumn("__from_end", F.col("__cnt") - F.col("__one_before")))

@@ -149,14 +149,6 @@ def test_prefix_sums_null_segment_spans_ranges(spark):
     assert got == dict(zip(pdf.o, pdf.b))
 
 
-@pytest.fixture()
-def distributed_scans(monkeypatch):
-    """Force the range-partitioned path even for small inputs."""
-    from scrubspark.plans import ordered
-
-    monkeypatch.setattr(ordered, "SMALL_SCAN_ROWS", -1)
-
-
 def test_small_and_distributed_scans_agree(spark, monkeypatch):
     from scrubspark.plans import ordered
 

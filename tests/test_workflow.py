@@ -172,3 +172,7 @@ def test_csv_file_order_and_failfast(spark, tmp_path):
     bad.write_text("k,v\n1,2\n3,4,5\n")
     with pytest.raises(Exception):
         csv.read_csv(spark, str(bad)).collect()
+
+
+def test_history_distributed_path(spark, distributed_scans):
+    test_history(spark)

@@ -28,6 +28,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}  # local-mode sessions with no shared folder configured
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
@@ -45,8 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         master = sc.master if sc is not None else spark.conf.get("spark.master", "")
         if not master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a shared folder; checkpoints cannot live on one machine.")
-        configured = tempfile.mkdtemp(prefix="scrubspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        key = sc.applicationId if sc is not None else "connect"
+        configured = _LOCAL_FOLDERS.setdefault(key, tempfile.mkdtemp(prefix="scrubspark-ckpt-"))
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured

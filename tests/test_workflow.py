@@ -1,5 +1,7 @@
 """Recipe, versions, history, CSV and stream application."""
 
+import tempfile
+
 import pytest
 
 from scrubspark.operators import history, rows
@@ -176,3 +178,33 @@ def test_csv_file_order_and_failfast(spark, tmp_path):
 
 def test_history_distributed_path(spark, distributed_scans):
     test_history(spark)
+
+
+def test_checkpoint_folder_rules():
+    from scrubspark import session
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return dict.get(self, k, d)
+
+    class SC:
+        def __init__(self, master):
+            self.master, self.applicationId, self.dir = master, "app-x", None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Sess:
+        def __init__(self, conf, master):
+            self.conf, self.sparkContext = Conf(conf), SC(master)
+
+    shared = Sess({"spark.checkpoint.dir": "hdfs://nn/shared"}, "yarn")
+    assert session.checkpoint_dir(shared) == "hdfs://nn/shared"
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Sess({}, "yarn"))          # never invent a local folder on a cluster
+    local = Sess({}, "local[4]")
+    first = session.checkpoint_dir(local)
+    assert first.startswith(tempfile.gettempdir()) and session.checkpoint_dir(local) == first

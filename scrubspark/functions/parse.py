@@ -27,8 +27,16 @@ DATETIME_FORMATS = [
     "MM/dd/yyyy HH:mm:ss",
 ]
 
-# Whitespace removed at both ends by trim (Unicode separators, ASCII
-# controls and file/group/record/unit separators, next-line).
+# Whitespace removed at both ends by trim (what Python's str.strip removes:
+# ASCII tab..carriage return, file/group/record/unit separators, space, next-line, and the
+# Unicode space, line and paragraph separators), as code points in order.
+WHITESPACE_CODE_POINTS = [
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+    0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A,
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]
+WHITESPACE_CHARS = "".join(chr(c) for c in WHITESPACE_CODE_POINTS)
+# The same set as a regular-expression class (for SQL engines without a trim set).
 WHITESPACE_CLASS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 
 # Cased letters; a cased letter after anything else starts a word in title case.
@@ -77,8 +85,10 @@ def to_timestamp_ntz(col: Column, dt: T.DataType, formats: Sequence[str] | None
 
 
 def unicode_trim(col: Column) -> Column:
-    """Strip Unicode whitespace at both ends (Spark's ``trim`` only removes spaces)."""
-    return F.regexp_replace(col, f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$", "")
+    """Strip Unicode whitespace at both ends. ``trim`` with a character set only walks in
+    from the two ends (no regular expression over the whole text); plain ``trim`` would
+    only remove spaces."""
+    return F.trim(col, F.lit(WHITESPACE_CHARS))
 
 
 def title_case(col: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scrubspark.functions.parse import WHITESPACE_CLASS
 from scrubspark.operators import cells, reports, rows
 from scrubspark.suite.dirty import table
 from scrubspark.suite.registry import register
 
-# DuckDB twin of functions.parse.WHITESPACE_CLASS
-_WS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
+_WS = WHITESPACE_CLASS  # the trim set as a regex class (RE2 and Java read it alike)
 
 
 @register("doc_dedup_text", """

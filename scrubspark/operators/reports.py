@@ -89,6 +89,44 @@ def table_shape(df: DataFrame) -> DataFrame:
         F.coalesce("duplicate_rows", F.lit(0).cast("long")).alias("duplicate_rows"))
 
 
+def _distinct_and_tops(df: DataFrame, cols: Sequence[str], kinds: dict[str, str], k: int):
+    """(column, unique_count) and (column, top array of (value, n)) from one frequency pass.
+
+    One unpivot for every column: text columns keep their text (for top values), others are
+    grouped as doubles or zone-free timestamps (no number formatting). Grouping is map-side
+    combined; both results read the same aggregate, so Spark reuses its shuffle.
+    """
+    def slot(c: str, kind: str):
+        dt = field_type(df, c)
+        if kind == "text":
+            return _value_text(df, c), None, None
+        if isinstance(dt, (T.TimestampNTZType, T.DateType)):  # zone-free wall clock
+            return None, None, F.col(qcol(c)).cast("timestamp_ntz")
+        return None, _value_double(df, c), None
+
+    items = []
+    for c in cols:
+        sv, dv, tv = slot(c, kinds[c])
+        items.append(F.struct(F.lit(c).alias("column"),
+                              (sv if sv is not None else F.lit(None).cast("string")).alias("s"),
+                              (dv if dv is not None else F.lit(None).cast("double")).alias("d"),
+                              (tv if tv is not None else F.lit(None).cast("timestamp_ntz")).alias("t")))
+    freq = (df.select(_stack(items).alias("p")).select("p.*")
+            .where(F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull())
+            .groupBy("column", "s", "d", "t").agg(F.count(F.lit(1)).alias("n")))
+    # sum(signum(n)) counts the groups while still reading n, so the optimizer keeps the
+    # count in this consumer of ``freq`` too and both consumers share one shuffle
+    distinct = freq.groupBy("column").agg(F.sum(F.signum("n")).cast("long").alias("unique_count"))
+    # filter text values after the top-k window: a filter there cannot move below the
+    # aggregate, so this branch and ``distinct`` share one frequency shuffle
+    tops = (top_values(freq.select("column", F.col("s").alias("value"), "n"), k)
+            .where(F.col("value").isNotNull())
+            .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
+            .select("column", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
+                    .alias("top")))
+    return distinct, tops
+
+
 def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool = True) -> DataFrame:
     """One row per column: dtype, null_count, null_pct, unique_count; min/max/mean/std for
     numbers (4 dp); min/max as text for datetimes; top categories for the rest."""
@@ -123,40 +161,12 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
             *[(F.col(f"d{s}{i}") if kinds[c] == "datetime" else none_s).alias(f"dt_{s}") for s in ("min", "max")],
         ))
     summary = wide.select(_stack(rows).alias("r")).select("r.*")
-    # One unpivot for every column: text columns keep their text (for top values), others
-    # are compared as doubles (no number formatting). Grouping is map-side combined.
-    def slot(c: str, kind: str):
-        dt = field_type(df, c)
-        if kind == "text":
-            return _value_text(df, c), None, None
-        if isinstance(dt, (T.TimestampNTZType, T.DateType)):  # zone-free wall clock
-            return None, None, F.col(qcol(c)).cast("timestamp_ntz")
-        return None, _value_double(df, c), None
-
-    items = []
-    for c in cols:
-        sv, dv, tv = slot(c, kinds[c])
-        items.append(F.struct(F.lit(c).alias("column"),
-                              (sv if sv is not None else F.lit(None).cast("string")).alias("s"),
-                              (dv if dv is not None else F.lit(None).cast("double")).alias("d"),
-                              (tv if tv is not None else F.lit(None).cast("timestamp_ntz")).alias("t")))
-    freq = (df.select(_stack(items).alias("p")).select("p.*")
-            .where(F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull())
-            .groupBy("column", "s", "d", "t").agg(F.count(F.lit(1)).alias("n")))
-    # sum(signum(n)) counts the groups while still reading n, so the optimizer keeps the
-    # count in this consumer of ``freq`` too and both consumers share one shuffle
-    distinct = freq.groupBy("column").agg(F.sum(F.signum("n")).cast("long").alias("unique_count"))
-    # filter text values after the top-k window: a filter there cannot move below the
-    # aggregate, so this branch and ``distinct`` share one frequency shuffle
-    tops = (top_values(freq.select("column", F.col("s").alias("value"), "n"), max_categories)
-            .where(F.col("value").isNotNull())
-            .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
-            .select("column", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
-                    .alias("top_categories")))
+    distinct, tops = _distinct_and_tops(df, cols, kinds, max_categories)
     out = (summary.join(distinct, "column", "left") if exact_distinct else summary).join(tops, "column", "left")
     uniq = (F.coalesce("unique_count", F.lit(0).cast("long")) if exact_distinct else F.col("approx_unique"))
     return out.select("ordinal", "column", "dtype", "null_count", "null_pct", uniq.alias("unique_count"),
-                      "min", "max", "mean", "std", "dt_min", "dt_max", "top_categories").orderBy("ordinal")
+                      "min", "max", "mean", "std", "dt_min", "dt_max", F.col("top").alias("top_categories")
+                      ).orderBy("ordinal")
 
 
 # --- profile_column -------------------------------------------------------------------
@@ -202,6 +212,62 @@ def profile_column(df: DataFrame, column: str, top_n: int = 5,
     return a.select(*sel, arr.scalar().alias("top_values"))
 
 
+def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 5,
+                    accuracy: int = stats.DEFAULT_ACCURACY, exact: bool = True) -> DataFrame:
+    """``profile_column`` for many columns at once (all by default), one row per column.
+
+    One wide aggregate holds every count and moment, one batched fit gives every median
+    (two passes however many columns), and one frequency shuffle gives distinct counts and
+    top values: a whole-table profile costs a fixed number of passes, not several per column.
+    """
+    cols = resolve_columns(df, columns) if columns else list(df.columns)
+    numeric = {c: _kind(field_type(df, c)) == "numeric" and not isinstance(field_type(df, c), T.BooleanType)
+               for c in cols}
+    kinds = {c: ("numeric" if numeric[c] else "text") for c in cols}
+    num_cols = [c for c in cols if numeric[c]]
+    medians = stats.fit(df, [(c, 0.5) for c in num_cols], [], accuracy, exact)[0] if num_cols else {}
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(cols):
+        aggs.append(F.sum(missing(F.col(qcol(c)), field_type(df, c)).cast("long")).alias(f"miss{i}"))
+        if numeric[c]:
+            v = _num(df, c)
+            aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"avg{i}"),
+                     F.stddev_samp(v).alias(f"sd{i}"), F.count(v).alias(f"nn{i}"), F.skewness(v).alias(f"g1{i}"),
+                     F.kurtosis(v).alias(f"g2{i}"), F.var_pop(v).alias(f"m2{i}")]
+    wide = df.agg(*aggs)
+    none = F.lit(None).cast("double")
+    rows = []
+    for i, c in enumerate(cols):
+        if numeric[c]:
+            n = F.col(f"nn{i}").cast("double")
+            flat = F.col(f"m2{i}") == 0
+            skew = (F.when(n < 3, none).when(flat, F.lit(0.0))
+                    .otherwise(F.col(f"g1{i}") * F.sqrt(n * (n - 1)) / (n - 2)))
+            kurt = (F.when(n < 4, none).when(flat, F.lit(0.0))
+                    .otherwise(((n + 1) * F.col(f"g2{i}") + 6) * (n - 1) / ((n - 2) * (n - 3))))
+            stats_ = [F.round(F.col(f"mn{i}"), 3), F.round(F.col(f"mx{i}"), 3), F.round(F.col(f"avg{i}"), 3),
+                      F.round(F.lit(medians[(c, 0.5)]).cast("double"), 3), F.round(F.col(f"sd{i}"), 3),
+                      F.round(skew, 3), F.round(kurt, 3)]
+        else:
+            stats_ = [none] * 7
+        rows.append(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
+                             F.lit(field_type(df, c).simpleString()).alias("dtype"),
+                             F.col("__rows").alias("rows"), F.col(f"miss{i}").alias("missing"),
+                             *[e.alias(name) for e, name in zip(stats_, ["min", "max", "mean", "median", "std",
+                                                                         "skewness", "kurtosis"])]))
+    summary = wide.select(_stack(rows).alias("r")).select("r.*")
+    distinct, tops = _distinct_and_tops(df, cols, kinds, top_n)
+    out = summary.join(distinct, "column", "left").join(tops, "column", "left")
+    rows_, miss = F.col("rows"), F.col("missing")
+    uniq = F.coalesce("unique_count", F.lit(0).cast("long"))
+    pct = F.when(rows_ > 0, F.round(miss * 100.0 / rows_, 2)).otherwise(F.lit(0.0))
+    score = F.greatest(F.lit(0.0), F.round(
+        F.lit(100.0) - pct - F.when((rows_ > 0) & (uniq == 1), F.lit(20.0)).otherwise(F.lit(0.0)), 1))
+    return out.select("ordinal", "column", "dtype", "rows", "missing", pct.alias("missing_pct"),
+                      uniq.alias("unique"), score.alias("quality_score"), "min", "max", "mean", "median", "std",
+                      "skewness", "kurtosis", F.col("top").alias("top_values")).orderBy("ordinal")
+
+
 # --- outlier report -------------------------------------------------------------------
 
 def detect_outliers_report(df: DataFrame, column: str | None = None, iqr_multiplier: float = 1.5,

@@ -220,3 +220,29 @@ def _pattern_query(c: str):
 for _name, _col in [("missing_front", "v_front"), ("missing_tail", "v_tail"), ("missing_block", "v_block"),
                     ("missing_sporadic", "v_sporadic"), ("missing_all", "v_all"), ("missing_none", "value")]:
     register(_name, _pattern_sql(_col))(_pattern_query(_col))
+
+
+def _profile_all_sql() -> str:
+    parts = []
+    for c in _DC_COLS:
+        pct = f"round(count(*) FILTER (WHERE {c} IS NULL) * 100.0::DOUBLE / count(*), 2)"
+        head = (f"SELECT '{c}' AS column, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_missing, "
+                f"{pct} AS missing_pct, count(DISTINCT {c}) AS n_unique, greatest(0.0::DOUBLE, round(100.0::DOUBLE - "
+                f"{pct} - CASE WHEN count(DISTINCT {c}) = 1 THEN 20.0 ELSE 0.0 END, 1)) AS quality_score")
+        if c in ("c_custkey", "acctbal"):
+            tail = (f"round(min({c})::DOUBLE, 3) AS min, round(max({c})::DOUBLE, 3) AS max, round(avg({c}), 3) AS mean, "
+                    f"round(quantile_cont({c}, 0.5)::DOUBLE, 3) AS median, round(stddev_samp({c}), 3) AS std, "
+                    f"round(skewness({c}), 3) AS skewness, round(kurtosis({c}), 3) AS kurtosis")
+        else:
+            tail = ", ".join(f"NULL::DOUBLE AS {x}" for x in ["min", "max", "mean", "median", "std", "skewness",
+                                                              "kurtosis"])
+        parts.append(f"{head}, {tail} FROM dirty_customer")
+    return DC + "\nUNION ALL\n".join(parts)
+
+
+@register("profile_all_columns", _profile_all_sql())
+def profile_all_columns(spark, sf):
+    p = reports.profile_columns(view(spark, sf, "dirty_customer"))
+    return p.select("column", F.col("rows").alias("n_rows"), F.col("missing").alias("n_missing"), "missing_pct",
+                    F.col("unique").alias("n_unique"), "quality_score", "min", "max", "mean", "median", "std",
+                    "skewness", "kurtosis")

@@ -167,3 +167,12 @@ def test_rank_correlations_distributed_path(spark, distributed_scans):
 
 def test_missing_pattern_distributed_path(spark, distributed_scans):
     test_missing_pattern_block_spanning_partitions(spark)
+
+
+def test_profile_columns_equals_profile_column(people):
+    fused = {r["column"]: r for r in reports.profile_columns(people).collect()}
+    for c in people.columns:
+        one = reports.profile_column(people, c).first().asDict()
+        got = fused[c].asDict()
+        for k, v in one.items():
+            assert got[k] == v, (c, k, got[k], v)

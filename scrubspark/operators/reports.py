@@ -231,8 +231,10 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, top_n:
         aggs.append(F.sum(missing(F.col(qcol(c)), field_type(df, c)).cast("long")).alias(f"miss{i}"))
         if numeric[c]:
             v = _num(df, c)
+            # the sample std is derived from var_pop: every moment aggregate keeps its own
+            # buffer, and fewer of them keep the fused aggregate inside whole-stage codegen
             aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"avg{i}"),
-                     F.stddev_samp(v).alias(f"sd{i}"), F.count(v).alias(f"nn{i}"), F.skewness(v).alias(f"g1{i}"),
+                     F.count(v).alias(f"nn{i}"), F.skewness(v).alias(f"g1{i}"),
                      F.kurtosis(v).alias(f"g2{i}"), F.var_pop(v).alias(f"m2{i}")]
     wide = df.agg(*aggs)
     none = F.lit(None).cast("double")
@@ -245,8 +247,9 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, top_n:
                     .otherwise(F.col(f"g1{i}") * F.sqrt(n * (n - 1)) / (n - 2)))
             kurt = (F.when(n < 4, none).when(flat, F.lit(0.0))
                     .otherwise(((n + 1) * F.col(f"g2{i}") + 6) * (n - 1) / ((n - 2) * (n - 3))))
+            sd = F.when(n > 1, F.sqrt(F.col(f"m2{i}") * n / (n - 1)))
             stats_ = [F.round(F.col(f"mn{i}"), 3), F.round(F.col(f"mx{i}"), 3), F.round(F.col(f"avg{i}"), 3),
-                      F.round(F.lit(medians[(c, 0.5)]).cast("double"), 3), F.round(F.col(f"sd{i}"), 3),
+                      F.round(F.lit(medians[(c, 0.5)]).cast("double"), 3), F.round(sd, 3),
                       F.round(skew, 3), F.round(kurt, 3)]
         else:
             stats_ = [none] * 7

@@ -1,7 +1,8 @@
 """Read-only quality reports. Each returns a DataFrame with typed columns (not a string).
 
 Shared plan shapes:
-* one wide aggregate per table for null counts and moments (one scan);
+* wide aggregates for null counts and moments (one per 16 columns, so generated code stays
+  small; with Parquet each reads only its columns);
 * one value-frequency aggregate over the table unpivoted to (column, value), which gives
   both exact distinct counts and top values (numbers and datetimes grouped as doubles); top-k per column uses ``row_number() <= k``
   so Spark inserts a partial ``WindowGroupLimit`` before the shuffle;
@@ -89,6 +90,32 @@ def table_shape(df: DataFrame) -> DataFrame:
         F.coalesce("duplicate_rows", F.lit(0).cast("long")).alias("duplicate_rows"))
 
 
+COLUMNS_PER_AGGREGATE = 16
+
+
+def _wide_rows(df: DataFrame, cols: Sequence[str], aggs_of, row_of) -> DataFrame:
+    """Per-column report rows from wide aggregates over chunks of columns.
+
+    ``aggs_of(i, c)`` gives the aggregates of column ``c`` (aliased with its index ``i``),
+    ``row_of(i, c)`` the struct of its report row over those results and ``__rows``. A chunk
+    of at most ``COLUMNS_PER_AGGREGATE`` columns keeps each aggregate small enough for
+    whole-stage codegen; with Parquet each chunk reads only its own columns. The chunks'
+    rows are unioned (no join between one-row results).
+    """
+    parts = []
+    for start in range(0, len(cols), COLUMNS_PER_AGGREGATE):
+        chunk = list(enumerate(cols))[start:start + COLUMNS_PER_AGGREGATE]
+        aggs = [F.count(F.lit(1)).alias("__rows")]
+        for i, c in chunk:
+            aggs += aggs_of(i, c)
+        wide = df.agg(*aggs)
+        parts.append(wide.select(_stack([row_of(i, c) for i, c in chunk]).alias("r")).select("r.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _distinct_and_tops(df: DataFrame, cols: Sequence[str], kinds: dict[str, str], k: int):
     """(column, unique_count) and (column, top array of (value, n)) from one frequency pass.
 
@@ -132,24 +159,24 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
     numbers (4 dp); min/max as text for datetimes; top categories for the rest."""
     cols = df.columns
     kinds = {c: _kind(field_type(df, c)) for c in cols}
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(cols):
-        dt = field_type(df, c)
-        aggs.append(F.sum(missing(F.col(qcol(c)), dt).cast("long")).alias(f"nulls{i}"))
+
+    def aggs_of(i: int, c: str) -> list:
+        out = [F.sum(missing(F.col(qcol(c)), field_type(df, c)).cast("long")).alias(f"nulls{i}")]
         if not exact_distinct:
-            aggs.append(F.approx_count_distinct(F.col(qcol(c))).alias(f"uniq{i}"))
+            out.append(F.approx_count_distinct(F.col(qcol(c))).alias(f"uniq{i}"))
         if kinds[c] == "numeric":
             v = _num(df, c)
-            aggs += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"), F.avg(v).alias(f"mean{i}"),
-                     F.stddev_samp(v).alias(f"std{i}")]
+            out += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"), F.avg(v).alias(f"mean{i}"),
+                    F.stddev_samp(v).alias(f"std{i}")]
         elif kinds[c] == "datetime":
-            aggs += [F.min(F.col(qcol(c))).cast("string").alias(f"dmin{i}"),
-                     F.max(F.col(qcol(c))).cast("string").alias(f"dmax{i}")]
-    wide = df.agg(*aggs)
+            out += [F.min(F.col(qcol(c))).cast("string").alias(f"dmin{i}"),
+                    F.max(F.col(qcol(c))).cast("string").alias(f"dmax{i}")]
+        return out
+
     none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
-    rows = []
-    for i, c in enumerate(cols):
-        rows.append(F.struct(
+
+    def row_of(i: int, c: str):
+        return F.struct(
             F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
             F.lit(field_type(df, c).simpleString()).alias("dtype"),
             F.col(f"nulls{i}").alias("null_count"),
@@ -159,8 +186,9 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
             *[(F.round(F.col(f"{s}{i}"), 4) if kinds[c] == "numeric" else none_d).alias(s)
               for s in ("min", "max", "mean", "std")],
             *[(F.col(f"d{s}{i}") if kinds[c] == "datetime" else none_s).alias(f"dt_{s}") for s in ("min", "max")],
-        ))
-    summary = wide.select(_stack(rows).alias("r")).select("r.*")
+        )
+
+    summary = _wide_rows(df, cols, aggs_of, row_of)
     distinct, tops = _distinct_and_tops(df, cols, kinds, max_categories)
     out = (summary.join(distinct, "column", "left") if exact_distinct else summary).join(tops, "column", "left")
     uniq = (F.coalesce("unique_count", F.lit(0).cast("long")) if exact_distinct else F.col("approx_unique"))
@@ -216,9 +244,9 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, top_n:
                     accuracy: int = stats.DEFAULT_ACCURACY, exact: bool = True) -> DataFrame:
     """``profile_column`` for many columns at once (all by default), one row per column.
 
-    One wide aggregate holds every count and moment, one batched fit gives every median
-    (two passes however many columns), and one frequency shuffle gives distinct counts and
-    top values: a whole-table profile costs a fixed number of passes, not several per column.
+    Wide aggregates (one per 16 columns) hold every count and moment, one batched fit gives
+    every median (two passes however many columns), and one frequency shuffle gives distinct
+    counts and top values: a whole-table profile costs a few passes, not several per column.
     """
     cols = resolve_columns(df, columns) if columns else list(df.columns)
     numeric = {c: _kind(field_type(df, c)) == "numeric" and not isinstance(field_type(df, c), T.BooleanType)
@@ -226,20 +254,20 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, top_n:
     kinds = {c: ("numeric" if numeric[c] else "text") for c in cols}
     num_cols = [c for c in cols if numeric[c]]
     medians = stats.fit(df, [(c, 0.5) for c in num_cols], [], accuracy, exact)[0] if num_cols else {}
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(cols):
-        aggs.append(F.sum(missing(F.col(qcol(c)), field_type(df, c)).cast("long")).alias(f"miss{i}"))
+    none = F.lit(None).cast("double")
+
+    def aggs_of(i: int, c: str) -> list:
+        out = [F.sum(missing(F.col(qcol(c)), field_type(df, c)).cast("long")).alias(f"miss{i}")]
         if numeric[c]:
             v = _num(df, c)
             # the sample std is derived from var_pop: every moment aggregate keeps its own
-            # buffer, and fewer of them keep the fused aggregate inside whole-stage codegen
-            aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"avg{i}"),
-                     F.count(v).alias(f"nn{i}"), F.skewness(v).alias(f"g1{i}"),
-                     F.kurtosis(v).alias(f"g2{i}"), F.var_pop(v).alias(f"m2{i}")]
-    wide = df.agg(*aggs)
-    none = F.lit(None).cast("double")
-    rows = []
-    for i, c in enumerate(cols):
+            # buffer, and fewer of them keep the aggregate inside whole-stage codegen
+            out += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"), F.avg(v).alias(f"avg{i}"),
+                    F.count(v).alias(f"nn{i}"), F.skewness(v).alias(f"g1{i}"),
+                    F.kurtosis(v).alias(f"g2{i}"), F.var_pop(v).alias(f"m2{i}")]
+        return out
+
+    def row_of(i: int, c: str):
         if numeric[c]:
             n = F.col(f"nn{i}").cast("double")
             flat = F.col(f"m2{i}") == 0
@@ -253,12 +281,13 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, top_n:
                       F.round(skew, 3), F.round(kurt, 3)]
         else:
             stats_ = [none] * 7
-        rows.append(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
-                             F.lit(field_type(df, c).simpleString()).alias("dtype"),
-                             F.col("__rows").alias("rows"), F.col(f"miss{i}").alias("missing"),
-                             *[e.alias(name) for e, name in zip(stats_, ["min", "max", "mean", "median", "std",
-                                                                         "skewness", "kurtosis"])]))
-    summary = wide.select(_stack(rows).alias("r")).select("r.*")
+        return F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
+                        F.lit(field_type(df, c).simpleString()).alias("dtype"),
+                        F.col("__rows").alias("rows"), F.col(f"miss{i}").alias("missing"),
+                        *[e.alias(name) for e, name in zip(stats_, ["min", "max", "mean", "median", "std",
+                                                                    "skewness", "kurtosis"])])
+
+    summary = _wide_rows(df, cols, aggs_of, row_of)
     distinct, tops = _distinct_and_tops(df, cols, kinds, top_n)
     out = summary.join(distinct, "column", "left").join(tops, "column", "left")
     rows_, miss = F.col("rows"), F.col("missing")

@@ -176,3 +176,27 @@ def test_profile_columns_equals_profile_column(people):
         got = fused[c].asDict()
         for k, v in one.items():
             assert got[k] == v, (c, k, got[k], v)
+
+
+def test_wide_table_summary_and_profile_in_chunks(spark):
+    rnd = np.random.default_rng(21)
+    data = rnd.normal(size=(300, 40)).round(3)
+    data[rnd.random(size=data.shape) < 0.05] = np.nan
+    pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(40)])
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"c{i} double" for i in range(40)))
+    summ = {r["column"]: r for r in reports.column_summary(df).collect()}
+    prof = {r["column"]: r for r in reports.profile_columns(df).collect()}
+    assert len(summ) == 40 and len(prof) == 40
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def half_up(x, d):  # the reports round half-up on the decimal form (SURVEY S7), as Spark and DuckDB do
+        return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-d), ROUND_HALF_UP))
+
+    for c in pdf.columns:
+        s = pdf[c]
+        assert summ[c]["null_count"] == int(s.isna().sum()) and summ[c]["unique_count"] == s.nunique()
+        assert summ[c]["mean"] == pytest.approx(half_up(s.mean(), 4), abs=1.5e-4)
+        assert prof[c]["std"] == pytest.approx(half_up(s.std(), 3), abs=1.5e-3)
+        assert prof[c]["median"] == half_up(s.median(), 3)
+        assert prof[c]["skewness"] == pytest.approx(half_up(s.skew(), 3), abs=1.5e-3)
+        assert prof[c]["kurtosis"] == pytest.approx(half_up(s.kurt(), 3), abs=1.5e-3)

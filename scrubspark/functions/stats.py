@@ -12,10 +12,10 @@ computes the same exact, linearly interpolated quantile (pandas ``quantile``, Du
 
 1. ``approx_percentile`` at ``p +- margin`` brackets the two order statistics needed,
    together with the non-null count ``n``.
-2. Rows below the bracket are counted, rows inside it are grouped by value (map-side
-   combined, so a hot value costs one row per task) and a running count per bracket gives
-   each distinct value its exact global rank. Only the bracket (about ``8 n / accuracy``
-   rows before grouping) is ever ordered.
+2. Values below the bracket are counted with plain aggregates; values inside it are grouped
+   by value (map-side combined, so a hot value costs one row per task) and a running count
+   per bracket gives each distinct value its exact global rank. Only the bracket (about
+   ``8 n / accuracy`` rows before grouping) is ever materialised and ordered.
 
 If the bracket misses a rank (it cannot under the sketch's error bound, but it is checked),
 that quantile falls back to Spark's exact ``percentile``.
@@ -91,31 +91,36 @@ def fit(df: DataFrame, quantile_requests: Sequence[tuple[str, float]], mean_colu
     if not plan:
         return out, mean_of
 
-    # Pass 2: exact global ranks inside each bracket. A null value row carries the count
-    # of values below the bracket, so the running count is the global rank.
+    # Pass 2: values below each bracket are only counted (plain aggregates, no rows); values
+    # inside it are grouped by value and ranked with a running count, so a value's global
+    # rank is (count below) + (running count). The counts below arrive as a scalar subquery,
+    # so both run under one action.
+    below_row = df.agg(*[F.count_if(vals[keys[k][0]] < F.lit(t[0])).alias(f"b{k}") for k, t in plan.items()])
+    below = below_row.select(F.struct(*below_row.columns).alias("s")).scalar()
     items = []
     for k, (lo, hi, *_rest) in plan.items():
         v = vals[keys[k][0]]
-        items.append(F.when(v < F.lit(lo), F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v")))
-                     .when(v <= F.lit(hi), F.struct(F.lit(k).alias("k"), v.alias("v"))))
-    cells = (df.select(F.explode(F.array(*items)).alias("e")).where(F.col("e").isNotNull())
-             .select("e.k", "e.v").groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        items.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.struct(F.lit(k).alias("k"), v.alias("v"))))
+    inside = F.filter(F.array(*items), lambda e: e.isNotNull())
+    cells = (df.select(F.explode(inside).alias("e")).select("e.k", "e.v")
+             .groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = cells.withColumn("cum", F.sum("cnt").over(w))
-    rank_a = F.create_map(*[x for k, t in plan.items() for x in (F.lit(k), F.lit(t[2]))])
-    rank_b = F.create_map(*[x for k, t in plan.items() for x in (F.lit(k), F.lit(t[3]))])
+    below_of = F.create_map(*[x for k in plan for x in (F.lit(k), below[f"b{k}"])])
+    need_a = F.create_map(*[x for k, t in plan.items() for x in (F.lit(k), F.lit(t[2] + 1) - below[f"b{k}"])])
+    need_b = F.create_map(*[x for k, t in plan.items() for x in (F.lit(k), F.lit(t[3] + 1) - below[f"b{k}"])])
     picked = (ranked.groupBy("k").agg(
-        F.sum(F.when(F.col("v").isNull(), F.col("cnt")).otherwise(0)).alias("below"),
-        F.max("cum").alias("top"),
-        F.min(F.when(F.col("v").isNotNull() & (F.col("cum") >= rank_a[F.col("k")] + 1), F.col("v"))).alias("xa"),
-        F.min(F.when(F.col("v").isNotNull() & (F.col("cum") >= rank_b[F.col("k")] + 1), F.col("v"))).alias("xb"),
+        F.max(below_of[F.col("k")]).alias("below"),
+        F.max("cum").alias("inside"),
+        F.min(F.when(F.col("cum") >= need_a[F.col("k")], F.col("v"))).alias("xa"),
+        F.min(F.when(F.col("cum") >= need_b[F.col("k")], F.col("v"))).alias("xb"),
     ).collect())  # one row per (column, p): bounded by the request, not the data
     got = {r["k"]: r for r in picked}
 
     fallback = []
     for k, (lo, hi, ra, rb, frac) in plan.items():
         r = got.get(k)
-        if r is None or r["below"] > ra or r["top"] < rb + 1 or r["xa"] is None or r["xb"] is None:
+        if r is None or r["below"] > ra or r["below"] + r["inside"] < rb + 1 or r["xa"] is None or r["xb"] is None:
             fallback.append(k)
             continue
         out[keys[k]] = r["xa"] + (r["xb"] - r["xa"]) * frac

@@ -15,7 +15,8 @@ computes the same exact, linearly interpolated quantile (pandas ``quantile``, Du
 2. Values below the bracket are counted with plain aggregates; values inside it are grouped
    by value (map-side combined, so a hot value costs one row per task) and a running count
    per bracket gives each distinct value its exact global rank. Only the bracket (about
-   ``8 n / accuracy`` rows before grouping) is ever materialised and ordered.
+   ``8 n / accuracy`` rows before grouping, narrowed by refinement rounds to at most
+   ``BRACKET_ROWS``) is ever materialised and ordered.
 
 If the bracket misses a rank (it cannot under the sketch's error bound, but it is checked),
 that quantile falls back to Spark's exact ``percentile``.
@@ -32,7 +33,11 @@ from pyspark.sql import functions as F
 from scrubspark.contracts import field_type, qcol
 from scrubspark.functions.parse import nan_to_null, to_number
 
-DEFAULT_ACCURACY = 100_000
+DEFAULT_ACCURACY = 10_000
+# Most values ranked exactly per quantile; a wider bracket is narrowed first (checked).
+BRACKET_ROWS = 2_000_000
+# Approximate quantiles taken inside a bracket per refinement round.
+REFINE_GRID = 1_000
 
 
 def numeric_value(df: DataFrame, column: str) -> Column:
@@ -90,6 +95,7 @@ def fit(df: DataFrame, quantile_requests: Sequence[tuple[str, float]], mean_colu
         plan[k] = (lo, hi, fl, rank_b, h - fl)
     if not plan:
         return out, mean_of
+    _refine(df, vals, keys, plan, n_of, accuracy)
 
     # Pass 2: values below each bracket are only counted (plain aggregates, no rows); values
     # inside it are grouped by value and ranked with a running count, so a value's global
@@ -131,6 +137,43 @@ def fit(df: DataFrame, quantile_requests: Sequence[tuple[str, float]], mean_colu
     return out, mean_of
 
 
+def _refine(df: DataFrame, vals, keys, plan: dict, n_of: dict, accuracy: int, max_rounds: int = 8) -> None:
+    """Narrow brackets that may hold more than ``BRACKET_ROWS`` values, in place.
+
+    One pass per round for all such brackets: count the values below and inside each, and
+    take ``REFINE_GRID`` approximate quantiles of the values inside; the grid points around
+    the target ranks (plus the sketch's error) become the new bracket, about
+    ``REFINE_GRID / 8`` times narrower. Small inputs never get here.
+    """
+    wide = {k for k in plan if 8.0 * n_of[keys[k][0]] / accuracy > BRACKET_ROWS}
+    grid = F.array(*[F.lit(i / REFINE_GRID) for i in range(REFINE_GRID + 1)])
+    for _ in range(max_rounds):
+        if not wide:
+            return
+        aggs = []
+        for k in wide:
+            lo, hi = plan[k][0], plan[k][1]
+            v = vals[keys[k][0]]
+            inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+            aggs += [F.count_if(v < F.lit(lo)).alias(f"b{k}"), F.count_if(inside).alias(f"i{k}"),
+                     F.approx_percentile(F.when(inside, v), grid, accuracy).alias(f"g{k}")]
+        row = df.agg(*aggs).first()
+        still = set()
+        for k in wide:
+            lo, hi, ra, rb, frac = plan[k]
+            below, n_in, g = row[f"b{k}"], row[f"i{k}"], row[f"g{k}"]
+            if not n_in or g is None or below > ra or below + n_in < rb + 1:
+                continue  # the exact pass will notice and fall back
+            err = n_in / accuracy + 1
+            a = max(0, math.floor((ra - below - 2 * err) / max(n_in - 1, 1) * REFINE_GRID))
+            b = min(REFINE_GRID, math.ceil((rb - below + 2 * err) / max(n_in - 1, 1) * REFINE_GRID) + 1)
+            new_lo, new_hi = g[a], g[b]
+            plan[k] = (new_lo, new_hi, ra, rb, frac)
+            if n_in * (b - a + 1) / REFINE_GRID > BRACKET_ROWS and (new_lo, new_hi) != (lo, hi):
+                still.add(k)
+        wide = still
+
+
 def quantile(df: DataFrame, column: str, p: float, accuracy: int = DEFAULT_ACCURACY,
              exact: bool = True) -> float | None:
     return quantiles(df, [column], [p], accuracy, exact)[(column, float(p))]

@@ -200,3 +200,21 @@ def test_wide_table_summary_and_profile_in_chunks(spark):
         assert prof[c]["median"] == half_up(s.median(), 3)
         assert prof[c]["skewness"] == pytest.approx(half_up(s.skew(), 3), abs=1.5e-3)
         assert prof[c]["kurtosis"] == pytest.approx(half_up(s.kurt(), 3), abs=1.5e-3)
+
+
+def test_quantiles_refinement_rounds_stay_exact(spark, monkeypatch):
+    # force brackets to be "too wide" so the refinement rounds run on a small table
+    monkeypatch.setattr(stats, "BRACKET_ROWS", 50)
+    monkeypatch.setattr(stats, "REFINE_GRID", 20)
+
+    def no_fallback(*a, **k):
+        raise AssertionError("the exact pass fell back to percentile")
+
+    monkeypatch.setattr(stats.F, "percentile", no_fallback)
+    rnd = np.random.default_rng(13)
+    vals = np.concatenate([rnd.normal(size=3000), np.full(2000, 1.5), rnd.exponential(size=2000)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    probs = [0.01, 0.25, 0.5, 0.75, 0.999]
+    got = stats.quantiles(df, ["x"], probs, accuracy=100)
+    for p in probs:
+        assert got[("x", p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)

@@ -83,13 +83,20 @@ class VersionedTable:
         return self.version(self.current_version())
 
     def diff(self, a: int, b: int) -> DataFrame:
-        """Rows added and removed going from version a to b (multiset difference both ways)."""
+        """Rows added and removed going from version a to b (multiset difference both ways).
+
+        One aggregate of signed copies (+1 in b, -1 in a) per distinct row, combined map-side
+        (many copies of one row cost one row per task), instead of two ``exceptAll`` shuffles;
+        a row whose net count is k comes out |k| times.
+        """
         va, vb = self.version(a), self.version(b)
         cols = [c for c in va.columns if c in vb.columns]
-        va, vb = va.select(*cols), vb.select(*cols)
-        added = vb.exceptAll(va).select(F.lit("added").alias("change"), *cols)
-        removed = va.exceptAll(vb).select(F.lit("removed").alias("change"), *cols)
-        return added.unionByName(removed)
+        signed = (va.select(*cols, F.lit(-1).alias("__d"))
+                  .unionByName(vb.select(*cols, F.lit(1).alias("__d"))))
+        net = signed.groupBy(*cols).agg(F.sum("__d").alias("__net")).where(F.col("__net") != 0)
+        return net.select(F.when(F.col("__net") > 0, F.lit("added")).otherwise(F.lit("removed")).alias("change"),
+                          *cols, F.explode(F.sequence(F.lit(1), F.abs(F.col("__net")))).alias("__copy")
+                          ).drop("__copy")
 
 
 # The actions a version log may hold.

@@ -208,3 +208,11 @@ def test_checkpoint_folder_rules():
     local = Sess({}, "local[4]")
     first = session.checkpoint_dir(local)
     assert first.startswith(tempfile.gettempdir()) and session.checkpoint_dir(local) == first
+
+
+def test_version_diff_counts_copies(spark):
+    base = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, None)], "k int, v string")
+    vt = versions.VersionedTable(spark, scratch_path(spark, "vt-diff"), base)
+    vt.apply(spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (3, "y")], "k int, v string"))
+    d = sorted((r["change"], r["k"], r["v"]) for r in vt.diff(0, 1).collect())
+    assert d == [("added", 3, "y"), ("added", 3, "y"), ("removed", 1, "x"), ("removed", 1, "x")]

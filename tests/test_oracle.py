@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from scrubspark.suite import compare
 from scrubspark.suite.compare import digest, duck
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +13,9 @@ ORACLES = entry.oracle_sql()
 
 @pytest.fixture(scope="module")
 def con():
-    return duck(SF)
+    compare.STRICT = True   # doubles compared by their exact repr
+    yield duck(SF)
+    compare.STRICT = False
 
 
 def test_every_query_has_an_oracle_or_is_listed():

@@ -64,10 +64,12 @@ def test_column_summary_two_scans_one_frequency_shuffle(spark):
 
 
 def test_no_query_plans_pairs_or_python_rows(spark):
-    import __spark_entry__ as entry
+    from scrubspark import suite
+    from scrubspark.suite.registry import QUERIES
 
+    suite.load_all()
     hazards = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"]
-    for name, q in entry.queries().items():
+    for name, q in QUERIES.items():
         df = q(spark, SF)
         p = df._jdf.queryExecution().executedPlan().toString()
         found = [h for h in hazards if h in p]

@@ -103,7 +103,9 @@ def _distance(df: DataFrame) -> DataFrame:
 
 def fit(points: DataFrame) -> DataFrame:
     """Center and factor per ``key`` of ``points (key, x1..x4)``."""
-    middle = points.groupBy("key").agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in X])
+    # a table, so that the join beside it shuffles by its own exchanges, which Spark can split, or not at all
+    middle = materialize(points.groupBy("key").agg(
+        *[F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in X]), "mcd-middle")
     off = points.join(middle, "key").groupBy("key").agg(
         *[F.first(f"m_{a}").alias(f"m_{a}") for a in X],
         *[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000).alias(f"s_{a}") for a in X])

@@ -1,17 +1,24 @@
 """Table versions as Parquet snapshots in a shared folder, with undo/redo and diff.
 
-``root/v=N`` holds version N; ``root/_state`` (a one-row JSON table written by Spark)
-holds the pointer and the number of live versions. Undo/redo only move the pointer;
-applying after an undo drops the redo future (its folders are overwritten later).
+Each snapshot is written once, to a folder of its own, and never again. ``root/_log`` is a table of
+states that only grows: each record names the snapshots of the history and the one that is current,
+and the last record counts. Undo and redo only add a record; applying after an undo leaves the
+redo snapshots out of the next record (their folders stay, frames may still read them). Nothing is
+kept in the handle, so that several handles see each other's steps.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STATE = T.StructType([T.StructField("current", T.IntegerType()), T.StructField("length", T.IntegerType())])
+from scrubspark.contracts import qcol
+
+_STATE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("id", T.StringType()),
+                       T.StructField("current", T.IntegerType()), T.StructField("snapshots", T.ArrayType(T.StringType()))])
 
 
 class VersionedTable:
@@ -19,84 +26,92 @@ class VersionedTable:
         """Start a new history at ``root`` from ``initial``, or attach to an existing one."""
         self.spark = spark
         self.root = root.rstrip("/")
-        self._cached: tuple[int, int] | None = None
         if initial is not None:
-            self._write(0, initial)
-            self._set_state(0, 1)
+            self._append(0, 0, [self._snapshot(initial)])
 
     # -- storage --
-    def _path(self, n: int) -> str:
-        return f"{self.root}/v={n}"
+    def _snapshot(self, df: DataFrame) -> str:
+        name = f"snapshot-{uuid.uuid4().hex}"
+        df.write.mode("error").parquet(f"{self.root}/{name}")
+        return name
 
-    def _write(self, n: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._path(n))
+    def _append(self, seq: int, current: int, snapshots: list[str]) -> None:
+        record = self.spark.createDataFrame([(seq, uuid.uuid4().hex, current, snapshots)], _STATE)
+        record.coalesce(1).write.mode("append").json(f"{self.root}/_log")
 
-    def _state(self) -> tuple[int, int]:
-        if self._cached is None:  # attaching to a history written by another session
-            row = self.spark.read.schema(_STATE).json(f"{self.root}/_state").first()
-            self._cached = (row["current"], row["length"])
-        return self._cached
-
-    def _set_state(self, current: int, length: int) -> None:
-        (self.spark.createDataFrame([(current, length)], _STATE).coalesce(1)
-         .write.mode("overwrite").json(f"{self.root}/_state"))
-        self._cached = (current, length)
+    def _state(self) -> tuple[int, int, list[str]]:
+        log = self.spark.read.schema(_STATE).json(f"{self.root}/_log")
+        last = log.agg(F.max_by(F.struct("seq", "current", "snapshots"), F.struct("seq", "id")).alias("s")).first()["s"]
+        return last["seq"], last["current"], list(last["snapshots"])
 
     # -- the state machine --
     def apply(self, df: DataFrame) -> int:
-        cur, _ = self._state()
-        self._write(cur + 1, df)
-        self._set_state(cur + 1, cur + 2)
-        return cur + 1
+        name = self._snapshot(df)
+        seq, current, snapshots = self._state()
+        self._append(seq + 1, current + 1, [*snapshots[: current + 1], name])
+        return current + 1
+
+    def _move(self, step: int) -> bool:
+        seq, current, snapshots = self._state()
+        if not 0 <= current + step < len(snapshots):
+            return False
+        self._append(seq + 1, current + step, snapshots)
+        return True
 
     def undo(self) -> bool:
-        cur, length = self._state()
-        if cur > 0:
-            self._set_state(cur - 1, length)
-            return True
-        return False
+        return self._move(-1)
 
     def redo(self) -> bool:
-        cur, length = self._state()
-        if cur < length - 1:
-            self._set_state(cur + 1, length)
-            return True
-        return False
+        return self._move(1)
 
     def can_undo(self) -> bool:
-        return self._state()[0] > 0
+        return self._state()[1] > 0
 
     def can_redo(self) -> bool:
-        cur, length = self._state()
-        return cur < length - 1
+        _, current, snapshots = self._state()
+        return current + 1 < len(snapshots)
 
     def current_version(self) -> int:
-        return self._state()[0]
+        return self._state()[1]
 
     def version(self, n: int) -> DataFrame:
-        _, length = self._state()
-        if not 0 <= n < length:
-            raise ValueError(f"version {n} does not exist (0..{length - 1}).")
-        return self.spark.read.parquet(self._path(n))
+        snapshots = self._state()[2]
+        if not 0 <= n < len(snapshots):
+            raise ValueError(f"version {n} does not exist (0..{len(snapshots) - 1}).")
+        return self.spark.read.parquet(f"{self.root}/{snapshots[n]}")
 
     def current(self) -> DataFrame:
         return self.version(self.current_version())
 
+    def schema_diff(self, a: int, b: int) -> DataFrame:
+        """``column, type_a, type_b`` of the columns that were added (no type_a), dropped or retyped."""
+        ta, tb = (dict(self.version(n).dtypes) for n in (a, b))
+        rows = [(c, ta.get(c), tb.get(c)) for c in dict.fromkeys([*ta, *tb]) if ta.get(c) != tb.get(c)]
+        return self.spark.createDataFrame(rows, "column string, type_a string, type_b string")
+
     def diff(self, a: int, b: int) -> DataFrame:
-        """Rows added and removed going from version a to b (multiset difference both ways).
+        """Rows added and removed going from version a to b, and in how many ``copies``.
 
-        One aggregate of signed copies (+1 in b, -1 in a) per distinct row, combined map-side
-        (many copies of one row cost one row per task), instead of two ``exceptAll`` shuffles;
-        a row whose net count is k comes out |k| times.
+        Columns of either version count (missing ones are null), and a column whose type changed is
+        compared as text. One aggregate of signed copies (+1 in b, -1 in a) per distinct row,
+        combined map-side: many copies of one row cost one row per task.
         """
         va, vb = self.version(a), self.version(b)
-        cols = [c for c in va.columns if c in vb.columns]
-        signed = (va.select(*cols, F.lit(-1).alias("__d"))
-                  .unionByName(vb.select(*cols, F.lit(1).alias("__d"))))
-        net = signed.groupBy(*cols).agg(F.sum("__d").alias("__net")).where(F.col("__net") != 0)
+        ta, tb = dict(va.dtypes), dict(vb.dtypes)
+        cols = list(dict.fromkeys([*ta, *tb]))
+
+        def side(df: DataFrame, own: dict, other: dict, sign: int) -> DataFrame:
+            def cell(c: str):
+                kind = own.get(c, other.get(c)) if own.get(c, other.get(c)) == other.get(c, own.get(c)) else "string"
+                return (F.col(qcol(c)) if c in own else F.lit(None)).cast(kind).alias(c)
+
+            return df.select(*[cell(c) for c in cols], F.lit(sign).alias("__d"))
+
+        signed = side(va, ta, tb, -1).unionByName(side(vb, tb, ta, 1))
+        keys = [F.col(qcol(c)) for c in cols]
+        net = signed.groupBy(*keys).agg(F.sum("__d").alias("__net")).where(F.col("__net") != 0)
         return net.select(F.when(F.col("__net") > 0, F.lit("added")).otherwise(F.lit("removed")).alias("change"),
-                          *cols, F.explode(F.sequence(F.lit(1), F.abs(F.col("__net")))).alias("__copy")
-                          ).drop("__copy")
+                          *keys, F.abs("__net").alias("copies"))
 
 
 # The actions a version log may hold.

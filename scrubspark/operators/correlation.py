@@ -53,8 +53,9 @@ def _report(values: DataFrame, pairs, threshold: float) -> DataFrame:
     names = F.create_map(*[x for k, (a, b) in enumerate(pairs) for x in (F.lit(k), F.array(F.lit(a), F.lit(b)))])
     r = F.col("r")
     out = values.where(r.isNotNull() & ~F.isnan(r) & (F.abs(r) >= F.lit(threshold)))
-    return out.select(names[F.col("k")][0].alias("col_a"), names[F.col("k")][1].alias("col_b"),
-                      F.round(r, 3).alias("r"))
+    strongest = out.orderBy(F.abs(r).desc(), "k")   # at most one row per pair of columns
+    return strongest.select(names[F.col("k")][0].alias("col_a"), names[F.col("k")][1].alias("col_b"),
+                            F.round(r, 3).alias("r"))
 
 
 def compute_correlation(df: DataFrame, method: str = "pearson", threshold: float = 0.7) -> DataFrame:
@@ -74,26 +75,24 @@ def compute_correlation(df: DataFrame, method: str = "pearson", threshold: float
             values = values.unionByName(p)
         return _report(values, pairs, threshold)
     cells = materialize(_cells(df, pairs), "corr-cells")   # read several times below
-    n_cells = cells.count()   # bounds the ordered scans (enables their small-input path)
-    values = _spearman(cells, n_cells) if method == "spearman" else _kendall(cells, n_cells)
+    values = _spearman(cells) if method == "spearman" else _kendall(cells)
     return _report(values, pairs, threshold)
 
 
-def _ranks(cells: DataFrame, n_cells: int, sides: tuple[str, ...] = ("x", "y")) -> DataFrame:
+def _ranks(cells: DataFrame, sides: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """(k, side, value, avg_rank, dense_rank) for the given sides of every pair, from one
     segmented prefix count over the distinct values of each (pair, side)."""
     items = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in sides])
     long = cells.select("k", "cnt", F.explode(items).alias("e")).select("k", "e.side", "e.value", "cnt")
     distinct = long.groupBy("k", "side", "value").agg(F.sum("cnt").alias("c"))
     distinct = distinct.withColumn("one", F.lit(1).cast("long"))
-    # at most one distinct value per cell and side
-    ps = prefix_sums(distinct, ["value"], ["c", "one"], segment_cols=["k", "side"], row_bound=n_cells * len(sides))
+    ps = prefix_sums(distinct, ["value"], ["c", "one"], segment_cols=["k", "side"])
     return ps.select("k", "side", "value", (F.col("c_before") + (F.col("c") + 1) / 2.0).alias("avg_rank"),
                      F.col("one_before").alias("dense_rank"))
 
 
-def _spearman(cells: DataFrame, n_cells: int) -> DataFrame:
-    ranks = _ranks(cells, n_cells)
+def _spearman(cells: DataFrame) -> DataFrame:
+    ranks = _ranks(cells)
     rx = ranks.where(F.col("side") == "x").select("k", F.col("value").alias("x"), F.col("avg_rank").alias("rx"))
     ry = ranks.where(F.col("side") == "y").select("k", F.col("value").alias("y"), F.col("avg_rank").alias("ry"))
     ranked = cells.join(rx, ["k", "x"]).join(ry, ["k", "y"])
@@ -107,7 +106,7 @@ def _spearman(cells: DataFrame, n_cells: int) -> DataFrame:
     return mom.select("k", (F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("r"))
 
 
-def _kendall(cells: DataFrame, n_cells: int) -> DataFrame:
+def _kendall(cells: DataFrame) -> DataFrame:
     cnt = F.col("cnt").cast("double")
     # totals and ties
     tot = cells.groupBy("k").agg(F.sum(cnt).alias("n"), F.sum(cnt * (cnt - 1) / 2).alias("n3"))
@@ -116,16 +115,18 @@ def _kendall(cells: DataFrame, n_cells: int) -> DataFrame:
     ty = (cells.groupBy("k", "y").agg(F.sum(cnt).alias("t")).groupBy("k")
           .agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2")))
     # dense rank of y per pair, then bit levels
-    ry = _ranks(cells, n_cells, ("y",)).select("k", F.col("value").alias("y"), F.col("dense_rank").alias("r"))
+    ry = _ranks(cells, ("y",)).select("k", F.col("value").alias("y"), F.col("dense_rank").alias("r"))
     top_rank = ry.agg(F.max("r")).first()[0] or 0   # from the (written) rank table, no join
     ranked = cells.join(ry, ["k", "y"])
     levels = max(1, int(top_rank).bit_length())
     bits = ranked.select("k", "x", "cnt", "r", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("lvl"))
     bits = bits.select("k", "lvl", F.expr("shiftright(r, lvl + 1)").alias("prefix"), "x", "cnt",
                        F.expr("shiftright(r, lvl) & 1").alias("bit"))
+    # one row per value of x at each node: a value that many rows share stays one row per task
+    bits = bits.groupBy("k", "lvl", "prefix", "x", "bit").agg(F.sum("cnt").alias("cnt"))
     # order (x, bit): bit-0 rows come before bit-1 rows of equal x, so only strictly smaller x counts
     bits = bits.withColumn("ones", F.when(F.col("bit") == 1, F.col("cnt")).otherwise(F.lit(0)).cast("long"))
-    ps = prefix_sums(bits, ["x", "bit"], ["ones"], segment_cols=["k", "lvl", "prefix"], row_bound=n_cells * levels)
+    ps = prefix_sums(bits, ["x", "bit"], ["ones"], segment_cols=["k", "lvl", "prefix"])
     disc = (ps.where(F.col("bit") == 0).groupBy("k")
             .agg(F.sum(F.col("cnt").cast("double") * F.col("ones_before").cast("double")).alias("d")))
     allk = tot.join(tx, "k").join(ty, "k").join(disc, "k", "left")

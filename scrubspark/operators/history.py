@@ -28,25 +28,27 @@ def fold_older_turns(df: DataFrame, keys: Sequence[str], order_by: str, role_col
     and are joined into a ``role: text`` transcript (one line per turn, in order).
 
     Returns (kept turns, folded transcripts per key with the number of folded turns).
-    A turn's place from the end is its group count minus its position, and the position is
-    a segmented prefix count (``plans.ordered``), so a hot conversation is ranked across
-    tasks rather than sorted in one. Each transcript is one output cell, so it is assembled
-    per key. A null key is one conversation, as in the group count.
+    The cut-off is the ``keep``-th latest turn of each long conversation (Spark limits each
+    group before the shuffle), one small row per conversation, joined to the turns on their
+    key: the texts are read once and neither sorted nor ranked. Turns that tie with the
+    cut-off stay; turns without a place (null) are the oldest. Each transcript is one output
+    cell, so it is assembled per key. A null key is one conversation.
     """
-    from scrubspark.plans.ordered import prefix_sums
-
     ks = resolve_columns(df, keys)
     o = resolve_column(df, order_by)
     role, text = resolve_column(df, role_col), resolve_column(df, text_col)
-    counts = df.groupBy(*[F.col(qcol(k)).alias(f"__k{i}") for i, k in enumerate(ks)]).agg(
-        F.count(F.lit(1)).alias("__cnt"))
-    # the row count (footer metadata for a Parquet scan) lets small inputs take one window
-    pos = prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), [o], ["__one"], segment_cols=ks,
-                      row_bound=df.count())
-    on = [pos[qcol(k)].eqNullSafe(counts[f"__k{i}"]) for i, k in enumerate(ks)]  # a null key is a key too
-    ranked = (pos.join(counts, on).drop(*[f"__k{i}" for i in range(len(ks))])
-              .withColumn("__from_end", F.col("__cnt") - F.col("__one_before")))
-    older = (F.col("__cnt") > trigger) & (F.col("__from_end") > keep)
+    names = {f"__k{i}": F.col(qcol(k)) for i, k in enumerate(ks)}
+    turns = df.select(*[c.alias(n) for n, c in names.items()], F.col(qcol(o)).alias("__o"))
+    latest = last_n_per_key(turns, list(names), "__o", keep) if keep > 0 else turns.where(F.lit(False))
+    first = F.min(F.struct(F.col("__o").isNotNull().alias("placed"), F.col("__o").alias("o")))
+    cut = latest.groupBy(*names).agg(first.alias("__first"))
+    counts = turns.groupBy(*names).agg(F.count(F.lit(1)).alias("__cnt")).where(F.col("__cnt") > trigger)
+    long_ones = counts.alias("l").join(cut.alias("c"), [F.col(f"l.{n}").eqNullSafe(F.col(f"c.{n}")) for n in names],
+                                       "left").select(*[F.col(f"l.{n}").alias(n) for n in names], "__first",
+                                                      F.lit(True).alias("__long"))
+    ranked = df.join(long_ones, [names[n].eqNullSafe(long_ones[n]) for n in names], "left").drop(*names)
+    place = F.struct(F.col(qcol(o)).isNotNull().alias("placed"), F.col(qcol(o)).alias("o"))
+    older = F.coalesce(F.col("__long"), F.lit(False)) & (F.col("__first").isNull() | (place < F.col("__first")))
     kept = ranked.where(~older).select(*[F.col(qcol(c)) for c in df.columns])
     lines = ranked.where(older).select(*ks, F.struct(F.col(qcol(o)).alias("o"), F.concat_ws(
         ": ", F.col(qcol(role)), F.col(qcol(text))).alias("line")).alias("e"))

@@ -14,9 +14,8 @@ computes the same running totals with every task bounded:
    gives each range the carry-in from earlier ranges with a window over those ``P`` rows;
 5. the carry table, bounded by ``P``, is broadcast back on the range id.
 
-When the caller knows the input has at most ``SMALL_SCAN_ROWS`` rows (``row_bound``), the
-same sums come from one window, in one bounded task, skipping the sampling job, the range
-shuffle and the table write; the bound is checked, as with a broadcast threshold.
+A range's total is that of the row scanned last (rows are numbered within their range), so
+rows that tie on the sort keys can't change it.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from scrubspark.contracts import qcol
 from scrubspark.session import scratch_path
 
 PID = "__pid"
-SMALL_SCAN_ROWS = 1_000_000
+NO = "__no"
 
 
 def _local_scan(seg_cols: list[str], sum_cols: list[str]):
@@ -45,6 +44,7 @@ def _local_scan(seg_cols: list[str], sum_cols: list[str]):
         pid = TaskContext.get().partitionId()
         last_key = None
         running = None
+        scanned = 0
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -80,29 +80,23 @@ def _local_scan(seg_cols: list[str], sum_cols: list[str]):
             # running total of the last segment, carried into the next batch
             running = {c: (pdf[c + "_before"].to_numpy()[-1] + pdf[c].to_numpy()[-1]) for c in sum_cols}
             pdf[PID] = np.int32(pid)
+            pdf[NO] = np.arange(scanned, scanned + n, dtype=np.int64)
+            scanned += n
             yield pdf
 
     return run
 
 
 def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
-                segment_cols: Sequence[str] = (), num_partitions: int | None = None,
-                row_bound: int | None = None) -> DataFrame:
+                segment_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """Add ``<c>_before``: the sum of ``c`` over earlier rows of the same segment in order.
 
     ``sum_cols`` must be non-null numbers; a null segment key is one segment; rows that tie
-    on (segment, order) get an arbitrary but fixed order among themselves. ``row_bound`` is
-    a known upper bound on the input's row count (enables the small-input path).
+    on (segment, order) get an arbitrary but fixed order among themselves.
     """
     spark = df.sparkSession
     seg, order, sums = list(segment_cols), list(order_cols), list(sum_cols)
     keys = [F.col(qcol(k)) for k in seg + order]
-    if row_bound is not None and row_bound <= SMALL_SCAN_ROWS:
-        w = Window.partitionBy(*[F.col(qcol(k)) for k in seg]).orderBy(*keys).rowsBetween(
-            Window.unboundedPreceding, -1)
-        return df.select(*[F.col(qcol(c)) for c in df.columns],
-                         *[F.coalesce(F.sum(F.col(qcol(c))).over(w), F.lit(0)).cast(df.schema[c].dataType)
-                           .alias(c + "_before") for c in sums])
     # Without an explicit count AQE may coalesce adjacent ranges, which keeps them contiguous.
     ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
     ranged = ranged.sortWithinPartitions(*keys)
@@ -110,6 +104,7 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str
     for c in sums:
         fields.append(T.StructField(c + "_before", df.schema[c].dataType, True))
     fields.append(T.StructField(PID, T.IntegerType(), False))
+    fields.append(T.StructField(NO, T.LongType(), False))
     path = scratch_path(spark, "prefix")
     ranged.mapInPandas(_local_scan(seg, sums), T.StructType(fields)).write.parquet(path)
     local = spark.read.parquet(path)
@@ -118,7 +113,7 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str
     last_vals = F.struct(*[(F.col(qcol(c + "_before")) + F.col(qcol(c))).alias(c) for c in sums])
     seg_struct = (lambda s: F.struct(*[s[k] for k in seg])) if seg else (lambda s: F.lit(0))
     summary = local.groupBy(PID).agg(F.min(key_struct).alias("first"), F.max(key_struct).alias("last"),
-                                     F.max_by(last_vals, key_struct).alias("tot"))
+                                     F.max_by(last_vals, NO).alias("tot"))
     summary = summary.select(PID, seg_struct(F.col("first")).alias("first_seg"),
                              seg_struct(F.col("last")).alias("last_seg"), "tot")
     by_seg = Window.partitionBy("last_seg").orderBy(PID).rowsBetween(Window.unboundedPreceding, 0)
@@ -139,9 +134,8 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str
 
 
 def positions(df: DataFrame, order_cols: Sequence[str], name: str = "position",
-              num_partitions: int | None = None, row_bound: int | None = None) -> DataFrame:
+              num_partitions: int | None = None) -> DataFrame:
     """0-based dense position of each row in ``order_cols`` order."""
     one = "__one"
-    out = prefix_sums(df.withColumn(one, F.lit(1).cast("long")), order_cols, [one], num_partitions=num_partitions,
-                      row_bound=row_bound)
+    out = prefix_sums(df.withColumn(one, F.lit(1).cast("long")), order_cols, [one], num_partitions=num_partitions)
     return out.withColumnRenamed(one + "_before", name).drop(one)

@@ -42,11 +42,3 @@ def people(spark):
         (7, "Barbara Liskov", None, "", "7", "Pune", "CA", "12:00", "inf", "active"),
     ]
     return spark.createDataFrame(rows, schema)
-
-
-@pytest.fixture()
-def distributed_scans(monkeypatch):
-    """Force the range-partitioned ordered scan even for small inputs."""
-    from scrubspark.plans import ordered
-
-    monkeypatch.setattr(ordered, "SMALL_SCAN_ROWS", -1)

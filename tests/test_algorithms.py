@@ -149,24 +149,19 @@ def test_prefix_sums_null_segment_spans_ranges(spark):
     assert got == dict(zip(pdf.o, pdf.b))
 
 
-def test_small_and_distributed_scans_agree(spark, monkeypatch):
-    from scrubspark.plans import ordered
-
+def test_tied_keys_over_many_ranges_keep_the_total(spark, tmp_path):
     rnd = random.Random(3)
-    data = [(rnd.randint(0, 3), i, rnd.randint(0, 9)) for i in range(1500)]
-    df = spark.createDataFrame(data, "seg int, o long, v long")
-    small = sorted(tuple(r) for r in prefix_sums(df, ["o"], ["v"], ["seg"], row_bound=1500).collect())
-    monkeypatch.setattr(ordered, "SMALL_SCAN_ROWS", -1)
-    big = sorted(tuple(r) for r in prefix_sums(df, ["o"], ["v"], ["seg"], row_bound=1500).collect())
-    assert small == big
-
-
-def test_rank_correlations_distributed_path(spark, distributed_scans):
-    test_kendall_and_spearman_with_ties_and_nulls(spark)
-
-
-def test_missing_pattern_distributed_path(spark, distributed_scans):
-    test_missing_pattern_block_spanning_partitions(spark)
+    data = [(rnd.randint(0, 2), rnd.randint(0, 4), rnd.randint(0, 9)) for _ in range(4000)]
+    spark.createDataFrame(data, "seg int, o long, v long").repartition(9).write.parquet(str(tmp_path / "ties"))
+    got = prefix_sums(spark.read.parquet(str(tmp_path / "ties")), ["o"], ["v"], ["seg"], 5).collect()
+    for seg in range(3):
+        mine = sorted((r["o"], r["v_before"], r["v"]) for r in got if r["seg"] == seg)
+        ends = sorted(b + v for _, b, v in mine)
+        assert ends[-1] == sum(v for _, _, v in mine)   # the last row of a segment ends at its total
+        for o in range(5):   # and each group of ties fills exactly its stretch
+            low = sum(v for k, _, v in mine if k < o)
+            assert min(b for k, b, _ in mine if k == o) == low
+            assert max(b + v for k, b, v in mine if k == o) == low + sum(v for k, _, v in mine if k == o)
 
 
 def test_profile_columns_equals_profile_column(people):

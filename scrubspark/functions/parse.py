@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, InvalidOperation
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -107,3 +109,21 @@ def text_form(col: Column, dt: T.DataType) -> Column:
     if is_string(dt):
         return col
     return col.cast("string")
+
+
+def exact_integer(value) -> int | None:
+    """A whole number written as a number or as text, digit for digit; None if it is none."""
+    if isinstance(value, bool):
+        return int(value)
+    try:
+        d = Decimal(str(value).strip())
+        return int(d) if d.is_finite() and d == d.to_integral_value() else None
+    except InvalidOperation:
+        return None
+
+
+def boolean_word(value) -> bool | None:
+    """The truth value a word stands for; None if it stands for none."""
+    if isinstance(value, bool):
+        return value
+    return {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}.get(str(value).strip().lower())

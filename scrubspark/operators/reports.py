@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubspark.contracts import (field_type, is_datetime, is_numeric, qcol, resolve_column, resolve_columns)
+from scrubspark.contracts import (field_type, is_datetime, is_integral, is_numeric, qcol, resolve_column,
+                                  resolve_columns)
 from scrubspark.functions import stats
 from scrubspark.functions.parse import missing, nan_to_null
 from scrubspark.plans.ordered import prefix_sums
+from scrubspark.sources.parquet import file_order
 
 
 def _kind(dt: T.DataType) -> str:
@@ -120,27 +122,33 @@ def _distinct_and_tops(df: DataFrame, cols: Sequence[str], kinds: dict[str, str]
     """(column, unique_count) and (column, top array of (value, n)) from one frequency pass.
 
     One unpivot for every column: text columns keep their text (for top values), others are
-    grouped as doubles or zone-free timestamps (no number formatting). Grouping is map-side
+    grouped as longs, doubles or zone-free timestamps (no number formatting). Grouping is map-side
     combined; both results read the same aggregate, so Spark reuses its shuffle.
     """
     def slot(c: str, kind: str):
         dt = field_type(df, c)
         if kind == "text":
-            return _value_text(df, c), None, None
+            return _value_text(df, c), None, None, None
         if isinstance(dt, (T.TimestampNTZType, T.DateType)):  # zone-free wall clock
-            return None, None, F.col(qcol(c)).cast("timestamp_ntz")
-        return None, _value_double(df, c), None
+            return None, None, F.col(qcol(c)).cast("timestamp_ntz"), None
+        if is_integral(dt):  # doubles would merge neighbours above 2^53
+            return None, None, None, F.col(qcol(c)).cast("long")
+        if isinstance(dt, T.DecimalType) and dt.precision <= 18:  # its digits, as a whole number
+            return None, None, None, (F.col(qcol(c)) * F.lit(10 ** dt.scale)).cast("long")
+        return None, _value_double(df, c), None, None
 
     items = []
     for c in cols:
-        sv, dv, tv = slot(c, kinds[c])
+        sv, dv, tv, ev = slot(c, kinds[c])
         items.append(F.struct(F.lit(c).alias("column"),
                               (sv if sv is not None else F.lit(None).cast("string")).alias("s"),
                               (dv if dv is not None else F.lit(None).cast("double")).alias("d"),
-                              (tv if tv is not None else F.lit(None).cast("timestamp_ntz")).alias("t")))
+                              (tv if tv is not None else F.lit(None).cast("timestamp_ntz")).alias("t"),
+                              (ev if ev is not None else F.lit(None).cast("long")).alias("e")))
     freq = (df.select(_stack(items).alias("p")).select("p.*")
-            .where(F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull())
-            .groupBy("column", "s", "d", "t").agg(F.count(F.lit(1)).alias("n")))
+            .where(F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull()
+                   | F.col("e").isNotNull())
+            .groupBy("column", "s", "d", "t", "e").agg(F.count(F.lit(1)).alias("n")))
     # sum(signum(n)) counts the groups while still reading n, so the optimizer keeps the
     # count in this consumer of ``freq`` too and both consumers share one shuffle
     distinct = freq.groupBy("column").agg(F.sum(F.signum("n")).cast("long").alias("unique_count"))
@@ -364,13 +372,13 @@ MIN_BLOCK_RUN = 5
 BLOCK_SHARE_OF_MISSING = 0.5
 
 
-def detect_missing_pattern(df: DataFrame, column: str, order_by: Sequence[str]) -> DataFrame:
-    """Where nulls sit in table order (``order_by``): front-loaded (>60 % in the first third),
+def detect_missing_pattern(df: DataFrame, column: str, order_by: Sequence[str] | None = None) -> DataFrame:
+    """Where nulls sit in table order (``order_by``, else the source's file order): front-loaded (>60 % in the first third),
     tail-loaded (>60 % in the last third), a block (longest run >= max(5, half the nulls)),
     or sporadic. Positions and runs come from distributed prefix counts, never a global
     window: a null run is the set of nulls with equal ``position - nulls_before``."""
     c = resolve_column(df, column)
-    order = resolve_columns(df, order_by)
+    order = resolve_columns(df, order_by) if order_by else file_order(df)
     dt = field_type(df, c)
     base = df.select(*[F.col(qcol(o)) for o in order],
                      missing(F.col(qcol(c)), dt).cast("long").alias("__null"))
@@ -384,7 +392,7 @@ def detect_missing_pattern(df: DataFrame, column: str, order_by: Sequence[str])
                                     F.lit(0.0 if m == 0 else 1.0).alias("frac_last"),
                                     F.lit(m).cast("long").alias("longest_run"),
                                     F.lit(PATTERNS["none" if m == 0 else "all"]).alias("pattern"))
-    ps = prefix_sums(base.withColumn("__one", F.lit(1).cast("long")), order, ["__one", "__null"], row_bound=n)
+    ps = prefix_sums(base.withColumn("__one", F.lit(1).cast("long")), order, ["__one", "__null"])
     pos = F.col("__one_before")
     nulls = ps.where(F.col("__null") == 1)
     runs = (nulls.groupBy((pos - F.col("__null_before")).alias("island")).agg(F.count(F.lit(1)).alias("run"))

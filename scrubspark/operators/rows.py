@@ -11,11 +11,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubspark.contracts import (field_type, is_integral, is_numeric, is_string, qcol, require_numeric, resolve_column,
                                   resolve_columns)
-from scrubspark.functions.parse import missing, text_form, to_number
+from scrubspark.functions.parse import boolean_word, exact_integer, missing, text_form, to_number
 from scrubspark.functions.stats import DEFAULT_ACCURACY, iqr_bounds
+from scrubspark.sources.parquet import file_order
 
 KEEP_CHOICES = ("first", "last", "none")
 
@@ -30,8 +32,8 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep: st
 
     * ``keep="first"/"last"``: the row with the smallest / largest ``order_by`` per key.
       Done as ``groupBy(key).agg(min_by(row, order))``: partial aggregation collapses a hot
-      key to one row per task before the shuffle. Without ``order_by`` any copy is kept
-      (``dropDuplicates``), which is exact when the subset is all columns.
+      key to one row per task before the shuffle. Without ``order_by`` the file order is
+      taken, if the source read it; otherwise only a subset of all columns can do without.
     * ``keep="none"``: drop every row whose key occurs more than once; a count and any
       row per key, also map-side combined.
     """
@@ -46,9 +48,9 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep: st
             agg.append(F.any_value(F.struct(*[F.col(qcol(c)) for c in rest])).alias("__row"))
         grouped = df.groupBy(*[F.col(qcol(c)) for c in key]).agg(*agg).where(F.col("__n") == 1)
         return grouped.select(*[(F.col(f"__row.{qcol(c)}") if c in rest else F.col(qcol(c))).alias(c) for c in cols])
-    if not rest or not order_by:
-        return df.dropDuplicates(key) if rest else df.dropDuplicates()
-    order = resolve_columns(df, order_by)
+    if not rest:
+        return df.dropDuplicates()
+    order = resolve_columns(df, order_by) if order_by else file_order(df)
     pick = F.min_by if keep == "first" else F.max_by
     grouped = df.groupBy(*[F.col(qcol(c)) for c in key]).agg(
         pick(F.struct(*[F.col(qcol(c)) for c in rest]), _order_struct(order)).alias("__row"))
@@ -78,21 +80,22 @@ def filter_rows(df: DataFrame, column: str, condition: str, value=None) -> DataF
     if condition == "not_null":
         return df.where(missing(col, dt))
     if condition not in FILTER_CONDITIONS:
-        raise ValueError(f"Unknown condition '{condition}'. Use {', '.join(FILTER_CONDITIONS)}.")
+        raise ValueError(f"filter_rows: condition {condition!r} is none of {FILTER_CONDITIONS}")
     if value is None:
         raise ValueError(f"'value' is required for condition '{condition}'.")
     if condition in ("greater_than", "less_than"):
         try:
             v = float(value)
         except (TypeError, ValueError):
-            raise ValueError(f"Condition '{condition}' requires a numeric column and numeric value.") from None
+            raise ValueError(f"filter_rows: {condition} compares numbers, not {value!r}") from None
         if is_numeric(dt):
             # Written so the scan can take it: keep = not-matching OR null (OR NaN). On an
             # integer column the bound is an integer literal (c > 2.5 <=> c > 2), so the
             # column is not cast and the predicate reaches Parquet.
-            bound = F.lit(v)
+            bound, exact = F.lit(v), exact_integer(value)
             if is_integral(dt) and math.isfinite(v) and abs(v) < 2 ** 62:
-                bound = F.lit(math.floor(v) if condition == "greater_than" else math.ceil(v)).cast(dt)
+                whole = exact if exact is not None else math.floor(v) if condition == "greater_than" else math.ceil(v)
+                bound = F.lit(whole).cast("long" if abs(whole) >= 2 ** 31 else dt)
             keep = (col <= bound) if condition == "greater_than" else (col >= bound)
             keep = keep | missing(col, dt)
         else:
@@ -109,7 +112,17 @@ def filter_rows(df: DataFrame, column: str, condition: str, value=None) -> DataF
 
 
 def _equals(col: Column, dt, value) -> Column:
-    """Null-safe equality: never true on a null cell, never null."""
+    """Null-safe equality in the column's own type: never true on a null cell, never null."""
+    if isinstance(dt, T.BooleanType):
+        truth = boolean_word(value)
+        return F.lit(False) if truth is None else col.eqNullSafe(F.lit(truth))
+    if is_integral(dt):
+        exact = exact_integer(value)
+        fits = exact is not None and -(2**63) <= exact < 2**63
+        return F.coalesce(col == F.lit(exact).cast("long"), F.lit(False)) if fits else F.lit(False)
+    if isinstance(dt, T.DecimalType):
+        d = F.lit(str(value).strip()).try_cast("decimal(38,18)")
+        return F.coalesce(col == d, F.lit(False))
     if is_numeric(dt):
         try:
             return F.coalesce(col == F.lit(float(value)), F.lit(False))

@@ -8,14 +8,16 @@ from ``DataFrame.observe`` and fill in when the final table is computed (no extr
 
 from __future__ import annotations
 
+import datetime as _dt
 import json
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubspark.contracts import (ColumnNotFoundError, StepValidationError, require_numeric, resolve_column,
+from scrubspark.contracts import (UnknownColumn, StepValidationError, require_numeric, resolve_column,
                                   validate_call)
 from scrubspark.functions import stats
 from scrubspark.operators import cells
@@ -26,6 +28,7 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("args", T.StringType()), T.StructField("outcome", T.StringType()),
     T.StructField("message", T.StringType()), T.StructField("rows_before", T.LongType()),
     T.StructField("rows_after", T.LongType()),
+    T.StructField("written_at", T.TimestampNTZType()),
 ])
 
 
@@ -34,31 +37,46 @@ class RecipeResult:
     df: DataFrame
     records: list[dict] = field(default_factory=list)
     reports: dict[int, DataFrame] = field(default_factory=dict)
-    computed: bool = False
-    input_observation: Observation | None = None
+    source: DataFrame | None = None
+    applied: list[tuple] = field(default_factory=list)   # (record, function of the table) of the steps that ran
+    rows: dict[int, int] = field(default_factory=dict)   # rows after each step, and before the first (-1)
+    written_at: _dt.datetime | None = None
 
     def write(self, path: str, fmt: str = "parquet") -> None:
-        """Compute the cleaned table into ``path``; the per-step row counts fill in."""
-        self.df.write.mode("overwrite").format(fmt).save(path)
-        self.computed = True
+        """Compute the cleaned table into ``path``; the per-step row counts fill in.
+
+        The steps are laid out once more with counters of this write between them, so that
+        what was shown or counted before can't be mistaken for it; fits keep their values
+        where steps were fitted together, others are made again.
+        """
+        counters = {-1: Observation()}
+        current = self.source.observe(counters[-1], F.count(F.lit(1)).alias("rows"))
+        for record, apply in self.applied:
+            counters[record["step"]] = Observation()
+            current = apply(current).observe(counters[record["step"]], F.count(F.lit(1)).alias("rows"))
+        current.write.mode("overwrite").format(fmt).save(path)
+        self.rows = {step: c.get["rows"] for step, c in counters.items()}
+        self.written_at = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
     def audit(self) -> DataFrame:
         """One row per step; ``rows_after`` is set once the table was computed (``write``)."""
-        def rows(obs):
-            return obs.get.get("rows") if (obs is not None and self.computed) else None
-
         out = []
-        current = rows(self.input_observation)
+        current = self.rows.get(-1)
         for r in self.records:
-            obs = r.get("observation")
-            after = rows(obs) if obs is not None else current
-            out.append((r["step"], r["operator"], r["args"], r["outcome"], r["message"], current, after))
+            after = self.rows.get(r["step"], current)
+            out.append((r["step"], r["operator"], r["args"], r["outcome"], r["message"], current, after,
+                        self.written_at))
             current = after
         return self.df.sparkSession.createDataFrame(out, AUDIT_SCHEMA)
 
 
-def _signature(name: str, args: dict) -> str:
-    return f"{name}::{json.dumps(args, sort_keys=True, default=str)}"
+def _frozen(x):
+    """``x`` as something that can be hashed and compared, containers included."""
+    if isinstance(x, dict):
+        return frozenset((k, _frozen(v)) for k, v in x.items())
+    if isinstance(x, (list, tuple)):
+        return tuple(_frozen(v) for v in x)
+    return (type(x).__name__, x if x.__hash__ else repr(x))
 
 
 def _batchable(name: str, args: dict) -> bool:
@@ -70,7 +88,7 @@ def _batchable(name: str, args: dict) -> bool:
     return False
 
 
-def _prefit(df: DataFrame, steps: list[dict], start: int, seen: set[str]) -> dict[int, object]:
+def _prefit(df: DataFrame, steps: list[dict], start: int, seen: set[tuple]) -> dict[int, object]:
     """Fit a run of consecutive batchable steps on distinct numeric columns in one go.
 
     None of them changes another's column or the rows, so fitting all on the table before
@@ -79,7 +97,7 @@ def _prefit(df: DataFrame, steps: list[dict], start: int, seen: set[str]) -> dic
     reqs, means, plan, cols, sigs = [], [], {}, set(), set(seen)
     for j in range(start, len(steps)):
         name, args = steps[j].get("name"), dict(steps[j].get("args") or {})
-        sig = _signature(name, args)
+        sig = (name, _frozen(args))
         if not _batchable(name, args) or sig in sigs:
             break
         try:
@@ -117,10 +135,9 @@ def _apply_fitted(df: DataFrame, name: str, args: dict, value) -> DataFrame:
 def run_recipe(df: DataFrame, steps: list[dict], max_steps: int | None = None) -> RecipeResult:
     """Apply ``steps`` (each ``{"name": ..., "args": {...}}``) in order."""
     result = RecipeResult(df)
-    seen: set[str] = set()
+    seen: set[tuple] = set()
     fitted: dict[int, object] = {}
-    result.input_observation = Observation("recipe_input")
-    current = df.observe(result.input_observation, F.count(F.lit(1)).alias("rows"))
+    result.source = current = df
     for i, step in enumerate(steps):
         name, args = step.get("name"), dict(step.get("args") or {})
         rec = {"step": i, "operator": name, "args": json.dumps(args, sort_keys=True, default=str)}
@@ -128,7 +145,7 @@ def run_recipe(df: DataFrame, steps: list[dict], max_steps: int | None = None) -
         if max_steps is not None and i >= max_steps:
             rec.update(outcome="Skipped", message=f"step cap of {max_steps} reached")
             continue
-        sig = _signature(name, args)
+        sig = (name, _frozen(args))
         if sig in seen:
             rec.update(outcome="Skipped", message="same operator and arguments already applied")
             continue
@@ -139,19 +156,19 @@ def run_recipe(df: DataFrame, steps: list[dict], max_steps: int | None = None) -
                 if i not in fitted and _batchable(name, args):
                     fitted.update(_prefit(current, steps[:max_steps] if max_steps else steps, i, seen - {sig}))
                 if i in fitted:
-                    nxt = _apply_fitted(current, name, args, fitted[i])
+                    apply = partial(_apply_fitted, name=name, args=args, value=fitted[i])
                 else:
-                    nxt = TRANSFORMS[name](current, **args)
-                obs = Observation(f"step{i}")
-                current = nxt.observe(obs, F.count(F.lit(1)).alias("rows"))
-                rec.update(outcome="Success", message="applied", observation=obs)
+                    apply = partial(TRANSFORMS[name], **args)
+                current = apply(current)
+                result.applied.append((rec, apply))
+                rec.update(outcome="Success", message="applied")
             elif name in ANALYSES:
                 validate_call(ANALYSES[name], args, name)
                 result.reports[i] = ANALYSES[name](current, **args)
                 rec.update(outcome="Result", message="report built")
             else:
                 raise StepValidationError(f"'{name}' is not an available operator.")
-        except (StepValidationError, ColumnNotFoundError, ValueError, TypeError) as e:
+        except (StepValidationError, UnknownColumn, ValueError, TypeError) as e:
             rec.update(outcome="Error", message=str(e))
     result.df = current
     return result

@@ -62,6 +62,33 @@ def filter_lt(spark, sf):
     return rows.filter_rows(view(spark, sf, "dirty_customer"), "acctbal", "less_than", 1000)
 
 
+_BIG = 9007199254740992  # 2^53: neighbours above it are one number as doubles
+
+
+@register("filter_equals_long", f"SELECT o_orderkey + {_BIG} AS k FROM orders WHERE o_orderkey <> 1")
+def filter_equals_long(spark, sf):
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") + F.lit(_BIG)).alias("k"))
+    return rows.filter_rows(o, "k", "equals", str(_BIG + 1))
+
+
+@register("impute_constant_long", f"""
+SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey + {_BIG} END, {_BIG + 1}) AS k FROM orders""")
+def impute_constant_long(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(
+        F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") + F.lit(_BIG)).alias("k"))
+    return cells.fill_missing(o, "k", "constant", str(_BIG + 1))
+
+
+@register("column_nulls_long", f"""
+SELECT 'k' AS column, count(*) FILTER (WHERE k IS NULL) AS null_count, count(DISTINCT k) AS unique_count
+FROM (SELECT o_orderkey + {_BIG} AS k FROM orders)""")
+def column_nulls_long(spark, sf):
+    from scrubspark.operators import reports
+
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") + F.lit(_BIG)).alias("k"))
+    return reports.column_summary(o).select("column", "null_count", "unique_count")
+
+
 @register("filter_equals", DC + f"""
 SELECT {CUST_COLS} FROM dirty_customer WHERE segment IS DISTINCT FROM 'BUILDING'""")
 def filter_equals(spark, sf):
@@ -103,6 +130,24 @@ def outliers_remove(spark, sf):
     return rows.remove_outliers(table(spark, sf, "events"), "value")
 
 
+@register("sort_full", DC + """
+SELECT 'up' AS direction, c_custkey, row_number() OVER (ORDER BY acctbal NULLS LAST, c_custkey) - 1 AS position
+FROM dirty_customer
+UNION ALL
+SELECT 'down', c_custkey, row_number() OVER (ORDER BY acctbal DESC NULLS LAST, c_custkey) - 1 FROM dirty_customer""")
+def sort_full(spark, sf):
+    from scrubspark.plans.ordered import positions
+
+    d = view(spark, sf, "dirty_customer").select("c_custkey", "acctbal")
+    out = []
+    for name, ascending in (("up", True), ("down", False)):
+        done = rows.sort_dataset(d, "acctbal", ascending, tie_breakers=["c_custkey"])
+        # the number of a row in the order that the sort gave it, whatever its partition
+        placed = positions(done.withColumn("at", F.monotonically_increasing_id()), ["at"])
+        out.append(placed.select(F.lit(name).alias("direction"), "c_custkey", "position"))
+    return out[0].unionByName(out[1])
+
+
 @register("sort_desc_topk", """
 SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate,
   CAST(row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS INTEGER) AS rank

@@ -41,14 +41,31 @@ def recipe_clean_customer(spark, sf):
     return res.df.withColumn("acctbal", F.round("acctbal", 6))
 
 
+@register("recipe_audit", with_views("dirty_customer") + """
+, a AS (SELECT acctbal FROM dirty_customer), b AS (SELECT * FROM a WHERE acctbal IS NOT NULL),
+c AS (SELECT * FROM b WHERE NOT acctbal < 0)
+SELECT 0 AS step, 'Success' AS outcome, (SELECT count(*) FROM a) AS rows_before, (SELECT count(*) FROM b) AS rows_after
+UNION ALL SELECT 1, 'Error', (SELECT count(*) FROM b), (SELECT count(*) FROM b)
+UNION ALL SELECT 2, 'Success', (SELECT count(*) FROM b), (SELECT count(*) FROM c)""")
+def recipe_audit(spark, sf):
+    steps = [{"name": "handle_missing_values", "args": {"column": "acctbal", "strategy": "drop_rows"}},
+             {"name": "drop_column", "args": {"columns": ["no_such_column"]}},
+             {"name": "filter_rows", "args": {"column": "acctbal", "condition": "less_than", "value": 0}}]
+    res = recipe.run_recipe(view(spark, sf, "dirty_customer").select("acctbal"), steps)
+    res.df.take(3)                     # reading a part of the result is not the run that is audited
+    res.write(scratch_path(spark, "audited"))
+    return res.audit().select("step", "outcome", "rows_before", "rows_after")
+
+
 # --- versions -------------------------------------------------------------------------
 
 @register("version_diff", with_views("dup_orders") + """
 , d AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM dup_orders),
 k AS (SELECT DISTINCT * FROM d)
-SELECT 'removed' AS change, * FROM (SELECT * FROM d EXCEPT ALL SELECT * FROM k)
-UNION ALL
-SELECT 'added' AS change, * FROM (SELECT * FROM k EXCEPT ALL SELECT * FROM d)""")
+SELECT change, o_orderkey, o_custkey, o_orderstatus, o_totalprice, count(*) AS copies FROM (
+  SELECT 'removed' AS change, * FROM (SELECT * FROM d EXCEPT ALL SELECT * FROM k)
+  UNION ALL
+  SELECT 'added' AS change, * FROM (SELECT * FROM k EXCEPT ALL SELECT * FROM d)) GROUP BY ALL""")
 def version_diff(spark, sf):
     vt = versions.VersionedTable(spark, scratch_path(spark, "versions"),
                                  view(spark, sf, "dup_orders").drop("copy_no"))
@@ -58,6 +75,19 @@ def version_diff(spark, sf):
     return vt.diff(0, vt.current_version())
 
 
+@register("version_diff_dropped", with_views("dup_orders") + """
+, d AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM dup_orders)
+SELECT 'removed' AS change, o_orderkey, o_custkey, o_orderstatus, count(*) AS copies FROM d
+WHERE o_custkey IS NOT NULL GROUP BY ALL
+UNION ALL
+SELECT 'added', o_orderkey, NULL, o_orderstatus, count(*) FROM d WHERE o_custkey IS NOT NULL GROUP BY ALL""")
+def version_diff_dropped(spark, sf):
+    base = view(spark, sf, "dup_orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    vt = versions.VersionedTable(spark, scratch_path(spark, "versions"), base)
+    vt.apply(vt.current().drop("o_custkey"))
+    return vt.diff(0, 1)
+
+
 _LOG_SQL = """CASE WHEN event_type = 'view' THEN 'undo' WHEN event_type = 'error' THEN 'redo' ELSE 'apply' END"""
 
 

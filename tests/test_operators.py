@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from scrubspark.contracts import ColumnNotFoundError, resolve_column
+from scrubspark.contracts import UnknownColumn, resolve_column
 from scrubspark.operators import cells, rows
 
 
@@ -22,13 +22,13 @@ def by_id(df, c):
 def test_resolve_exact_folded_and_suggestions(people):
     assert resolve_column(people, "age") == "age"
     assert resolve_column(people, "  AGE ") == "age"
-    with pytest.raises(ColumnNotFoundError, match="Close matches"):
+    with pytest.raises(UnknownColumn, match="close matches"):
         resolve_column(people, "agee")
 
 
 def test_resolve_ambiguous_fold_raises(spark):
     df = spark.createDataFrame([(1, 2)], "`Age` int, `age ` int")
-    with pytest.raises(ColumnNotFoundError, match="ambiguous"):
+    with pytest.raises(UnknownColumn, match="ambiguous"):
         resolve_column(df, "AGE")
 
 
@@ -65,11 +65,11 @@ def test_filter_greater_keeps_null_and_text(people):
 
 
 def test_filter_numeric_value_required(people):
-    with pytest.raises(ValueError, match="numeric"):
+    with pytest.raises(ValueError, match="compares numbers"):
         rows.filter_rows(people, "age", "greater_than", "old")
     with pytest.raises(ValueError, match="required"):
         rows.filter_rows(people, "age", "equals")
-    with pytest.raises(ValueError, match="Unknown condition"):
+    with pytest.raises(ValueError, match="is none of"):
         rows.filter_rows(people, "age", "between", 1)
 
 
@@ -206,7 +206,7 @@ def test_split_column(people):
     assert r[4] == "3rd" and r[5] is None
     one = by_id(cells.split_column(people, "signup_date", "-", ["year"]), "year")
     assert one[1] == "2020"
-    with pytest.raises(ValueError, match="already exists"):
+    with pytest.raises(ValueError, match="there already"):
         cells.split_column(people, "full_name", " ", ["city", "x"])
     with pytest.raises(ValueError):
         cells.split_column(people, "full_name", " ", [])
@@ -217,7 +217,7 @@ def test_merge_columns(people):
     assert "city" not in out.columns and by_id(out, "place")[1] == "Mumbai, NY"
     keep = cells.merge_columns(people, ["status", "state"], "status", "/", null_text="nan")
     assert by_id(keep, "status")[4] == "nan/NY"
-    with pytest.raises(ValueError, match="already exists"):
+    with pytest.raises(ValueError, match="there already"):
         cells.merge_columns(people, ["city", "state"], "price")
     with pytest.raises(ValueError):
         cells.merge_columns(people, ["city"], "x")
@@ -229,7 +229,7 @@ def test_datetime_parts(people):
     assert r[1]["signup_date_year"] == 2020 and r[1]["signup_date_weekday"] == "Wednesday"
     assert r[2]["signup_date_hour"] == 10 and r[2]["signup_date_quarter"] == 2
     assert r[3]["signup_date_year"] is None
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="no part"):
         cells.extract_datetime_parts(people, "signup_date", ["century"])
 
 
@@ -241,9 +241,9 @@ def test_remove_type_anomalies(people):
 
 
 def test_rename_clash(people):
-    with pytest.raises(ValueError, match="already exists"):
+    with pytest.raises(ValueError, match="there already"):
         cells.rename_column(people, "age", "age")
-    with pytest.raises(ValueError, match="already exists"):
+    with pytest.raises(ValueError, match="there already"):
         cells.rename_column(people, "age", "City")
     assert "years" in cells.rename_column(people, "AGE", "years").columns
 

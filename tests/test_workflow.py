@@ -176,10 +176,6 @@ def test_csv_file_order_and_failfast(spark, tmp_path):
         csv.read_csv(spark, str(bad)).collect()
 
 
-def test_history_distributed_path(spark, distributed_scans):
-    test_history(spark)
-
-
 def test_checkpoint_folder_rules():
     from scrubspark import session
 
@@ -214,5 +210,80 @@ def test_version_diff_counts_copies(spark):
     base = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, None)], "k int, v string")
     vt = versions.VersionedTable(spark, scratch_path(spark, "vt-diff"), base)
     vt.apply(spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (3, "y")], "k int, v string"))
-    d = sorted((r["change"], r["k"], r["v"]) for r in vt.diff(0, 1).collect())
-    assert d == [("added", 3, "y"), ("added", 3, "y"), ("removed", 1, "x"), ("removed", 1, "x")]
+    d = sorted((r["change"], r["k"], r["v"], r["copies"]) for r in vt.diff(0, 1).collect())
+    assert d == [("added", 3, "y", 2), ("removed", 1, "x", 2)]
+
+
+def test_diff_over_changed_columns(spark):
+    base = spark.createDataFrame([(1, "x", 5), (2, None, 6)], "k int, v string, `a.b` int")
+    vt = versions.VersionedTable(spark, scratch_path(spark, "vt-diff"), base)
+    vt.apply(base.drop("v"))
+    vt.apply(base.selectExpr("cast(k as string) as k", "v", "`a.b`"))
+    vt.apply(base.selectExpr("if(k = 1, 'one', '2') as k", "v", "`a.b`"))
+    dropped = sorted((r["change"], r["k"], r["v"], r["a.b"], r["copies"]) for r in vt.diff(0, 1).collect())
+    assert dropped == [("added", 1, None, 5, 1), ("removed", 1, "x", 5, 1)]
+    assert vt.diff(0, 2).count() == 0          # the same values as text
+    assert vt.diff(0, 3).count() == 2
+    assert [tuple(r) for r in vt.schema_diff(0, 1).collect()] == [("v", "string", None)]
+    assert [tuple(r) for r in vt.schema_diff(0, 2).collect()] == [("k", "int", "string")]
+
+
+def test_snapshots_are_written_once(spark, people):
+    root = scratch_path(spark, "vt-once")
+    vt = versions.VersionedTable(spark, root, people)
+    vt.apply(people.limit(5))
+    redo = vt.current()
+    vt.undo()
+    vt.apply(redo.limit(3))                    # reads the snapshot that the redo version had
+    assert vt.current().count() == 3 and not vt.can_redo()
+    other = versions.VersionedTable(spark, root)
+    other.apply(people.limit(2))
+    assert vt.current_version() == 2 and vt.current().count() == 2 and vt.version(1).count() == 3
+    vt.apply(people.limit(1))
+    assert other.version(2).count() == 2 and other.current().count() == 1
+
+
+def test_exact_integers(spark):
+    from scrubspark.operators import cells, reports
+
+    big = 2**53
+    df = spark.createDataFrame([(big,), (big + 1,), (big + 2,), (None,)], "k long")
+    kept = {r[0] for r in rows.filter_rows(df, "k", "equals", str(big + 1)).collect()}
+    assert kept == {big, big + 2, None}
+    assert {r[0] for r in rows.filter_rows(df, "k", "greater_than", str(big)).collect()} == {big, None}
+    assert {r[0] for r in cells.fill_missing(df, "k", "constant", str(big + 3)).collect()} == {big, big + 1, big + 2, big + 3}
+    assert {r[0] for r in cells.find_and_replace(df, "k", str(big + 1), str(big + 9)).collect()} == {big, big + 9, big + 2, None}
+    assert reports.column_summary(df).first()["unique_count"] == 3
+    flags = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
+    assert {r[0] for r in rows.filter_rows(flags, "b", "equals", "True").collect()} == {False, None}
+    assert [r[0] for r in cells.find_and_replace(flags, "b", "True", "False").collect()] == [False, False, None]
+
+
+def test_column_clashes_are_found_case_aside(spark):
+    from scrubspark.operators import cells
+
+    df = spark.createDataFrame([("a b", "x", "2020-01-02")], "t string, First string, d string")
+    with pytest.raises(ValueError):
+        cells.split_column(df, "t", " ", ["first", "second"])
+    with pytest.raises(ValueError):
+        cells.merge_columns(df, ["t", "d"], "first")
+    twice = cells.extract_datetime_parts(cells.extract_datetime_parts(df, "d", ["year"]), "d", ["year"])
+    assert twice.columns.count("d_year") == 1 and twice.first()["d_year"] == 2020
+
+
+def test_order_is_asked_for(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    with pytest.raises(ValueError):
+        rows.drop_duplicates(df, ["k"], "last")
+    ordered = df.selectExpr("*", "'f' as _file", "if(v = 'a', 0L, 1L) as _row")
+    assert rows.drop_duplicates(ordered, ["k"], "last").first()["v"] == "b"
+
+
+def test_audit_counts_what_was_written(spark, people, tmp_path):
+    res = recipe.run_recipe(people, [{"name": "drop_duplicates", "args": {}},
+                                     {"name": "drop_column", "args": {"columns": ["price"]}}])
+    res.df.show(3)
+    assert [r["rows_after"] for r in res.audit().collect()] == [None, None]
+    res.write(str(tmp_path / "out"))
+    audit = res.audit().collect()
+    assert [(r["rows_before"], r["rows_after"]) for r in audit] == [(8, 7), (7, 7)] and audit[0]["written_at"]

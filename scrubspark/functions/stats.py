@@ -12,20 +12,20 @@ computes the same exact, linearly interpolated quantile (pandas ``quantile``, Du
 
 1. ``approx_percentile`` at ``p +- margin`` brackets the two order statistics needed,
    together with the non-null count ``n``.
-2. Values below the bracket are counted with plain aggregates; values inside it are grouped
-   by value (map-side combined, so a hot value costs one row per task) and a running count
-   per bracket gives each distinct value its exact global rank. Only the bracket (about
-   ``8 n / accuracy`` rows before grouping, narrowed by refinement rounds to at most
-   ``BRACKET_ROWS``) is ever materialised and ordered.
-
-If the bracket misses a rank (it cannot under the sketch's error bound, but it is checked),
-that quantile falls back to Spark's exact ``percentile``.
+2. Rounds of plain aggregates count the values below and inside each bracket exactly and take
+   approximate quantiles of those inside, which narrow it, until at most ``BRACKET_ROWS`` values
+   are left in it. A bracket that turns out to miss its rank is opened to that side and
+   narrowed again with more slack. Every fit goes through this loop, whatever its size.
+3. Only rows inside a bracket are read once more; they are grouped by value (map-side combined,
+   so a hot value costs one row per task), and a running count gives each value its rank.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ from scrubspark.contracts import field_type, qcol
 from scrubspark.functions.parse import nan_to_null, to_number
 
 DEFAULT_ACCURACY = 10_000
-# Most values ranked exactly per quantile; a wider bracket is narrowed first (checked).
-BRACKET_ROWS = 2_000_000
+# Most values ranked exactly per quantile; wider brackets are narrowed first.
+BRACKET_ROWS = 200_000
 # Approximate quantiles taken inside a bracket per refinement round.
 REFINE_GRID = 1_000
 
@@ -54,8 +54,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
 def fit(df: DataFrame, quantile_requests: Sequence[tuple[str, float]], mean_columns: Sequence[str] = (),
         accuracy: int = DEFAULT_ACCURACY,
         exact: bool = True) -> tuple[dict[tuple[str, float], float | None], dict[str, float | None]]:
-    """Quantiles for every (column, p) and means for ``mean_columns``, in at most two passes
-    over ``df`` however many columns are asked for (means ride along in the first pass).
+    """Quantiles for every (column, p) and means for ``mean_columns``, in passes over ``df`` that
+    all columns share (means ride along in the first): a sketch, the counting rounds (one, unless
+    a bracket is wide), and the rows inside the brackets.
 
     ``exact=False`` is the opt-in for very large tables: one pass, ``approx_percentile``
     at p with rank error at most ``n / accuracy`` (no interpolation)."""
@@ -95,83 +96,61 @@ def fit(df: DataFrame, quantile_requests: Sequence[tuple[str, float]], mean_colu
         plan[k] = (lo, hi, fl, rank_b, h - fl)
     if not plan:
         return out, mean_of
-    _refine(df, vals, keys, plan, n_of, accuracy)
-
-    # Pass 2: values below each bracket are only counted (plain aggregates, no rows); values
-    # inside it are grouped by value and ranked with a running count, so a value's global
-    # rank is (count below) + (running count). The counts below arrive as a scalar subquery,
-    # so both run under one action.
-    below_row = df.agg(*[F.count_if(vals[keys[k][0]] < F.lit(t[0])).alias(f"b{k}") for k, t in plan.items()])
-    below = below_row.select(F.struct(*below_row.columns).alias("s")).scalar()
-    items = []
-    for k, (lo, hi, *_rest) in plan.items():
-        v = vals[keys[k][0]]
-        items.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.struct(F.lit(k).alias("k"), v.alias("v"))))
+    below = _narrow(df, vals, keys, plan, accuracy)
+
+    # Last pass: only the rows inside a bracket, grouped by value and ranked with a running count.
+    inside_of = {k: (vals[keys[k][0]] >= F.lit(t[0])) & (vals[keys[k][0]] <= F.lit(t[1])) for k, t in plan.items()}
+    items = [F.when(inside, F.struct(F.lit(k).alias("k"), vals[keys[k][0]].alias("v"))) for k, inside in inside_of.items()]
     inside = F.filter(F.array(*items), lambda e: e.isNotNull())
-    cells = (df.select(F.explode(inside).alias("e")).select("e.k", "e.v")
+    cells = (df.where(reduce(or_, inside_of.values())).select(F.explode(inside).alias("e")).select("e.k", "e.v")
              .groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
     w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = cells.withColumn("cum", F.sum("cnt").over(w))
-    below_of = F.create_map(*[x for k in plan for x in (F.lit(k), below[f"b{k}"])])
-    need_a = F.create_map(*[x for k, t in plan.items() for x in (F.lit(k), F.lit(t[2] + 1) - below[f"b{k}"])])
-    need_b = F.create_map(*[x for k, t in plan.items() for x in (F.lit(k), F.lit(t[3] + 1) - below[f"b{k}"])])
-    picked = (ranked.groupBy("k").agg(
-        F.max(below_of[F.col("k")]).alias("below"),
-        F.max("cum").alias("inside"),
-        F.min(F.when(F.col("cum") >= need_a[F.col("k")], F.col("v"))).alias("xa"),
-        F.min(F.when(F.col("cum") >= need_b[F.col("k")], F.col("v"))).alias("xb"),
-    ).collect())  # one row per (column, p): bounded by the request, not the data
-    got = {r["k"]: r for r in picked}
-
-    fallback = []
-    for k, (lo, hi, ra, rb, frac) in plan.items():
-        r = got.get(k)
-        if r is None or r["below"] > ra or r["below"] + r["inside"] < rb + 1 or r["xa"] is None or r["xb"] is None:
-            fallback.append(k)
-            continue
-        out[keys[k]] = r["xa"] + (r["xb"] - r["xa"]) * frac
-    if fallback:
-        exact = df.agg(*[F.percentile(vals[keys[k][0]], F.lit(keys[k][1])).alias(f"x{k}") for k in fallback]).first()
-        for k in fallback:
-            out[keys[k]] = exact[f"x{k}"]
+    need = {r: F.create_map(*[x for k, t in plan.items() for x in (F.lit(k), F.lit(t[r] + 1 - below[k]))]) for r in (2, 3)}
+    picked = ranked.groupBy("k").agg(
+        F.min(F.when(F.col("cum") >= need[2][F.col("k")], F.col("v"))).alias("xa"),
+        F.min(F.when(F.col("cum") >= need[3][F.col("k")], F.col("v"))).alias("xb")).collect()
+    for r in picked:  # one row per (column, p): bounded by the request, not the data
+        out[keys[r["k"]]] = r["xa"] + (r["xb"] - r["xa"]) * plan[r["k"]][4]
     return out, mean_of
 
 
-def _refine(df: DataFrame, vals, keys, plan: dict, n_of: dict, accuracy: int, max_rounds: int = 8) -> None:
-    """Narrow brackets that may hold more than ``BRACKET_ROWS`` values, in place.
+def _narrow(df: DataFrame, vals, keys, plan: dict, accuracy: int, max_misses: int = 20) -> dict[int, int]:
+    """Narrow the brackets of ``plan`` in place; the exact number of values below each of them.
 
-    One pass per round for all such brackets: count the values below and inside each, and
-    take ``REFINE_GRID`` approximate quantiles of the values inside; the grid points around
-    the target ranks (plus the sketch's error) become the new bracket, about
-    ``REFINE_GRID / 8`` times narrower. Small inputs never get here.
+    One pass per round for all open brackets: count the values below and inside, and take
+    ``REFINE_GRID`` approximate quantiles of those inside; the grid points around the target
+    ranks (plus the sketch's error) are the next bracket. A bracket is done when it holds its
+    ranks and few enough values, or when ties keep its ends where they are.
     """
-    wide = {k for k in plan if 8.0 * n_of[keys[k][0]] / accuracy > BRACKET_ROWS}
+    below, open_, misses = {}, set(plan), dict.fromkeys(plan, 0)
     grid = F.array(*[F.lit(i / REFINE_GRID) for i in range(REFINE_GRID + 1)])
-    for _ in range(max_rounds):
-        if not wide:
-            return
+    while open_:
         aggs = []
-        for k in wide:
-            lo, hi = plan[k][0], plan[k][1]
+        for k in sorted(open_):
             v = vals[keys[k][0]]
-            inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
-            aggs += [F.count_if(v < F.lit(lo)).alias(f"b{k}"), F.count_if(inside).alias(f"i{k}"),
+            inside = (v >= F.lit(plan[k][0])) & (v <= F.lit(plan[k][1]))
+            aggs += [F.count_if(v < F.lit(plan[k][0])).alias(f"b{k}"), F.count_if(inside).alias(f"i{k}"),
                      F.approx_percentile(F.when(inside, v), grid, accuracy).alias(f"g{k}")]
         row = df.agg(*aggs).first()
-        still = set()
-        for k in wide:
+        for k in sorted(open_):
             lo, hi, ra, rb, frac = plan[k]
-            below, n_in, g = row[f"b{k}"], row[f"i{k}"], row[f"g{k}"]
-            if not n_in or g is None or below > ra or below + n_in < rb + 1:
-                continue  # the exact pass will notice and fall back
-            err = n_in / accuracy + 1
-            a = max(0, math.floor((ra - below - 2 * err) / max(n_in - 1, 1) * REFINE_GRID))
-            b = min(REFINE_GRID, math.ceil((rb - below + 2 * err) / max(n_in - 1, 1) * REFINE_GRID) + 1)
-            new_lo, new_hi = g[a], g[b]
-            plan[k] = (new_lo, new_hi, ra, rb, frac)
-            if n_in * (b - a + 1) / REFINE_GRID > BRACKET_ROWS and (new_lo, new_hi) != (lo, hi):
-                still.add(k)
-        wide = still
+            b, n_in, g = row[f"b{k}"], row[f"i{k}"], row[f"g{k}"]
+            if b > ra or b + n_in < rb + 1:
+                misses[k] += 1
+                if misses[k] > max_misses:
+                    raise RuntimeError(f"no bracket of {keys[k]} holds its rank; is the input the same at every read?")
+                plan[k] = (-math.inf if b > ra else lo, math.inf if b + n_in < rb + 1 else hi, ra, rb, frac)
+                continue
+            err = (n_in / accuracy + 1) * 2 ** (1 + misses[k])
+            low = max(0, math.floor((ra - b - err) / max(n_in - 1, 1) * REFINE_GRID))
+            high = min(REFINE_GRID, math.ceil((rb - b + err) / max(n_in - 1, 1) * REFINE_GRID) + 1)
+            if n_in <= BRACKET_ROWS or (g[low], g[high]) == (lo, hi):
+                below[k] = b
+                open_.discard(k)
+            else:
+                plan[k] = (g[low], g[high], ra, rb, frac)
+    return below
 
 
 def quantile(df: DataFrame, column: str, p: float, accuracy: int = DEFAULT_ACCURACY,

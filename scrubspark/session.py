@@ -49,7 +49,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a shared folder; checkpoints cannot live on one machine.")
         key = sc.applicationId if sc is not None else "connect"
-        configured = _LOCAL_FOLDERS.setdefault(key, tempfile.mkdtemp(prefix="scrubspark-ckpt-"))
+        if key not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[key] = tempfile.mkdtemp(prefix="scrubspark-ckpt-")
+        configured = _LOCAL_FOLDERS[key]
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured

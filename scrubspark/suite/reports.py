@@ -43,6 +43,18 @@ def column_nulls(spark, sf):
     return s.select("column", "null_count", "null_pct", "unique_count")
 
 
+_LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+             "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@register("profile_lineitem", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
+    f"count(DISTINCT {c}) AS unique_count FROM lineitem" for c in _LINEITEM))
+def profile_lineitem(spark, sf):
+    s = reports.column_summary(table(spark, sf, "lineitem").select(*_LINEITEM))
+    return s.select("column", "null_count", "unique_count")
+
+
 @register("column_numeric_stats", DC + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column, round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max, "
     f"round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM dirty_customer"

@@ -19,8 +19,8 @@ from scrubspark.llm.common import ID_KEY, TEXT_KEY, WORD, pick, row_keys
 from scrubspark.session import materialize
 
 LEVELS = ("domain", "lang", "source")
-DIGITS = 3   # hexadecimal digits of the seeded order that one look at a leaf resolves
-LOOKS = 3
+DIGITS = 2   # hexadecimal digits of the seeded order that one look at a leaf resolves
+LOOKS = 4
 
 
 def word_tokens(text: Column) -> Column:

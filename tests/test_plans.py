@@ -43,12 +43,12 @@ def test_last_n_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in p
 
 
-def test_no_single_partition_exchange_on_rows_in_reports(spark):
+def test_value_counts_run_no_python(spark):
     from scrubspark.operators import reports
 
     e = table(spark, SF, "events")
     p = plan(reports.value_counts(e, "event_type"))
-    assert "BatchEvalPython" not in p
+    assert "Python" not in p and "Pandas" not in p
 
 
 def test_column_summary_two_scans_one_frequency_shuffle(spark):

@@ -19,15 +19,17 @@ def library(path):
     return Tokenizer.from_file(path)
 
 
-def test_counts_equal_the_library_on_random_texts(path, library):
+@pytest.mark.parametrize("hot", [0, 50, tokens.HOT])
+def test_counts_equal_the_library_on_random_texts(spark, path, library, hot):
     r = random.Random(1)
     alphabet = " \n\t ab1'sé., 🙂ßA\x1cーĿ<|>"
     texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(3000)]
     texts += ["x<|endoftext|>y <|endoftext|>", "<|endoftext|", " a b ", "", " ", "it's 's 'll", "a" * 50_000,
               "1" * 3000, "é" * 3000, "\n" * 500, " " * 500 + "x"]
     want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert tokens.count_tokens(texts, path) == want
-    assert tokens.count_tokens(texts, path, block_chars=50) == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = dict(tokens.token_counts(docs, path, hot=hot).select("doc_id", "n_tokens").collect())
+    assert [got[i] for i in range(len(texts))] == want
 
 
 def test_query_equals_the_library(spark, small, library):
@@ -48,6 +50,13 @@ def test_token_counts_of_odd_rows(spark, odd, odd_rows, nothing, path, library):
     assert tokens.token_counts(nothing, path).count() == 0
 
 
+def test_each_distinct_pre_token_once(spark, path):
+    docs = spark.createDataFrame([("a bb a",), ("a bb  c<|endoftext|>",), (None,), ("",)], "text string").repartition(2)
+    got = {r["pre_token"]: (r["n"], r["pieces"]) for r in tokens.pieces_table(docs, path).collect()}
+    assert {p: n for p, (n, _) in got.items()} == {"a": 2, " bb": 1, " a": 1, " bb  c": 1, "<|endoftext|>": 1}
+    assert got["<|endoftext|>"] == (1, 1)
+
+
 def test_pre_tokens_join_to_the_text():
     r = random.Random(2)
     for _ in range(500):

@@ -2,29 +2,26 @@
 
 A text is cut into pre-tokens at places where the tokenizer's own pre-tokenizer always cuts: before
 a single space between two non-space characters (its pattern takes a space together with what
-follows, and nothing but a space ever crosses into a word). The distinct pre-tokens of the corpus
-are a table, each encoded once. Their numbers of pieces are joined to the pre-token frequencies of
-each document and summed: those of frequent pre-tokens, of which there are at most ``HOT`` by
-definition, by a lookup in each task, all others by a shuffled join, in which no key is hot.
+follows, and nothing but a space ever crosses into a word). Within a block of documents each
+distinct pre-token is encoded once, and its number of pieces is joined to the pre-token frequencies
+of each document and summed. The numbers are kept between blocks, up to a fixed number of entries.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from operator import mul
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubspark.llm.common import pick
-from scrubspark.session import materialize
 
-HOT = 100_000            # a pre-token is frequent if it is at least this part of all; so there are no more than that
-HOT_BYTES = 512          # longer ones are never looked up: with HOT, the bound of what each task holds
-TABLE_ENTRIES = 500_000  # distinct pre-tokens a task adds up before it passes them on
+CACHE_ENTRIES = 1_500_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: a space, Latin letters, and at most one mark: one word for the model, and one token for the mark
@@ -38,7 +35,7 @@ _LOADED: dict[str, tuple] = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer, its special strings and their pattern (loaded once per Python worker)."""
+    """The tokenizer, its special strings and their pattern, and the piece counts so far (one each per Python worker)."""
     if path not in _LOADED:
         import os
 
@@ -50,7 +47,7 @@ def tokenizer(path: str):
         t.no_padding()
         special = [a.content for a in t.get_added_tokens_decoder().values()]
         cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        _LOADED[path] = (t, special, cut)
+        _LOADED[path] = (t, special, cut, {})
     return _LOADED[path]
 
 
@@ -82,72 +79,60 @@ def _count_pieces(new: list[str], t) -> list[int]:
     return out
 
 
-def frequencies(text: str | None, path: str) -> Counter:
-    """How often each pre-token comes in a text; special strings are pre-tokens of their own."""
-    _, special, cut = tokenizer(path)
-    out: Counter = Counter()
-    if not text:
-        return out
-    for part in (cut.split(text) if any(x in text for x in special) else [text]):
-        if part:
-            out.update([part] if part in special else pre_tokens(part))
+def count_tokens(texts: list[str], path: str, block_chars: int = 1 << 22) -> list[int]:
+    """Tokens of each text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
+    collecting = gc.isenabled()
+    gc.disable()  # millions of strings live on in the cache, none of them in cycles
+    try:
+        return _count(texts, path, block_chars)
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def _count(texts: list[str], path: str, block_chars: int) -> list[int]:
+    t, special, cut, pieces = tokenizer(path)
+    out: list[int] = []
+    block: list[Counter] = []
+
+    def flush() -> None:
+        if len(pieces) > CACHE_ENTRIES:
+            pieces.clear()
+        new = list(set().union(*block) - pieces.keys())
+        pieces.update(zip(new, _count_pieces(new, t)))
+        out.extend(sum(map(mul, c.values(), map(pieces.__getitem__, c))) for c in block)
+        block.clear()
+
+    chars = 0
+    for text in texts:
+        c: Counter = Counter()
+        for part in (cut.split(text) if any(x in text for x in special) else [text]):
+            if part:
+                c.update([part] if part in special else pre_tokens(part))
+        block.append(c)
+        chars += len(text)
+        if chars >= block_chars:
+            flush()
+            chars = 0
+    flush()
     return out
 
 
-def pieces_table(texts: DataFrame, path: str) -> DataFrame:
-    """``(pre_token, n, pieces)``: each distinct pre-token of the column ``text``, its count, its number of tokens."""
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                total.update(frequencies(text, path))
-                if len(total) > TABLE_ENTRIES:
-                    yield pd.DataFrame({"pre_token": list(total), "n": list(total.values())})
-                    total.clear()
-        if total:
-            yield pd.DataFrame({"pre_token": list(total), "n": list(total.values())})
+def n_tokens_column(text: Column, path: str) -> Column:
+    @F.pandas_udf("long")
+    def n_tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series(count_tokens(["" if t is None else t for t in texts], path), dtype="int64")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(pieces=_count_pieces(batch["pre_token"].tolist(), tokenizer(path)[0]))
-
-    distinct = (texts.select("text").mapInPandas(add_up, "pre_token string, n long")
-                .groupBy("pre_token").agg(F.sum("n").alias("n")))
-    return materialize(distinct.mapInPandas(encode, "pre_token string, n long, pieces long"), "pre-tokens")
+    return n_tokens(text)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id",
-                 text_col: str = "text", hot: int = HOT) -> DataFrame:
+                 text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)``, one row per row of ``docs``.
 
     A null text counts as empty: 0 bytes, 0 tokens. Null ids and repeated rows keep their rows.
     """
     d = pick(docs, id_col, text_col).toDF("doc_id", "text")
-    pieces = pieces_table(d, path)
-    total = pieces.agg(F.sum("n")).first()[0] or 0
-    frequent = pieces.where((F.col("n") * hot >= total) & (F.octet_length("pre_token") <= HOT_BYTES))
-    known = docs.sparkSession.sparkContext.broadcast(
-        {r["pre_token"]: r["pieces"] for r in frequent.select("pre_token", "pieces").collect()})
-
-    @F.pandas_udf("hot long, rare array<string>, times array<long>")
-    def look_up(texts: pd.Series) -> pd.DataFrame:
-        table, sums, rare, times = known.value, [], [], []
-        for text in texts:
-            of_text = frequencies(text, path)
-            others = {p: n for p, n in of_text.items() if p not in table}
-            sums.append(sum(n * table[p] for p, n in of_text.items() if p in table))
-            rare.append(list(others))
-            times.append(list(others.values()))
-        return pd.DataFrame({"hot": sums, "rare": rare, "times": times})
-
-    # the row number is written with the row: it names the row whatever happens to the tasks after
-    parts = materialize(d.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.monotonically_increasing_id().alias("row"), look_up(F.col("text")).alias("p")), "token-parts")
-    others = parts.select("row", F.explode(F.arrays_zip("p.rare", "p.times")).alias("o"))
-    summed = (others.select("row", F.col("o.rare").alias("pre_token"), F.col("o.times").alias("times"))
-              .join(pieces.select("pre_token", "pieces"), "pre_token")
-              .groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest")))
-    return (parts.select("row", "doc_id", "n_bytes", "p.hot").join(summed, "row", "left")
-            .select("doc_id", "n_bytes", (F.col("hot") + F.coalesce("rest", F.lit(0))).alias("n_tokens"))
-            .withColumn("over_limit", F.col("n_tokens") > limit))
+    counted = d.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+                       n_tokens_column(F.col("text"), path).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -18,15 +18,14 @@ from scrubspark.contracts import is_datetime, is_floating, is_numeric, is_string
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INFINITY_WORDS = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 
-# Default datetime layouts tried in order when text is parsed.
+# Default datetime layouts tried in order when text is parsed. What stands in brackets may be
+# missing, so one layout takes dates, minutes, seconds, fractions and zones (of which the wall
+# clock is kept): few tries per cell.
 DATETIME_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
+    "yyyy-M-d[ HH:mm[:ss[.SSSSSS]]][XXX]",
+    "yyyy-M-d'T'HH:mm[:ss[.SSSSSS]][XXX]",
+    "yyyy/M/d[ HH:mm[:ss[.SSSSSS]]]",
+    "M/d/yyyy[ HH:mm[:ss[.SSSSSS]]]",
 ]
 
 # Whitespace removed at both ends by trim (what Python's str.strip removes:

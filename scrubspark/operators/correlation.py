@@ -31,7 +31,7 @@ PAIRS_PER_PASS = 200
 def _pairs(df: DataFrame) -> list[tuple[str, str]]:
     cols = numeric_columns(df)
     if len(cols) < 2:
-        raise ValueError("Not enough numeric columns to compute correlations (need at least 2).")
+        raise ValueError(f"a correlation takes two numeric columns or more; there are {cols}")
     return [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
 
 
@@ -60,7 +60,7 @@ def _report(values: DataFrame, pairs, threshold: float) -> DataFrame:
 
 def compute_correlation(df: DataFrame, method: str = "pearson", threshold: float = 0.7) -> DataFrame:
     if method not in METHODS:
-        raise ValueError("method must be 'pearson', 'spearman', or 'kendall'.")
+        raise ValueError(f"correlation method {method!r} is none of {METHODS}")
     pairs = _pairs(df)
     if method == "pearson":
         # one aggregate per batch of pairs keeps generated code small on wide tables

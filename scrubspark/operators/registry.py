@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from scrubspark.functions.stats import DEFAULT_ACCURACY
 from scrubspark.operators import cells, correlation, reports, rows
 
 
-def handle_missing_values(df, column, strategy="mean", constant_value=None):
+def handle_missing_values(df, column, strategy="mean", constant_value=None, exact=True, accuracy=DEFAULT_ACCURACY):
     if strategy == "drop_rows":
         return rows.drop_missing_rows(df, column)
-    return cells.fill_missing(df, column, strategy, constant_value)
+    return cells.fill_missing(df, column, strategy, constant_value, accuracy=accuracy, exact=exact)
 
 
-def handle_outliers(df, column, method="cap", iqr_multiplier=1.5):
-    if method == "cap":
-        return cells.cap_outliers(df, column, iqr_multiplier)
-    if method == "remove":
-        return rows.remove_outliers(df, column, iqr_multiplier)
-    raise ValueError(f"Unknown method '{method}'. Use 'cap' or 'remove'.")
+OUTLIER_METHODS = {"cap": cells.cap_outliers, "remove": rows.remove_outliers}
+
+
+def handle_outliers(df, column, method="cap", iqr_multiplier=1.5, exact=True, accuracy=DEFAULT_ACCURACY):
+    if method not in OUTLIER_METHODS:
+        raise ValueError(f"handle_outliers: method {method!r} is none of {list(OUTLIER_METHODS)}")
+    return OUTLIER_METHODS[method](df, column, iqr_multiplier, accuracy=accuracy, exact=exact)
 
 
 # name -> DataFrame -> DataFrame (a new table version)

@@ -318,11 +318,11 @@ def detect_outliers_report(df: DataFrame, column: str | None = None, iqr_multipl
         cols = [resolve_column(df, column)]
         dt = field_type(df, cols[0])
         if not is_numeric(dt):
-            raise ValueError(f"Column '{cols[0]}' is not numeric ({dt.simpleString()}).")
+            raise ValueError(f"outlier report: {cols[0]!r} is not numeric but {dt.simpleString()}")
     else:
         cols = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     if not cols:
-        raise ValueError("No numeric columns available to check for outliers.")
+        raise ValueError(f"outlier report: none of {df.columns} holds numbers")
     bounds = stats.iqr_bounds(df, cols, iqr_multiplier, accuracy, exact)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):

@@ -82,7 +82,7 @@ def filter_rows(df: DataFrame, column: str, condition: str, value=None) -> DataF
     if condition not in FILTER_CONDITIONS:
         raise ValueError(f"filter_rows: condition {condition!r} is none of {FILTER_CONDITIONS}")
     if value is None:
-        raise ValueError(f"'value' is required for condition '{condition}'.")
+        raise ValueError(f"filter_rows: a value is required to test {condition}")
     if condition in ("greater_than", "less_than"):
         try:
             v = float(value)

@@ -2,8 +2,9 @@
 
 All checks (unknown operator, missing or unexpected arguments, column names, argument
 values) run on the schema before any job. A step that fails is logged and skipped and the
-recipe goes on; a step identical to an earlier one is skipped. Row counts per step come
-from ``DataFrame.observe`` and fill in when the final table is computed (no extra scans).
+recipe goes on; a step identical to an earlier one is skipped. Row counts per step, and counts
+of changed cells, come from ``DataFrame.observe`` and fill in when the final table is computed
+(no extra scans).
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubspark.contracts import (UnknownColumn, StepValidationError, require_numeric, resolve_column,
-                                  validate_call)
+from scrubspark.contracts import (StepValidationError, UnknownColumn, field_type, qcol, require_numeric,
+                                  resolve_column, validate_call)
 from scrubspark.functions import stats
 from scrubspark.operators import cells
 from scrubspark.operators.registry import ANALYSES, TRANSFORMS
@@ -27,10 +28,15 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("step", T.IntegerType()), T.StructField("operator", T.StringType()),
     T.StructField("args", T.StringType()), T.StructField("outcome", T.StringType()),
     T.StructField("message", T.StringType()), T.StructField("rows_before", T.LongType()),
-    T.StructField("rows_after", T.LongType()),
+    T.StructField("rows_after", T.LongType()), T.StructField("cells_changed", T.LongType()),
     T.StructField("written_at", T.TimestampNTZType()),
 ])
 
+#: Steps that rewrite the cells of one column: the audit says how many cells came out different.
+CELL_STEPS = {"handle_missing_values", "handle_outliers", "standardize_text", "find_and_replace",
+              "remove_type_anomalies", "clip_numeric_range"}
+_BEFORE = "__cell_before"
+
 
 @dataclass
 class RecipeResult:
@@ -38,12 +44,16 @@ class RecipeResult:
     records: list[dict] = field(default_factory=list)
     reports: dict[int, DataFrame] = field(default_factory=dict)
     source: DataFrame | None = None
-    applied: list[tuple] = field(default_factory=list)   # (record, function of the table) of the steps that ran
+    applied: list[tuple] = field(default_factory=list)   # (record, function of the table, column rewritten or None)
     rows: dict[int, int] = field(default_factory=dict)   # rows after each step, and before the first (-1)
+    cells: dict[int, int] = field(default_factory=dict)  # cells that a step changed
     written_at: _dt.datetime | None = None
 
-    def write(self, path: str, fmt: str = "parquet") -> None:
-        """Compute the cleaned table into ``path``; the per-step row counts fill in.
+    def write(self, path: str, fmt: str = "parquet", log_path: str | None = None) -> None:
+        """Compute the cleaned table into ``path``; the per-step counts fill in.
+
+        With ``log_path`` the audit of this write is added to the Parquet table there, which so
+        keeps every call with its time.
 
         The steps are laid out once more with counters of this write between them, so that
         what was shown or counted before can't be mistaken for it; fits keep their values
@@ -51,21 +61,34 @@ class RecipeResult:
         """
         counters = {-1: Observation()}
         current = self.source.observe(counters[-1], F.count(F.lit(1)).alias("rows"))
-        for record, apply in self.applied:
-            counters[record["step"]] = Observation()
-            current = apply(current).observe(counters[record["step"]], F.count(F.lit(1)).alias("rows"))
+        for record, apply, column in self.applied:
+            counter = counters[record["step"]] = Observation()
+            rows = F.count(F.lit(1)).alias("rows")
+            if column is None:
+                current = apply(current).observe(counter, rows)
+                continue
+            after = apply(current.withColumn(_BEFORE, F.col(qcol(column))))
+            same = F.col(_BEFORE).cast(field_type(after, column)).eqNullSafe(F.col(qcol(column)))
+            current = after.observe(counter, rows, F.count_if(~same).alias("cells")).drop(_BEFORE)
         current.write.mode("overwrite").format(fmt).save(path)
         self.rows = {step: c.get["rows"] for step, c in counters.items()}
+        self.cells = {step: c.get["cells"] for step, c in counters.items() if "cells" in c.get}
         self.written_at = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        if log_path is not None:
+            self.audit().coalesce(1).write.mode("append").parquet(log_path)
 
     def audit(self) -> DataFrame:
-        """One row per step; ``rows_after`` is set once the table was computed (``write``)."""
+        """One row per step; the counts are set once the table was computed (``write``).
+
+        ``cells_changed`` counts the cells of the step's column that differ from before, in the
+        rows that are left; null for steps that rewrite no column's cells.
+        """
         out = []
         current = self.rows.get(-1)
         for r in self.records:
             after = self.rows.get(r["step"], current)
             out.append((r["step"], r["operator"], r["args"], r["outcome"], r["message"], current, after,
-                        self.written_at))
+                        self.cells.get(r["step"]), self.written_at))
             current = after
         return self.df.sparkSession.createDataFrame(out, AUDIT_SCHEMA)
 
@@ -81,6 +104,8 @@ def _frozen(x):
 
 def _batchable(name: str, args: dict) -> bool:
     """Fitted steps that rewrite only their own column: fills by mean/median, outlier caps."""
+    if not args.get("exact", True) or "accuracy" in args:
+        return False
     if name == "handle_missing_values":
         return args.get("strategy", "mean") in ("mean", "median")
     if name == "handle_outliers":
@@ -159,15 +184,16 @@ def run_recipe(df: DataFrame, steps: list[dict], max_steps: int | None = None) -
                     apply = partial(_apply_fitted, name=name, args=args, value=fitted[i])
                 else:
                     apply = partial(TRANSFORMS[name], **args)
+                column = resolve_column(current, args["column"]) if name in CELL_STEPS else None
                 current = apply(current)
-                result.applied.append((rec, apply))
+                result.applied.append((rec, apply, column))
                 rec.update(outcome="Success", message="applied")
             elif name in ANALYSES:
                 validate_call(ANALYSES[name], args, name)
                 result.reports[i] = ANALYSES[name](current, **args)
                 rec.update(outcome="Result", message="report built")
             else:
-                raise StepValidationError(f"'{name}' is not an available operator.")
+                raise StepValidationError(f"no operator is called {name!r}")
         except (StepValidationError, UnknownColumn, ValueError, TypeError) as e:
             rec.update(outcome="Error", message=str(e))
     result.df = current

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubspark.contracts import qcol
-from scrubspark.functions.parse import NUMBER_PATTERN, to_number
+from scrubspark.functions.parse import INFINITY_WORDS, NUMBER_PATTERN, to_number
 
 # pandas' default missing-value tokens for read_csv.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -24,20 +24,30 @@ INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 
 ORDER_COLUMNS = ["_file", "_block", "_row"]
+_BEYOND = "__beyond_header"
 
 
 def read_csv(spark: SparkSession, path: str, infer_types: bool = True, na_tokens=None,
-             multiline: bool = False, with_order: bool = False) -> DataFrame:
+             multiline: bool = True, with_order: bool = False) -> DataFrame:
     """Header row, comma separated, every column read as text, NA tokens to NULL, then typed.
 
-    A malformed row raises (``FAILFAST``) instead of turning into nulls. ``with_order``
-    adds ``_file``, ``_block`` and ``_row``: ordering by them is file order (the id is
-    increasing within each split, and splits of a file are ordered by block start).
+    Quoted cells may hold newlines; with ``multiline=False`` they may not, and large files are
+    split between tasks (what ``write_csv`` writes is one file per task either way). Rows with
+    fewer cells than the header end in nulls; one with more raises. ``with_order`` adds
+    ``_file``, ``_block`` and ``_row``: ordering by them is file order (the id is increasing
+    within each split, and splits of a file are ordered by block start).
     """
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-           .option("multiLine", multiline).option("mode", "FAILFAST").csv(path))
+    def reader():
+        return (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
+                .option("multiLine", multiline).option("mode", "PERMISSIVE"))
+
+    cols = reader().csv(path).columns
+    # one column more than the header has: what a row says beyond the header lands there
+    raw = reader().schema(T.StructType([T.StructField(c, T.StringType()) for c in [*cols, _BEYOND]])).csv(path)
+    raw = raw.where(F.when(F.col(_BEYOND).isNotNull(), F.raise_error(F.concat(
+        F.lit(f"a row has more cells than the {len(cols)} of the header; the first is "), F.col(_BEYOND)))
+        .cast("boolean")).otherwise(F.lit(True)))
     tokens = NA_TOKENS if na_tokens is None else list(na_tokens)
-    cols = raw.columns
     order = []
     if with_order:
         order = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
@@ -55,10 +65,11 @@ def infer_csv_types(df: DataFrame) -> dict[str, str]:
     aggs = []
     for i, c in enumerate(df.columns):
         col = F.col(qcol(c))
+        number = F.trim(col).rlike(NUMBER_PATTERN) | F.lower(F.trim(col)).isin(INFINITY_WORDS)
         aggs += [F.count(col).alias(f"n{i}"),
                  F.count_if(col.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}"),
                  F.count_if(col.rlike(INT_PATTERN) & F.trim(col).try_cast("bigint").isNotNull()).alias(f"i{i}"),
-                 F.count_if(F.trim(col).rlike(NUMBER_PATTERN)).alias(f"d{i}")]
+                 F.count_if(number).alias(f"d{i}")]
     row = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(df.columns):
@@ -88,5 +99,7 @@ def cast_expr(c: str, t: str):
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header row, no index, one file per task (no single-file funnel through one task)."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Header row, no index, one file per task (no single-file funnel through one task).
+    Cells keep their outer spaces."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

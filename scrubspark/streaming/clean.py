@@ -69,7 +69,7 @@ def freeze_steps(batch: DataFrame, steps: list[dict]) -> list[Step]:
             bounds = stats.iqr_bounds(current, [c], args.get("iqr_multiplier", 1.5))[c]
             method = args.get("method", "cap")
             if method not in ("cap", "remove"):
-                raise ValueError(f"Unknown method '{method}'. Use 'cap' or 'remove'.")
+                raise ValueError(f"outliers on a stream are capped or removed, not {method!r}")
             if bounds is None:
                 fn = (lambda df: df)
             else:

@@ -35,10 +35,12 @@ def num_sql(x: str) -> str:
             f"THEN TRY_CAST({t} AS DOUBLE) WHEN lower({t}) IN {_INF} THEN TRY_CAST({t} AS DOUBLE) END)")
 
 
-_TS_FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S",
-               "%Y-%m-%dT%H:%M:%S.%f", "%m/%d/%Y", "%m/%d/%Y %H:%M:%S"]
+_TS_FORMATS = [date + time for date, times in (
+    ("%Y-%m-%d", ("", " %H:%M", " %H:%M:%S", " %H:%M:%S.%f", "T%H:%M", "T%H:%M:%S", "T%H:%M:%S.%f", "T%H:%M:%SZ")),
+    ("%Y/%m/%d", ("", " %H:%M", " %H:%M:%S", " %H:%M:%S.%f")),
+    ("%m/%d/%Y", ("", " %H:%M", " %H:%M:%S", " %H:%M:%S.%f"))) for time in times]
 
 
 def ts_sql(x: str) -> str:
-    """DuckDB twin of ``to_timestamp_ntz`` on a text column."""
+    """DuckDB twin of ``to_timestamp_ntz`` on a text column (of the zones, Z alone)."""
     return "coalesce(" + ", ".join(f"try_strptime(trim({x}), '{f}')" for f in _TS_FORMATS) + ")"

@@ -57,6 +57,35 @@ def recipe_audit(spark, sf):
     return res.audit().select("step", "outcome", "rows_before", "rows_after")
 
 
+CELL_AUDIT_STEPS = [
+    {"name": "standardize_text", "args": {"column": "segment", "case": "upper"}},
+    {"name": "handle_missing_values", "args": {"column": "acctbal", "strategy": "median"}},
+    {"name": "remove_type_anomalies", "args": {"column": "nation_txt", "expected_type": "numeric"}},
+    {"name": "handle_missing_values", "args": {"column": "segment_gap", "strategy": "drop_rows"}},
+    {"name": "find_and_replace", "args": {"column": "segment", "old_value": "BUILDING", "new_value": "HOUSING"}},
+    {"name": "clip_numeric_range", "args": {"column": "acctbal", "min_value": 0, "max_value": 5000}},
+]
+
+
+@register("recipe_audit_cells", with_views("dirty_customer") + f"""
+, s AS (SELECT acctbal, segment, upper(trim(segment)) AS up, nation_txt, segment_gap FROM dirty_customer),
+f AS (SELECT coalesce(acctbal, (SELECT quantile_cont(acctbal, 0.5) FROM s)) AS acctbal, up, segment_gap FROM s),
+k AS (SELECT * FROM f WHERE segment_gap IS NOT NULL)
+SELECT 0 AS step, (SELECT count(*) FROM s WHERE segment IS DISTINCT FROM up) AS cells_changed,
+  (SELECT count(*) FROM s) AS rows_after
+UNION ALL SELECT 1, (SELECT count(*) FROM s WHERE acctbal IS NULL), (SELECT count(*) FROM s)
+UNION ALL SELECT 2, (SELECT count(*) FROM s WHERE nation_txt IS NOT NULL AND {num_sql('nation_txt')} IS NULL),
+  (SELECT count(*) FROM s)
+UNION ALL SELECT 3, 0, (SELECT count(*) FROM k)
+UNION ALL SELECT 4, (SELECT count(*) FROM k WHERE up = 'BUILDING'), (SELECT count(*) FROM k)
+UNION ALL SELECT 5, (SELECT count(*) FROM k WHERE acctbal < 0 OR acctbal > 5000), (SELECT count(*) FROM k)""")
+def recipe_audit_cells(spark, sf):
+    res = recipe.run_recipe(view(spark, sf, "dirty_customer"), CELL_AUDIT_STEPS)
+    log = scratch_path(spark, "change-log")
+    res.write(scratch_path(spark, "audited"), log_path=log)
+    return spark.read.parquet(log).select("step", "cells_changed", "rows_after")
+
+
 # --- versions -------------------------------------------------------------------------
 
 @register("version_diff", with_views("dup_orders") + """
@@ -160,6 +189,22 @@ def csv_roundtrip(spark, sf):
                     F.sum("c_nationkey").alias("sum_nationkey"), F.lit(inferred).alias("inferred"))
 
 
+# texts with quotes, newlines, delimiters, null tokens and outer spaces
+_ODD_CELL = """CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN concat('say "hi", ', text)
+  WHEN 2 THEN concat('a', chr(10), '"', chr(10), text) WHEN 3 THEN 'NA' WHEN 4 THEN concat('  ', text, ' ')
+  ELSE concat(text, '"') END"""
+
+
+@register("csv_cells", f"""
+WITH d AS (SELECT doc_id, lang, source, n_chars, {_ODD_CELL} AS cell FROM documents)
+SELECT doc_id, lang, source, n_chars, md5(nullif(nullif(cell, ''), 'NA')) AS cell_md5 FROM d""")
+def csv_cells(spark, sf):
+    path = scratch_path(spark, "csv")
+    csv.write_csv(table(spark, sf, "documents").select("doc_id", F.expr(_ODD_CELL).alias("cell"), "lang", "source",
+                                                       "n_chars"), path)
+    return csv.read_csv(spark, path).select("doc_id", "lang", "source", "n_chars", F.md5("cell").alias("cell_md5"))
+
+
 # --- streaming ------------------------------------------------------------------------
 
 STREAM_STEPS = [

@@ -264,3 +264,14 @@ def test_datetime_parse_ignores_session_zone(spark):
         assert reports.column_summary(out).first()["unique_count"] == 2
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_plain_iso_datetimes_are_no_anomalies(spark):
+    texts = ["2020-01-01 10:00", "2020-01-01T10:00:00Z", "2020-01-01T10:00:00.5+02:00", "2020/01/01", "2020-1-5",
+             "1/2/2020 03:04:05", "2020-01-01 10:00:05.123456", "2020-13-01", "2020", "soon", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    kept = [r["t"] for r in cells.remove_type_anomalies(df, "t", "datetime").collect()]
+    assert kept == texts[:7] + [None] * 4
+    parsed = [str(r["t"]) for r in cells.convert_dtype(df, "t", "datetime").limit(6).collect()]
+    assert parsed == ["2020-01-01 10:00:00", "2020-01-01 10:00:00", "2020-01-01 10:00:00.500000",
+                      "2020-01-01 00:00:00", "2020-01-05 00:00:00", "2020-01-02 03:04:05"]

@@ -287,3 +287,44 @@ def test_audit_counts_what_was_written(spark, people, tmp_path):
     res.write(str(tmp_path / "out"))
     audit = res.audit().collect()
     assert [(r["rows_before"], r["rows_after"]) for r in audit] == [(8, 7), (7, 7)] and audit[0]["written_at"]
+
+
+def test_audit_counts_changed_cells_and_keeps_a_log(spark, people, tmp_path):
+    steps = [{"name": "standardize_text", "args": {"column": "city", "case": "upper"}},
+             {"name": "handle_missing_values", "args": {"column": "AGE", "strategy": "median", "exact": False}},
+             {"name": "find_and_replace", "args": {"column": "customer_id", "old_value": "1", "new_value": "one"}},
+             {"name": "drop_column", "args": {"columns": ["state"]}}]
+    ids_cities = [tuple(r) for r in people.select("customer_id", "city").collect()]
+    changed = sum(c is not None and c != c.strip().upper() for _, c in ids_cities)
+    ones = sum(i == 1 for i, _ in ids_cities)
+    res, log = recipe.run_recipe(people, steps), str(tmp_path / "log")
+    res.write(str(tmp_path / "a"), log_path=log)
+    res.write(str(tmp_path / "b"), log_path=log)
+    got = [r["cells_changed"] for r in res.audit().orderBy("step").collect()]
+    assert got == [changed, people.where("age IS NULL").count(), ones, None]
+    assert spark.read.parquet(log).groupBy("step").count().where("count = 2").count() == len(steps)
+    assert spark.read.parquet(str(tmp_path / "a")).columns == [c for c in people.columns if c != "state"]
+
+
+def test_csv_reads_what_pandas_reads(spark, tmp_path):
+    import pandas as pd
+
+    p = tmp_path / "odd.csv"
+    p.write_text('k,x,t\n1,inf,"a\nb"\n2,-Infinity\n3,2.5,"say ""hi"""\n4,,  pad \n5,NA,x\n')
+    df = csv.read_csv(spark, str(p))
+    assert dict(df.dtypes) == {"k": "bigint", "x": "double", "t": "string"}
+    want = pd.read_csv(p)
+    got = {r["k"]: (r["x"], r["t"]) for r in df.collect()}
+    for k, x, t in want.itertuples(index=False):
+        assert got[k] == (None if pd.isna(x) else x, None if pd.isna(t) else t)
+    long = tmp_path / "long.csv"
+    long.write_text("k,v\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="more cells"):
+        csv.read_csv(spark, str(long), infer_types=False).select("k").collect()
+
+
+def test_written_csv_comes_back_cell_by_cell(spark):
+    rows_ = [(1, 'a "quoted", cell'), (2, "two\nlines"), (3, " padded "), (4, None), (5, "back\\slash"), (6, "r\r\nn")]
+    path = scratch_path(spark, "csv-cells")
+    csv.write_csv(spark.createDataFrame(rows_, "k long, t string"), path)
+    assert sorted(tuple(r) for r in csv.read_csv(spark, path).collect()) == rows_

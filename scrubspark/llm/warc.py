@@ -28,6 +28,8 @@ from scrubspark.session import materialize, scratch_path
 RECORDS_PER_FILE = 4096
 ENTRIES_PER_RANGE = 100_000
 EPOCH = "2024-01-01 00:00:00"   # of captures without a time of their own; the page id counts seconds
+DAY = 86_400
+LAST = 2_900_000 * DAY          # larger ids (and those under minus a quarter of it) share the last day
 ENTRY = ("page_id long, url string, url_key string, captured string, payload_bytes long, payload_digest string, "
          "record_type string, refers_to long, archive string, record_offset long, record_bytes long")
 
@@ -72,8 +74,10 @@ def records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_c
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     p = p.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
     payload = F.when(revisit, F.lit("")).otherwise(F.col("html"))
-    date = F.date_format(F.timestamp_add("SECOND", F.coalesce("page_id", F.lit(0)).cast("int"),
-                                         F.lit(EPOCH).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    seconds = F.greatest(F.least(F.coalesce("page_id", F.lit(0)).cast("long"), F.lit(LAST)), F.lit(-LAST // 4))
+    day, second = F.floor(seconds / DAY).cast("int"), F.pmod(seconds, F.lit(DAY)).cast("int")
+    date = F.concat(F.date_add(F.lit(EPOCH).cast("date"), day).cast("string"), F.lit("T"), F.date_format(
+        F.timestamp_add("SECOND", second, F.lit(EPOCH).cast("timestamp_ntz")), "HH:mm:ss'Z'"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"))
 

@@ -36,7 +36,8 @@ SIMILARITY = 0.8          # an item of m words may differ by (1 - SIMILARITY) m
 TARGET_RECALL = 0.99
 PLACES = 2                # sampled places per table
 TABLES_PER_WALK = 12
-MAX_TABLES = 96
+MOST_TABLES = 3_000       # a bound that needs more raises: nothing is searched at less than the target
+TRIALS = 512              # trial edits per length of items
 CHUNK = 1 << 20           # words worked on at once
 WINDOWS = 1 << 16         # windows embedded at once
 
@@ -86,11 +87,11 @@ class Tables:
             at = np.minimum(at + ((s.astype(np.uint32) * a[j] + b[j]) >> np.uint32(31)).astype(np.int64), end)
         return out
 
-    def keys(self, x: np.ndarray):
+    def keys(self, x: np.ndarray, first_walk: int = 0):
         """The key of each window in one table after the other."""
-        for w, (_, _, places) in enumerate(self.walks):
+        for w in range(first_walk, len(self.walks)):
             met = self.embed(x, w).astype(np.uint64)
-            for p in places:
+            for p in self.walks[w][2]:
                 key = np.zeros(len(x), np.uint64)
                 for place, c in zip(p, self.mix):
                     key = (key ^ met[place]) * c
@@ -99,30 +100,36 @@ class Tables:
 
 
 def tables_needed(x: np.ndarray, k: int, n_symbols: int, target: float, seed: int) -> int:
-    """Tables that reach the target recall at the edit bound, by trial edits of the items themselves."""
+    """Tables that reach the target recall at the edit bound, by trial edits of the items themselves.
+
+    The trials go through the very tables that will be used, so that what tables of one walk have in
+    common counts; half of the misses that the target allows are kept as a margin.
+    """
     m = x.shape[1]
     r = np.random.default_rng([seed, m, 1])
-    probe, trials = Tables(m, TABLES_PER_WALK * 4, seed), max(1, 128 // len(x))
+    some = x[np.unique(np.linspace(0, len(x) - 1, TRIALS).astype(int))]
     base, edited = [], []
-    for row in x[:64]:
-        for _ in range(trials):
-            y = list(row)
-            for _ in range(k):
-                kind, at = r.integers(3), int(r.integers(len(y))) if y else 0
-                if kind == 0 and len(y) > 1:
-                    del y[at]
-                elif kind == 1:
-                    y.insert(at, int(r.integers(n_symbols)))
-                else:
-                    y[at] = int(r.integers(n_symbols))
-            base.append(row)
-            edited.append((y + [0] * m)[:m])
+    for row in np.resize(some, (TRIALS, m)):
+        y = list(row)
+        for _ in range(k):
+            kind, at = r.integers(3), int(r.integers(len(y))) if y else 0
+            if kind == 0 and len(y) > 1:
+                del y[at]
+            elif kind == 1:
+                y.insert(at, int(r.integers(n_symbols)))
+            else:
+                y[at] = int(r.integers(n_symbols))
+        base.append(row)
+        edited.append((y + [0] * m)[:m])
     b, e = np.array(base, np.int32), np.array(edited, np.int32)
-    met = np.mean([u == v for u, v in zip(probe.keys(b), probe.keys(e))], axis=0)  # share of tables, per trial
-    n = TABLES_PER_WALK
-    while n < MAX_TABLES and np.mean((1 - met) ** n) > 1 - target:
-        n += TABLES_PER_WALK
-    return n
+    missed = np.ones(TRIALS, bool)
+    for n in range(TABLES_PER_WALK, MOST_TABLES + 1, TABLES_PER_WALK):
+        t, last = Tables(m, n, seed), n // TABLES_PER_WALK - 1   # its earlier walks are those of fewer tables
+        for u, v in zip(t.keys(b, last), t.keys(e, last)):
+            missed &= u != v
+        if np.count_nonzero(missed) <= (1 - target) / 2 * TRIALS:
+            return n
+    raise ValueError(f"{MOST_TABLES} tables don't find {k} edits in {m} words with a recall of {target}")
 
 
 def infix_distance(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

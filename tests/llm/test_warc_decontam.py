@@ -52,6 +52,13 @@ def test_min_bytes(spark):
     assert {r["page_id"]: r["record_type"] for r in rows} == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
+def test_large_page_ids_keep_their_order(spark):
+    ids = [2**62, 2**40, 2**31 + 5, 86_399, 86_400, 0, -1, -2**62]
+    rows = warc.capture_histories(frame(spark, [(i, "u", f"p{i}") for i in ids])).orderBy("history_pos").collect()
+    assert [r["page_id"] for r in rows] == sorted(ids)
+    assert {r["page_id"]: r["captured"] for r in rows}[86_400] == "2024-01-02T00:00:00Z"
+
+
 def test_no_pages(spark):
     assert warc.capture_histories(frame(spark, [])).count() == 0
 
@@ -140,6 +147,31 @@ def test_recall_of_planted_passages(edits, least):
     assert not any(index.search([" ".join(["alpha", "beta", "gamma"] * 50), "", None]))
 
 
+@pytest.mark.parametrize("m, n_items", [(22, 1), (33, 2), (43, 3), (58, 40), (400, 20)])
+def test_tables_reach_the_target_recall(m, n_items):
+    """Fresh edits at the bound, in the tables chosen: also for one item alone, and for long items."""
+    r = np.random.default_rng(m)
+    x, k = r.integers(1, 400, (n_items, m)).astype(np.int32), decontam.edit_bound(m)
+    t = decontam.Tables(m, decontam.tables_needed(x, k, 400, 0.99, 11), 11)
+    base, edited = [], []
+    for row in np.resize(x, (400, m)):
+        y = row.tolist()
+        for _ in range(k):
+            kind, at = r.integers(3), int(r.integers(len(y)))
+            y[at:at + (kind != 1)] = [] if kind == 0 else [int(r.integers(400))]
+        base.append(row)
+        edited.append((y + [0] * m)[:m])
+    b, e = np.array(base, np.int32), np.array(edited, np.int32)
+    assert np.any([u == v for u, v in zip(t.keys(b), t.keys(e))], axis=0).mean() >= 0.975
+
+
+def test_a_recall_out_of_reach_raises(monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_TABLES", 24)
+    x = np.random.default_rng(1).integers(1, 400, (3, 200)).astype(np.int32)
+    with pytest.raises(ValueError):
+        decontam.tables_needed(x, 100, 400, 0.99, 11)
+
+
 def test_leaks_of_odd_rows(spark, odd, odd_rows, nothing):
     items = spark.createDataFrame([(1, odd_rows[3][1]), (None, odd_rows[7][1]), (2, None), (3, "x"), (4, ""), (1, odd_rows[15][1])],
                                   "item_id long, text string")

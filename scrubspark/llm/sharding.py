@@ -18,6 +18,7 @@ from scrubspark.session import materialize
 
 HASH_BITS = 60   # 15 hexadecimal digits of an MD5
 CELL_BITS = 12
+SLICE_BITS = 12   # of the text key, by which documents of one hash are summed
 
 
 def hash_column(doc_id: Column) -> Column:
@@ -87,12 +88,19 @@ def assign(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", text_col: st
         (F.col("bucket_bytes") <= max_bytes).alias("fits"), ID_KEY, TEXT_KEY)
     if HASH_BITS not in depths:
         return whole
-    # one hash for all rows of such a bucket: parts by half-limit steps, a row over half the limit alone
-    over = placed.where((F.col("bucket_bytes") > max_bytes) & (F.col("bucket_docs") > 1))
+    # one hash for all rows of such a bucket: parts by half-limit steps, a row over half the limit alone; the
+    # running sums are those of slices of the text key, then those inside a slice, so that no task sorts a bucket
     half = max(max_bytes // 2, 1)
-    w = Window.partitionBy("bucket").orderBy("big", TEXT_KEY, "n_bytes").rowsBetween(Window.unboundedPreceding, 0)
-    stepped = over.withColumn("big", F.col("n_bytes") > half).withColumn("run", F.sum(
-        F.when(F.col("big"), F.lit(half)).otherwise(F.col("n_bytes"))).over(w)).withColumn("no", F.count("*").over(w))
+    over = placed.where((F.col("bucket_bytes") > max_bytes) & (F.col("bucket_docs") > 1)).withColumn(
+        "big", F.col("n_bytes") > half).withColumn("slice", F.shiftright(TEXT_KEY, 64 - SLICE_BITS)).withColumn(
+        "step", F.when(F.col("big"), F.lit(half)).otherwise(F.col("n_bytes")))
+    slices = over.groupBy("bucket", "big", "slice").agg(F.sum("step").alias("bytes"), F.count("*").alias("docs"))
+    earlier = Window.partitionBy("bucket").orderBy("big", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = materialize(slices.select("bucket", "big", "slice", *[
+        F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "docs")]), "slices")
+    w = Window.partitionBy("bucket", "big", "slice").orderBy(TEXT_KEY, "n_bytes").rowsBetween(Window.unboundedPreceding, 0)
+    stepped = over.join(slices, ["bucket", "big", "slice"]).withColumn(
+        "run", F.col("bytes_before") + F.sum("step").over(w)).withColumn("no", F.col("docs_before") + F.count("*").over(w))
     part = F.when(F.col("big"), F.concat(F.lit("-x"), F.col("no"))).otherwise(
         F.concat(F.lit("-"), F.floor((F.greatest("run", F.lit(1)) - 1) / F.lit(half)).cast("string")))
     cut = stepped.select("doc_id", F.concat(bits, part).alias("shard"), "depth", "n_bytes", ID_KEY, TEXT_KEY)

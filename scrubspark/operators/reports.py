@@ -162,9 +162,32 @@ def _distinct_and_tops(df: DataFrame, cols: Sequence[str], kinds: dict[str, str]
     return distinct, tops
 
 
+#: Values that the approximate top categories keep count of, in each task and column.
+TOP_TRACKED = 4096
+
+
+def _approximate_top(value: Column, k: int) -> Column:
+    """The ``k`` most frequent values with their counts, ties by value, from a sketch of bounded size."""
+    # the sketch gives all it holds, null perhaps among them: which of tied values it prefers is open
+    size = F.lit(max(TOP_TRACKED, k + 1))
+    held = F.filter(F.call_function("approx_top_k", value, size, size), lambda x: x["item"].isNotNull())
+    return F.slice(F.array_sort(F.transform(held, lambda x: F.struct(
+        (-x["count"]).alias("m"), x["item"].alias("value")))), 1, k)
+
+
+def _by_count(top: Column) -> Column:
+    """Such values as (value, n); null if there are none."""
+    return F.when(F.size(top) > 0, F.transform(top, lambda x: F.struct(
+        x["value"].alias("value"), (-x["m"]).alias("n"))))
+
+
 def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool = True) -> DataFrame:
     """One row per column: dtype, null_count, null_pct, unique_count; min/max/mean/std for
-    numbers (4 dp); min/max as text for datetimes; top categories for the rest."""
+    numbers (4 dp); min/max as text for datetimes; top categories for the rest.
+
+    ``exact_distinct=False`` leaves the value-frequency pass out: one scan without a shuffle of
+    values, distinct counts and top categories from sketches (the latter exact up to about
+    ``TOP_TRACKED`` distinct values of a column)."""
     cols = df.columns
     kinds = {c: _kind(field_type(df, c)) for c in cols}
 
@@ -172,6 +195,8 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
         out = [F.sum(missing(F.col(qcol(c)), field_type(df, c)).cast("long")).alias(f"nulls{i}")]
         if not exact_distinct:
             out.append(F.approx_count_distinct(F.col(qcol(c))).alias(f"uniq{i}"))
+            if kinds[c] == "text" and max_categories > 0:
+                out.append(_approximate_top(_value_text(df, c), max_categories).alias(f"top{i}"))
         if kinds[c] == "numeric":
             v = _num(df, c)
             out += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"), F.avg(v).alias(f"mean{i}"),
@@ -194,11 +219,14 @@ def column_summary(df: DataFrame, max_categories: int = 5, exact_distinct: bool
             *[(F.round(F.col(f"{s}{i}"), 4) if kinds[c] == "numeric" else none_d).alias(s)
               for s in ("min", "max", "mean", "std")],
             *[(F.col(f"d{s}{i}") if kinds[c] == "datetime" else none_s).alias(f"dt_{s}") for s in ("min", "max")],
+            *([] if exact_distinct else [(_by_count(F.col(f"top{i}")) if kinds[c] == "text" and max_categories > 0
+                                          else F.lit(None)).cast("array<struct<value:string,n:bigint>>").alias("top")]),
         )
 
-    summary = _wide_rows(df, cols, aggs_of, row_of)
-    distinct, tops = _distinct_and_tops(df, cols, kinds, max_categories)
-    out = (summary.join(distinct, "column", "left") if exact_distinct else summary).join(tops, "column", "left")
+    out = _wide_rows(df, cols, aggs_of, row_of)
+    if exact_distinct:
+        distinct, tops = _distinct_and_tops(df, cols, kinds, max_categories)
+        out = out.join(distinct, "column", "left").join(tops, "column", "left")
     uniq = (F.coalesce("unique_count", F.lit(0).cast("long")) if exact_distinct else F.col("approx_unique"))
     return out.select("ordinal", "column", "dtype", "null_count", "null_pct", uniq.alias("unique_count"),
                       "min", "max", "mean", "std", "dt_min", "dt_max", F.col("top").alias("top_categories")

@@ -111,6 +111,36 @@ def test_column_summary_approximate_distinct(people):
     assert summ["city"]["unique_count"] == 6 and summ["status"]["top_categories"][0]["value"] == "active"
 
 
+def test_approximate_summary_shuffles_no_values(spark, people):
+    approx, exact = (reports.column_summary(people, 3, exact_distinct=e) for e in (False, True))
+    assert "hashpartitioning" not in approx._jdf.queryExecution().executedPlan().toString()
+    assert dict(approx.dtypes) == dict(exact.dtypes)
+    assert [r["top_categories"] for r in approx.collect()] == [r["top_categories"] for r in exact.collect()]
+
+
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_rank_correlation_in_passes(spark, monkeypatch, method):
+    monkeypatch.setattr(correlation, "RANKED_PAIRS_PER_PASS", 2)
+    pdf = pd.DataFrame(np.random.default_rng(6).integers(0, 9, (120, 4)).astype(float), columns=list("abcd"))
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in correlation.compute_correlation(
+        spark.createDataFrame(pdf), method, 0.0).collect()}
+    want = pdf.rank().corr() if method == "spearman" else None
+    assert len(got) == 6
+    for (a, b), r in got.items():
+        w = want.loc[a, b] if want is not None else tau_b(pdf[a].tolist(), pdf[b].tolist())
+        assert r == pytest.approx(round(w, 3), abs=1e-9)
+
+
+def tau_b(x, y):
+    s = tx = ty = 0
+    n = len(x)
+    for i in range(n):
+        for j in range(i):
+            a, b = (x[i] > x[j]) - (x[i] < x[j]), (y[i] > y[j]) - (y[i] < y[j])
+            s, tx, ty = s + a * b, tx + (a != 0), ty + (b != 0)
+    return s / (tx * ty) ** 0.5
+
+
 def test_approximate_quantiles_opt_in_is_close(spark):
     vals = np.random.default_rng(9).normal(size=5000)
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")

@@ -26,6 +26,7 @@ from scrubspark.session import materialize
 
 METHODS = ("pearson", "spearman", "kendall")
 PAIRS_PER_PASS = 200
+RANKED_PAIRS_PER_PASS = 45   # all pairs of ten columns
 
 
 def _pairs(df: DataFrame) -> list[tuple[str, str]]:
@@ -39,11 +40,11 @@ def _v(df: DataFrame, c: str):
     return nan_to_null(F.col(qcol(c)), field_type(df, c)).cast("double")
 
 
-def _cells(df: DataFrame, pairs) -> DataFrame:
-    """(k, x, y, cnt): complete rows of every pair k, grouped into cells (map-side combined)."""
+def _cells(df: DataFrame, pairs, first: int = 0) -> DataFrame:
+    """(k, x, y, cnt): complete rows of every pair k (counted from ``first``), grouped into cells (map-side combined)."""
     items = [F.when(_v(df, a).isNotNull() & _v(df, b).isNotNull(),
                     F.struct(F.lit(k).alias("k"), _v(df, a).alias("x"), _v(df, b).alias("y")))
-             for k, (a, b) in enumerate(pairs)]
+             for k, (a, b) in enumerate(pairs, first)]
     long = df.select(F.explode(F.array(*items)).alias("e")).where(F.col("e").isNotNull()).select("e.*")
     return long.groupBy("k", "x", "y").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -74,8 +75,11 @@ def compute_correlation(df: DataFrame, method: str = "pearson", threshold: float
         for p in parts[1:]:
             values = values.unionByName(p)
         return _report(values, pairs, threshold)
-    cells = materialize(_cells(df, pairs), "corr-cells")   # read several times below
-    values = _spearman(cells) if method == "spearman" else _kendall(cells)
+    values = None
+    for start in range(0, len(pairs), RANKED_PAIRS_PER_PASS):   # a pass writes at most so many cells a row
+        cells = materialize(_cells(df, pairs[start:start + RANKED_PAIRS_PER_PASS], start), "corr-cells")
+        part = _spearman(cells) if method == "spearman" else _kendall(cells)
+        values = part if values is None else values.unionByName(part)
     return _report(values, pairs, threshold)
 
 

@@ -2,9 +2,11 @@
 
 Each text gives a vector of transformed statistics (mean word length, symbols per word, share of
 repeated lines, share of repeated words). Per language and source, the minimum covariance
-determinant is approached by C-steps: from medians and median deviations, the three quarters of the
-documents that lie nearest are kept, their mean and covariance measured, distances taken anew, and
-so on. A document is rejected if its Mahalanobis distance exceeds a chi-square quantile.
+determinant of half of the distinct texts is approached by C-steps from three starts: the nearest
+half is kept, its mean and covariance measured, distances taken anew, and so on until the
+determinant stays. The start with the least determinant is reweighted: mean and covariance of all
+texts within a chi-square quantile of it. A document is rejected if its Mahalanobis distance
+exceeds another. Up to half of a group's distinct texts may be junk.
 """
 
 from __future__ import annotations
@@ -20,11 +22,17 @@ from scrubspark.session import materialize
 
 SYMBOLS = "#*$%&|<>"
 X = ("x1", "x2", "x3", "x4")
+MODEL = (*[f"m_{a}" for a in X], *[f"l_{a}{b}" for i, a in enumerate(X) for b in X[: i + 1]])
 #: Least standard deviation of each statistic: below it, differences are not held against a document.
 FLOORS = {"x1": 0.08, "x2": 0.3, "x3": 0.15, "x4": 0.15}
-SHARE = 0.75         # of a group's documents, by distance, that the estimate rests on
-C_STEPS = 3
-MIN_GROUP = 100      # documents; smaller groups are pooled by language, then all together
+SHARE = 0.75         # of a group's documents, by distance, that one of the starts rests on
+C_STEPS = 3          # of that start
+HALF = 0.5           # of a group's distinct texts, by distance, that the estimate rests on
+MAX_STEPS = 50       # C-steps at most; they end once no determinant changes by over STILL
+STILL = 1e-3
+GRID = 50            # slices of a group's values among which its shortest half is looked for
+WEIGHTED, WEIGHTED_CUT = 0.975, 11.143  # the chi-square share, and its value, within which texts are weighted in
+MIN_GROUP = 100      # distinct texts; smaller groups are pooled by language, then all together
 CUTOFF = 23.51       # the chi-square value with four degrees of freedom that one in 10,000 exceeds
 
 
@@ -79,7 +87,7 @@ def _consistency(share: float) -> float:
     return share / (1 - exp(-q / 2) * (1 + q / 2 + q * q / 8))
 
 
-def _factor(moments: DataFrame, scale: float) -> DataFrame:
+def _factor(moments: DataFrame, scale: float, by: tuple[str, ...] = ("key",)) -> DataFrame:
     """Center ``m_i`` and Cholesky factor ``l_ij`` of each group's covariance plus the floors."""
     f = moments
     for i, a in enumerate(X):
@@ -90,7 +98,7 @@ def _factor(moments: DataFrame, scale: float) -> DataFrame:
             rest = reduce(lambda s, k: s - F.col(f"l_{a}{k}") * F.col(f"l_{b}{k}"), X[:j], cov)
             f = f.withColumn(f"l_{a}{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b
                              else rest / F.col(f"l_{b}{b}"))
-    return f.select("key", *[f"m_{a}" for a in X], *[f"l_{a}{b}" for i, a in enumerate(X) for b in X[: i + 1]])
+    return f.select(*by, *MODEL)
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -101,29 +109,86 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", reduce(lambda s, k: s + F.col(f"y_{k}") ** 2, X, F.lit(0.0)))
 
 
-def fit(points: DataFrame) -> DataFrame:
-    """Center and factor per ``key`` of ``points (key, x1..x4)``."""
+def _diagonal(scales: DataFrame) -> DataFrame:
+    """Center and factor per ``key`` of ``scales (key, m_i, s_i)``, from standard deviations alone."""
+    return scales.select("key", *[f"m_{a}" for a in X], *[
+        (F.greatest(F.col(f"s_{a}"), F.lit(FLOORS[a])) if a == b else F.lit(0.0)).alias(f"l_{a}{b}")
+        for i, a in enumerate(X) for b in X[: i + 1]])
+
+
+def _medians(points: DataFrame) -> DataFrame:
+    """A start per ``key``: medians, and median deviations from them."""
     # a table, so that the join beside it shuffles by its own exchanges, which Spark can split, or not at all
     middle = materialize(points.groupBy("key").agg(
         *[F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in X]), "mcd-middle")
     off = points.join(middle, "key").groupBy("key").agg(
         *[F.first(f"m_{a}").alias(f"m_{a}") for a in X],
-        *[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000).alias(f"s_{a}") for a in X])
-    start = off.select("key", *[f"m_{a}" for a in X], *[
-        (F.greatest(1.4826 * F.col(f"s_{a}"), F.lit(FLOORS[a])) if a == b else F.lit(0.0)).alias(f"l_{a}{b}")
-        for i, a in enumerate(X) for b in X[: i + 1]])
-    model = materialize(start, "mcd")
+        *[(1.4826 * F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000)).alias(f"s_{a}") for a in X])
+    return _diagonal(off)
+
+
+def _shortest_halves(points: DataFrame) -> DataFrame:
+    """A start per ``key``: of each statistic the middle of the shortest interval that holds half of the texts."""
+    at = [F.lit(i / GRID) for i in range(GRID + 1)]
+    q = points.groupBy("key").agg(*[F.percentile_approx(a, F.array(*at), 1000).alias(a) for a in X])
+
+    def shortest(a: str) -> Column:
+        return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(GRID // 2)), lambda i: F.struct(
+            (F.get(F.col(a), i + GRID // 2) - F.get(F.col(a), i)).alias("wide"), F.get(F.col(a), i).alias("low"))))
+
+    q = q.select("key", *[shortest(a).alias(a) for a in X])
+    return _diagonal(q.select("key", *[(F.col(f"{a}.low") + F.col(f"{a}.wide") / 2).alias(f"m_{a}") for a in X],
+                              *[(F.col(f"{a}.wide") / 1.349).alias(f"s_{a}") for a in X]))
+
+
+def _moments(near: DataFrame, *by: str) -> DataFrame:
+    return near.groupBy(*by).agg(
+        *[F.avg(a).alias(f"m_{a}") for a in X],
+        *[F.avg(F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(X) for b in X[: i + 1]])
+
+
+def fit(points: DataFrame) -> DataFrame:
+    """A start per ``key`` of ``points (key, x1..x4)``: C_STEPS C-steps by SHARE from the medians."""
+    model = materialize(_medians(points), "mcd")
     for _ in range(C_STEPS):
         near = _distance(points.join(model, "key")).select("key", *X, "d2")
         cut = materialize(near.groupBy("key").agg(F.percentile_approx("d2", SHARE, 1000).alias("cut")), "mcd-cut")
         kept = near.join(cut, "key").where("d2 <= cut")
-        moments = kept.groupBy("key").agg(
-            *[F.avg(a).alias(f"m_{a}") for a in X],
-            *[F.avg(F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(X) for b in X[: i + 1]])
-        model = materialize(_factor(moments, _consistency(SHARE)), "mcd")
+        model = materialize(_factor(_moments(kept, "key"), _consistency(SHARE)), "mcd")
     return model
 
 
+def _volume(model: DataFrame) -> Column:
+    """The logarithm of the covariance's determinant."""
+    return 2 * reduce(lambda s, k: s + F.log(f"l_{k}{k}"), X, F.lit(0.0))
+
+
+def robust_fit(points: DataFrame) -> DataFrame:
+    """Center and factor per ``key`` of ``points (key, x1..x4)``: the reweighted minimum covariance determinant."""
+    by = ("key", "start")
+    starts = [_medians(points), _shortest_halves(points), fit(points)]
+    model = materialize(reduce(DataFrame.unionByName, [
+        m.withColumn("start", F.lit(i)).withColumn("volume", F.lit(float("inf"))) for i, m in enumerate(starts)]), "mcd-starts")
+    done = None
+    for step in range(MAX_STEPS):
+        near = _distance(points.join(model.select(*by, *MODEL), "key")).select(*by, *X, "d2")
+        cut = materialize(near.groupBy(*by).agg(F.percentile_approx("d2", HALF, 1000).alias("cut")), "mcd-cut")
+        kept = near.join(cut, [*by]).where("d2 <= cut")
+        after = _factor(_moments(kept, *by), _consistency(HALF), by)
+        after = after.withColumn("volume", _volume(after)).join(
+            model.select(*by, F.col("volume").alias("last")), [*by])
+        after = materialize(after.withColumn("still", F.abs(F.col("volume") - F.col("last")) <= STILL), "mcd-step")
+        still = after.where("still") if step < MAX_STEPS - 1 else after
+        done = still if done is None else done.unionByName(still)
+        model = after.where("not still").select(*by, *MODEL, "volume")
+        if model.isEmpty():
+            break
+    best = materialize(done.groupBy("key").agg(F.min_by(F.struct(*MODEL), F.struct("volume", "start")).alias("m"))
+                       .select("key", "m.*"), "mcd-best")
+    near = _distance(points.join(best, "key")).where(F.col("d2") <= WEIGHTED_CUT).select("key", *X)
+    return materialize(_factor(_moments(near, "key"), _consistency(WEIGHTED)), "mcd")
+
+
 def quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, cutoff: float = CUTOFF,
             id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
             source_col: str = "source") -> DataFrame:
@@ -132,8 +197,8 @@ def quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50,
 
     ``base_failed``: too few words, or too many of them repeated. Groups are language and source
     (null: a value of its own); groups under MIN_GROUP documents are pooled by language, and
-    languages whose pool is smaller all together. The estimates rest on documents that don't
-    fail the base rules; ``kept`` is false for those that fail them and for outliers.
+    languages whose pool is smaller all together. The estimates rest on the distinct texts of documents
+    that don't fail the base rules; ``kept`` is false for those that fail them and for outliers.
     A null text has no words.
     """
     d = pick(docs, id_col, text_col, lang_col, source_col).toDF("doc_id", "text", "lang", "source")
@@ -144,13 +209,15 @@ def quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50,
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     s = materialize(vector(s).withColumn("base_failed", failed), "quality")
     sound = s.where("not base_failed")
-    n = sound.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    # copies of a text count once, however many there are
+    texts = materialize(sound.groupBy("lang", "source", TEXT_KEY).agg(*[F.first(a).alias(a) for a in X]), "quality-texts")
+    n = texts.groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = n.where(F.col("n") < MIN_GROUP).groupBy("lang").agg(F.sum("n").alias("pool"))
     groups = materialize(n.join(small, "lang", "left").select(
         "lang", "source", F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\x1f", "lang", "source"))
         .when(F.col("pool") >= MIN_GROUP, F.col("lang")).otherwise("").alias("key")), "quality-groups")
-    points = sound.join(groups, ["lang", "source"]).select("key", *X)
-    model = fit(points)
+    points = materialize(texts.join(groups, ["lang", "source"]).select("key", *X), "quality-points")
+    model = robust_fit(points)
     judged = _distance(s.join(groups, ["lang", "source"], "left").join(model, "key", "left"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -4,7 +4,7 @@ Each text gives a vector of transformed statistics (mean word length, symbols pe
 repeated lines, share of repeated words). Per language and source, the minimum covariance
 determinant of half of the distinct texts is approached by C-steps from three starts: the nearest
 half is kept, its mean and covariance measured, distances taken anew, and so on until the
-determinant stays. The start with the least determinant is reweighted: mean and covariance of all
+determinant falls no more. The start with the least determinant is reweighted: mean and covariance of all
 texts within a chi-square quantile of it. A document is rejected if its Mahalanobis distance
 exceeds another. Up to half of a group's distinct texts may be junk.
 """
@@ -23,12 +23,14 @@ from scrubspark.session import materialize
 SYMBOLS = "#*$%&|<>"
 X = ("x1", "x2", "x3", "x4")
 MODEL = (*[f"m_{a}" for a in X], *[f"l_{a}{b}" for i, a in enumerate(X) for b in X[: i + 1]])
-#: Least standard deviation of each statistic: below it, differences are not held against a document.
-FLOORS = {"x1": 0.08, "x2": 0.3, "x3": 0.15, "x4": 0.15}
+#: Least standard deviation of each statistic: most groups have no symbols or repeats at all in most texts.
+FLOORS = {"x1": 0.04, "x2": 0.1, "x3": 0.03, "x4": 0.03}
+#: Unrepeated lines and words added to a text's own, so that a single repeat in a short text is no large share.
+FREE_LINES, FREE_WORDS = 10, 100
 SHARE = 0.75         # of a group's documents, by distance, that one of the starts rests on
 C_STEPS = 3          # of that start
 HALF = 0.5           # of a group's distinct texts, by distance, that the estimate rests on
-MAX_STEPS = 50       # C-steps at most; they end once no determinant changes by over STILL
+MAX_STEPS = 50       # C-steps at most; they end once the logarithm of no determinant falls by over STILL
 STILL = 1e-3
 GRID = 50            # slices of a group's values among which its shortest half is looked for
 WEIGHTED, WEIGHTED_CUT = 0.975, 11.143  # the chi-square share, and its value, within which texts are weighted in
@@ -74,8 +76,8 @@ def vector(df: DataFrame) -> DataFrame:
     n = F.greatest(F.col("n_words"), F.lit(1))
     return df.select("*", F.log1p(F.col("word_chars") / n).alias("x1"),
                      F.log1p(10 * F.col("n_symbols") / n).alias("x2"),
-                     (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("x3"),
-                     (F.col("n_repeat_words") / n).alias("x4"))
+                     (F.col("n_dup_lines") / (F.col("n_lines") + FREE_LINES)).alias("x3"),
+                     (F.col("n_repeat_words") / (F.col("n_words") + FREE_WORDS)).alias("x4"))
 
 
 def _consistency(share: float) -> float:
@@ -87,14 +89,14 @@ def _consistency(share: float) -> float:
     return share / (1 - exp(-q / 2) * (1 + q / 2 + q * q / 8))
 
 
-def _factor(moments: DataFrame, scale: float, by: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Center ``m_i`` and Cholesky factor ``l_ij`` of each group's covariance plus the floors."""
+def _factor(moments: DataFrame, scale: float, by: tuple[str, ...] = ("key",), plus: bool = False) -> DataFrame:
+    """Center ``m_i`` and Cholesky factor ``l_ij`` of each group's covariance, its variances at least (``plus``: plus) the floors'."""
     f = moments
     for i, a in enumerate(X):
         for j, b in enumerate(X[: i + 1]):
             cov = (F.col(f"{a}{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) * scale
             if a == b:
-                cov = F.greatest(cov, F.lit(0.0)) + FLOORS[a] ** 2
+                cov = F.greatest(cov, F.lit(0.0)) + FLOORS[a] ** 2 if plus else F.greatest(cov, F.lit(FLOORS[a] ** 2))
             rest = reduce(lambda s, k: s - F.col(f"l_{a}{k}") * F.col(f"l_{b}{k}"), X[:j], cov)
             f = f.withColumn(f"l_{a}{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b
                              else rest / F.col(f"l_{b}{b}"))
@@ -154,7 +156,7 @@ def fit(points: DataFrame) -> DataFrame:
         near = _distance(points.join(model, "key")).select("key", *X, "d2")
         cut = materialize(near.groupBy("key").agg(F.percentile_approx("d2", SHARE, 1000).alias("cut")), "mcd-cut")
         kept = near.join(cut, "key").where("d2 <= cut")
-        model = materialize(_factor(_moments(kept, "key"), _consistency(SHARE)), "mcd")
+        model = materialize(_factor(_moments(kept, "key"), _consistency(SHARE), plus=True), "mcd")
     return model
 
 
@@ -177,7 +179,7 @@ def robust_fit(points: DataFrame) -> DataFrame:
         after = _factor(_moments(kept, *by), _consistency(HALF), by)
         after = after.withColumn("volume", _volume(after)).join(
             model.select(*by, F.col("volume").alias("last")), [*by])
-        after = materialize(after.withColumn("still", F.abs(F.col("volume") - F.col("last")) <= STILL), "mcd-step")
+        after = materialize(after.withColumn("still", F.col("volume") >= F.col("last") - STILL), "mcd-step")
         still = after.where("still") if step < MAX_STEPS - 1 else after
         done = still if done is None else done.unionByName(still)
         model = after.where("not still").select(*by, *MODEL, "volume")

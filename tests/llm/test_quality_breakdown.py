@@ -33,3 +33,30 @@ def test_copies_of_junk_count_once(spark):
     got = kept(spark, texts)
     assert not any(got[i] for i in range(200, 480))
     assert sum(got[i] for i in range(200)) >= 196
+
+
+def repeated(seed, n_words, n_passage):
+    """A text of ``n_words`` words in which a passage of ``n_passage`` words stands twice."""
+    w = " ".join(prose(100 * seed + i) for i in range(n_words // 60 + 1)).split()[:n_words]
+    passage, rest = w[:n_passage], w[n_passage: n_words - n_passage]
+    half = len(rest) // 2
+    return " ".join(passage + rest[:half] + passage + rest[half:])
+
+
+def in_lines(seed, n_same):
+    """Lines of prose, and between them a line of two words, ``n_same`` times."""
+    w = prose(seed).split()
+    return "\n".join(f"same line\n{w[3 * i]} {w[3 * i + 1]} {w[3 * i + 2]}" for i in range(n_same)) + "\n" + " ".join(w[3 * n_same:])
+
+
+def test_one_statistic_alone_rejects(spark):
+    clean = [prose(i) for i in range(300)]
+    words = [repeated(5000, 200, 49), repeated(5001, 100, 24), repeated(5002, 60, 14), repeated(5003, 1000, 245)]
+    lines = [in_lines(6000, 12), in_lines(6001, 16)]
+    symbols = [prose(7000) + " # * $ % & |" * 4]
+    single = [prose(8000) + "\nsame line\n" + prose(8001) + "\nsame line", repeated(8002, 200, 8)]
+    got = kept(spark, clean + words + lines + symbols + single)
+    out = [got[i] for i in range(300, 300 + len(words + lines + symbols))]
+    assert not any(out), out
+    assert all(got[i] for i in range(307, 309))   # one repeated line or short passage is no outlier
+    assert sum(got[i] for i in range(300)) >= 294

@@ -23,6 +23,10 @@ PIECE = 1 << 18          # characters worked on at once
 MAX_LANGS = 1024         # 256 MB of log-probabilities; more raises
 TRAIN_DOCS_PER_LANG = 5_000
 UNKNOWN = "und"
+FLOOR_DOCS_PER_LANG = 2_000
+FLOOR_SHARE = 0.01       # of the documents that a language's least mean log-likelihood is read off
+MIN_FLOOR_DOCS = 100     # languages with fewer take the quantile of all
+MARGIN, SPREAD = 0.3, 12.0  # below that quantile a text of n n-grams may still lie by MARGIN + SPREAD / sqrt(n)
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
@@ -63,24 +67,38 @@ def _grams(parts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 @dataclass
 class Model:
-    """``langs`` (sorted) and float32 ``logp`` (languages x BUCKETS + 1, last column 0), ``prior``."""
+    """``langs`` (sorted) and float32 ``logp`` (languages x BUCKETS + 1, last column 0), ``prior``, and
+    ``floor``: the least mean log-likelihood of an n-gram by language (None: any will do)."""
 
     langs: list[str]
     logp: np.ndarray
     prior: np.ndarray
+    floor: np.ndarray | None = None
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Best language number and its posterior for each text."""
-        total = np.tile(self.prior, (len(texts), 1))
+    def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each text by language, with the prior, and its number of n-grams."""
+        total, n = np.tile(self.prior, (len(texts), 1)), np.zeros(len(texts))
         for ids, parts in _pieces(texts):
             grams, starts = _grams(parts)
+            for g in grams:
+                np.add.at(n, ids, np.add.reduceat(g < BUCKETS, starts, dtype=np.float64))
             for k in range(len(self.langs)):
                 row = self.logp[k]
                 for g in grams:
                     np.add.at(total, (ids, k), np.add.reduceat(row[g], starts, dtype=np.float64))
+        return total, n
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Best language number and its posterior for each text; the posterior is 0 where the text is unlikely in it."""
+        total, n = self.totals(texts)
         best = total.argmax(axis=1)
         odds = np.exp(total - total.max(axis=1, keepdims=True))
-        return best, 1.0 / odds.sum(axis=1)
+        p = 1.0 / odds.sum(axis=1)
+        if self.floor is not None:
+            n = np.maximum(n, 1)
+            mean = (total[np.arange(len(texts)), best] - self.prior[best]) / n
+            p[mean < self.floor[best] - MARGIN - SPREAD / np.sqrt(n)] = 0.0
+        return best, p
 
 
 def has_letter(text: str | None) -> bool:
@@ -125,6 +143,31 @@ def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG, alpha: fl
     return Model(langs, np.hstack([logp, np.zeros((len(langs), 1))]).astype(np.float32), np.log(n / n.sum()))
 
 
+def floors(labelled: DataFrame, model: Model) -> np.ndarray | None:
+    """Per language of ``model``, the FLOOR_SHARE quantile of the mean log-likelihood of its n-grams in that
+    language's own documents, from a bounded sample of ``labelled (id, text, lang)`` that ``model`` wasn't fitted on."""
+    d = pick(labelled, "id", "text", "lang").where(F.col("lang").isin(model.langs) & F.col("text").rlike(r"\p{L}"))
+    n_of = {r[0]: r[1] for r in d.groupBy("lang").count().collect()}  # at most MAX_LANGS rows
+    if not n_of:
+        return None
+    share = F.create_map(*[x for k, n in n_of.items() for x in (F.lit(k), F.lit(min(1.0, FLOOR_DOCS_PER_LANG / n)))])
+    u = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("floors")), F.lit(1 << 30)) / (1 << 30)
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for pdf in batches:
+            total, n = m.totals(list(pdf["text"]))
+            k = np.searchsorted(m.langs, pdf["lang"].to_numpy(str))
+            yield pd.DataFrame({"lang": pdf["lang"], "mean": (total[np.arange(len(pdf)), k] - m.prior[k]) / np.maximum(n, 1)})
+
+    found = d.where(u < F.element_at(share, F.col("lang"))).select("lang", "text").mapInPandas(
+        means, "lang string, mean double").rollup("lang").agg(
+        F.count("*").alias("n"), F.percentile_approx("mean", FLOOR_SHARE, 10_000).alias("q")).collect()
+    q = {r.lang: r.q for r in found if r.q is not None and (r.lang is None or r.n >= MIN_FLOOR_DOCS)}
+    return np.array([q.get(k, q[None]) for k in model.langs]) if None in q else None
+
+
 def predict_column(spark, model: Model | None, text: Column) -> Column:
     """``struct<lang_pred string, score double>`` of a text column: a learned language, or ``und`` with
     score 0 for a null text, a text without a letter, or if nothing was learned."""
@@ -162,9 +205,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def drop_unidentified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
                       lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents whose language can't be told: ``und``, or a posterior under ``min_score``."""
+    """``docs`` without the documents whose language can't be told: ``und``, a posterior under ``min_score``, or
+    n-grams that are unlikely even in the best language, by the labelled documents that are held out."""
     d = pick(docs, id_col, text_col, lang_col).toDF("id", "text", "lang")
     model = fit(d.where(~held_out_column(F.col("id"))))
+    if model is not None:
+        model.floor = floors(d.where(held_out_column(F.col("id"))), model)
     cols = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(cols))])
     p = predict_column(docs.sparkSession, model, F.col(f"_c{cols.index(text_col)}"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrubspark.llm import (chat, decontam, langid, mixing, pii, quality, sharding, simhash, tokens, warc)
-from scrubspark.llm.common import pick, table
+from scrubspark.llm import (chat, decontam, divergence, langid, mixing, pii, quality, runs, setsketch, sharding, simhash,
+                            tokens, warc)
+from scrubspark.llm.common import WORD, pick, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -189,3 +190,71 @@ def op9_extendible_shards(spark, sf):
 @register("op10_simhash_components")
 def op10_simhash_components(spark, sf):
     return simhash.simhash_components(table(spark, sf, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@register("op11_setsketch_components")
+def op11_setsketch_components(spark, sf):
+    return setsketch.near_duplicates(table(spark, sf, "documents"))
+
+
+@register("op12_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT r, lang, source, translate(unnest(terms), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+      FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term)
+      GROUP BY t.lang, t.source, t.term),
+g AS (SELECT x.lang, x.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0)::HUGEINT
+        AS total FROM (SELECT DISTINCT lang, source FROM d) x),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.total + v.v) AS p,
+        1 + (1000000000 * (kept.n + 1)) // (v.total + v.v) AS q
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+                     FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+                     GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+    row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT * FROM (
+    SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value,
+      row_number() OVER (PARTITION BY lang, source ORDER BY ((p - q) * (p - q)) // q DESC, term) AS rank
+    FROM p WHERE n > 0 AND p > q) WHERE rank <= 200)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked""")
+def op12_source_divergence(spark, sf):
+    return divergence.divergence_audit(table(spark, sf, "documents"))
+
+
+def looped(docs):
+    """The documents of the contract of op13: in every tenth, by the checksum of its id, the end of the text repeats.
+
+    With h that checksum and n > 0 words, word a + i is word a + i % p, where a = h / 10 % n and
+    p = 1 + (n - a) / (3 + h / 10 % 8).
+    """
+    d = pick(docs, "doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1)))
+    d = d.withColumn("w", words).withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    d = d.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    d = d.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return d.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark, sf):
+    found = runs.periodic_runs(looped(table(spark, sf, "documents")))
+    best, field = runs.strongest(F.col("runs")), ["start", "length", "period"]
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        *[x for f in field for x in (r[f].cast("string"), F.lit("\n" if f == "period" else ","))])), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col("best")[f].alias(f) for f in field],
+        F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

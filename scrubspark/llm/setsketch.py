@@ -9,10 +9,11 @@ near 1 two registers are equal about as often as the sets are similar.
 2. Classes that agree in a band of registers are candidates: each class of a bucket against the bucket's
    first. A joint likelihood of the registers (which is greater, or equal) given both set sizes sorts
    out pairs that can't reach the threshold; the others are verified on their full sets of shingles.
-3. Links make components; buckets that still hold several are gone through once more, all classes
-   of one component against those of the others, in blocks, by the likelihood. What it leaves is
-   verified like the first pairs. So a bucket of near copies costs a row each, and no link is lost
-   to that: only pairs already known to be in one component are left out.
+3. Links make components. Buckets that still hold several are gone through once more in blocks: first
+   their sketches, by the same likelihood, which leaves the classes that may have a partner in
+   another component of the bucket; then the full sets of those, all against all within a block. A task
+   returns a spanning forest of the links it finds, so that no step writes more rows than classes in
+   buckets, and no link is lost: only pairs already known to be in one component are left out.
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubspark.llm.common import ID_KEY, TEXT_KEY, pick, row_keys
-from scrubspark.llm.simhash import connected
+from scrubspark.llm.simhash import connected, stars
 from scrubspark.session import materialize
 
 BANDS, ROWS = 30, 5          # 0.85: a pair shares no band with odds of 2.3e-8
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
+FAR = 8.0                    # standard deviations above the unequal registers of the threshold: beyond that bound too
 LIKELIHOOD = 14.0            # a pair goes if its likelihood at the threshold is e^-14 of its best
 BLOCK_WORDS = 200_000        # words a task treats together
 BLOCK_CLASSES = 2_000        # classes of a bucket that one task compares with as many others
+BLOCK_SHINGLES = 4_000_000   # and their shingles in all
 WORDS_HELD = 1_000_000
 HOT_PAIRS, HOT_SALTS = 2_000, 64
 COPY_SALTS = 8
@@ -141,6 +144,10 @@ def may_reach(threshold: float, n_a: np.ndarray, n_b: np.ndarray, greater: np.nd
     The likelihood is concave in the similarity: its maximum is found by golden sections; pairs whose
     maximum lies below the threshold stay unless the likelihood there is out of all proportion.
     """
+    out = np.zeros(len(n_a), bool)
+    mean = REGISTERS * (1 - threshold)
+    some = np.flatnonzero(greater + less <= mean + FAR * np.sqrt(mean * threshold))
+    n_a, n_b, greater, less = n_a[some], n_b[some], greater[some], less[some]
     u = n_a / (n_a + n_b)
     v = 1 - u
     most = np.minimum(u / v, v / u)
@@ -153,7 +160,8 @@ def may_reach(threshold: float, n_a: np.ndarray, n_b: np.ndarray, greater: np.nd
     best = (lo + hi) / 2
     fits = most >= threshold - 1e-9       # sets of too different sizes can't
     near = _log_likelihood(np.minimum(threshold, most), *args) >= _log_likelihood(best, *args) - LIKELIHOOD
-    return fits & ((best >= threshold) | near)
+    out[some] = fits & ((best >= threshold) | near)
+    return out
 
 
 def _signatures(d: DataFrame, shingle: int) -> DataFrame:
@@ -224,10 +232,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return both.where(likely("sketch_a", "n_a", "sketch_b", "n_b")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough: 100 * shared >= percent * union."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    need = need.join(classes, "cid").select("cid", "rep.*").withColumn(
+def _sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``cid, s``: the sorted shingle hashes of each class, from the text of one of its documents."""
+    need = cids.distinct().join(classes, "cid").select("cid", "rep.*").withColumn(
         "copy", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))))
     # rows that repeat id and text are spread over salts before one of them is taken
     own = texts.withColumn("copy", F.pmod(F.monotonically_increasing_id(), F.lit(COPY_SALTS)).cast("int"))
@@ -240,46 +247,99 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: i
                     for s in block]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.list_(pa.int64()))], ["cid", "s"])
 
-    sets = materialize(found.mapInArrow(run, "cid bigint, s array<bigint>"), "shingle-sets")
+    return materialize(found.mapInArrow(run, "cid bigint, s array<bigint>"), "shingle-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough: 100 * shared >= percent * union."""
     both = _beside(_beside(pairs, "a", sets, {"s": "sa"}), "b", sets, {"s": "sb"})
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - shared
     return both.where(shared * 100 >= union * percent).select("a", "b")
 
 
-def _across(buckets: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs between the components (``root``) of a bucket that the likelihood lets through.
+def _cells(buckets: DataFrame, block: int) -> DataFrame:
+    """Rows (bucket, cid, root, n_shingles) of buckets with several components, dealt to cells (bucket, lo, hi).
 
-    ``buckets``: bucket, cid, root. Buckets with the same classes count once; a cell (block, block) of
-    a bucket is one task, so that no bucket has to fit one.
+    Buckets with the same classes count once. A bucket is cut into blocks, bounded by classes and by
+    shingles; a cell is a pair of blocks, so that no bucket has to fit a task.
     """
-    same = buckets.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("of"),
+    several = buckets.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("size"),
+        F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("of"),
         F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    one = same.groupBy("n", "of").agg(F.min("bucket").alias("bucket")).select(
-        "bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = (buckets.join(one, "bucket").join(classes.select("cid", "sketch", "n_shingles"), "cid")
+    one = several.groupBy("n", "size", "of").agg(F.min("bucket").alias("bucket")).select(
+        "bucket", F.ceil(F.greatest(F.col("n") / block, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return (buckets.join(one, "bucket")
             .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block",
-                    "cid", "root", "sketch", "n_shingles"))
+                    "cid", "root", "n_shingles"))
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The two blocks of a cell (one block twice, where the cell is a block with itself)."""
+    return pdf[pdf["block"] == pdf["lo"].iloc[0]], pdf[pdf["block"] == pdf["hi"].iloc[0]]
+
+
+def _with_partner(buckets: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """The rows of ``buckets`` to which the likelihood leaves a partner in another component of the bucket."""
+    rows = _cells(buckets, block).join(classes.select("cid", "sketch"), "cid")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        x = pdf[pdf["block"] == lo].sort_values("cid")
-        y = pdf[pdf["block"] == hi].sort_values("cid")
+        x, y = _sides(pdf)
         rx, ry = (np.frombuffer(b"".join(z["sketch"]), np.uint16).reshape(len(z), REGISTERS) for z in (x, y))
-        cx, cy, ox, oy = (z[c].to_numpy() for c in ("cid", "root") for z in (x, y))
         nx, ny = (z["n_shingles"].to_numpy(np.float64) for z in (x, y))
-        found = [np.empty((2, 0), np.int64)]
+        ox, oy = x["root"].to_numpy(), y["root"].to_numpy()
+        has_x, has_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
         for i in range(len(x)):
-            k = np.flatnonzero((oy != ox[i]) & ((cy > cx[i]) | (lo != hi)))
-            k = k[np.minimum(ny[k], nx[i]) >= (threshold - 1e-9) * np.maximum(ny[k], nx[i])]
-            if len(k):
-                k = k[may_reach(threshold, np.full(len(k), nx[i]), ny[k], (rx[i] > ry[k]).sum(axis=1),
-                                (rx[i] < ry[k]).sum(axis=1))]
-                found.append(np.stack((np.minimum(cx[i], cy[k]), np.maximum(cx[i], cy[k]))))
-        a, b = np.concatenate(found, axis=1)
+            k = np.flatnonzero((oy != ox[i]) & (np.minimum(ny, nx[i]) >= (threshold - 1e-9) * np.maximum(ny, nx[i])))
+            greater, less = (rx[i] > ry[k]).sum(axis=1), (rx[i] < ry[k]).sum(axis=1)
+            k = k[may_reach(threshold, np.full(len(k), nx[i]), ny[k], greater, less)]
+            has_x[i] = len(k) > 0
+            has_y[k] = True
+        return pd.concat((x[has_x], y[has_y]))[["bucket", "cid", "root", "n_shingles"]]
+
+    return rows.groupBy("bucket", "lo", "hi").applyInPandas(
+        compare, "bucket bigint, cid bigint, root bigint, n_shingles bigint").distinct()
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
+    """How many elements each set of ``x`` shares with each of ``y``."""
+    def owners(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (ex, ix), (ey, iy) = owners(x), owners(y)
+    common = np.intersect1d(ex, ey)
+    kx, ky = np.isin(ex, common), np.isin(ey, common)
+    cx, ix = np.searchsorted(common, ex[kx]), ix[kx]
+    cy, iy = np.searchsorted(common, ey[ky]), iy[ky]
+    out = np.zeros((len(x), len(y)), np.int64)
+    ax, ay = np.argsort(cx, kind="stable"), np.argsort(cy, kind="stable")
+    cx, ix, cy, iy = cx[ax], ix[ax], cy[ay], iy[ay]
+    for lo in range(0, len(common), at_once):
+        width = min(at_once, len(common) - lo)
+        parts = []
+        for c, i, n in ((cx, ix, len(x)), (cy, iy, len(y))):
+            s = slice(*np.searchsorted(c, (lo, lo + width)))
+            m = np.zeros((n, width), np.float32)       # sums stay below 2^24: exact
+            m[i[s], c[s] - lo] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _verified_within(buckets: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between components within buckets, on full sets: a spanning forest of each cell's links."""
+    rows = _cells(buckets, block).join(sets, "cid")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = _sides(pdf)
+        shared = shared_counts(x["s"].tolist(), y["s"].tolist())
+        union = x["n_shingles"].to_numpy()[:, None] + y["n_shingles"].to_numpy()[None, :] - shared
+        linked = (100 * shared >= percent * union) & (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :])
+        i, j = np.nonzero(linked)
+        a, b = stars(x["cid"].to_numpy()[i], y["cid"].to_numpy()[j])
         return pd.DataFrame({"a": a, "b": b})
 
     return rows.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a bigint, b bigint").distinct()
@@ -306,10 +366,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.min(F.struct(ID_KEY, TEXT_KEY)).alias("rep")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     texts = d.select(ID_KEY, TEXT_KEY, "text")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        likely = materialize(_likely(pairs, classes, threshold), "likely-pairs")
-        return materialize(_verified(likely, classes, texts, shingle, percent), "verified-pairs")
-
     buckets = _buckets(classes)
     shared = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cid").alias("a"),
                                                        F.max("cid").alias("b")).where("n > 1"), "shared-buckets")
@@ -318,14 +374,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        "wide-buckets")
     first = shared.where("n = 2").select("a", "b").union(
         wide.where("cid <> a").select("a", F.col("cid").alias("b"))).distinct()
-    links = verify(materialize(first, "first-pairs"))
+    likely = materialize(_likely(materialize(first, "first-pairs"), classes, threshold), "likely-pairs")
+    sets = _sets(likely.select(F.explode(F.array("a", "b")).alias("cid")), classes, texts, shingle)
+    links = materialize(_verified(likely, sets, percent), "links")
     roots = materialize(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     # the bucket's first class has met all others: what is left are the others among themselves
     rest = (wide.where("cid <> a").join(roots, F.col("cid") == F.col("node"), "left")
-            .select("bucket", "cid", F.coalesce("root", "cid").alias("root")))
-    second = materialize(_across(rest, classes, threshold, block), "second-pairs")
-    if not second.isEmpty():
-        more = verify(second)
+            .join(classes.select("cid", "n_shingles"), "cid")
+            .select("bucket", "cid", F.coalesce("root", "cid").alias("root"), "n_shingles"))
+    open_ = materialize(_with_partner(materialize(rest, "rest"), classes, threshold, block), "open-buckets")
+    if not open_.isEmpty():
+        sets = _sets(open_.select("cid"), classes, texts, shingle)
+        more = _verified_within(open_, sets, percent, block)
         every = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = materialize(connected(every), "roots")
     of_class = classes.join(roots, F.col("cid") == F.col("node"), "left").select(

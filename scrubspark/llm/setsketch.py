@@ -39,6 +39,7 @@ LIKELIHOOD = 14.0            # a pair goes if its likelihood at the threshold is
 BLOCK_WORDS = 200_000        # words a task treats together
 BLOCK_CLASSES = 2_000        # classes of a bucket that one task compares with as many others
 BLOCK_SHINGLES = 4_000_000   # and their shingles in all
+PAIRS_AT_ONCE = 200_000      # pairs whose likelihood a task computes together
 WORDS_HELD = 1_000_000
 HOT_PAIRS, HOT_SALTS = 2_000, 64
 COPY_SALTS = 8
@@ -292,12 +293,21 @@ def _with_partner(buckets: DataFrame, classes: DataFrame, threshold: float, bloc
         nx, ny = (z["n_shingles"].to_numpy(np.float64) for z in (x, y))
         ox, oy = x["root"].to_numpy(), y["root"].to_numpy()
         has_x, has_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        wait: list[tuple[np.ndarray, ...]] = []
+
+        def judge() -> None:     # many pairs at once: the likelihood's steps cost the same for one
+            i, k, greater, less = (np.concatenate(z) for z in zip(*wait))
+            ok = may_reach(threshold, nx[i], ny[k], greater, less)
+            has_x[i[ok]] = has_y[k[ok]] = True
+            wait.clear()
+
         for i in range(len(x)):
             k = np.flatnonzero((oy != ox[i]) & (np.minimum(ny, nx[i]) >= (threshold - 1e-9) * np.maximum(ny, nx[i])))
-            greater, less = (rx[i] > ry[k]).sum(axis=1), (rx[i] < ry[k]).sum(axis=1)
-            k = k[may_reach(threshold, np.full(len(k), nx[i]), ny[k], greater, less)]
-            has_x[i] = len(k) > 0
-            has_y[k] = True
+            wait.append((np.full(len(k), i), k, (rx[i] > ry[k]).sum(axis=1), (rx[i] < ry[k]).sum(axis=1)))
+            if len(wait) * len(y) > PAIRS_AT_ONCE:
+                judge()
+        if wait:
+            judge()
         return pd.concat((x[has_x], y[has_y]))[["bucket", "cid", "root", "n_shingles"]]
 
     return rows.groupBy("bucket", "lo", "hi").applyInPandas(

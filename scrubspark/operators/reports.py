@@ -21,8 +21,8 @@ from scrubspark.contracts import (field_type, is_datetime, is_integral, is_numer
                                   resolve_columns)
 from scrubspark.functions import stats
 from scrubspark.functions.parse import missing, nan_to_null
-from scrubspark.plans.ordered import prefix_sums
-from scrubspark.sources.parquet import file_order
+from scrubspark.plans.runs import flagged_runs
+from scrubspark.sources.parquet import ORDER_COLUMNS, file_order
 
 
 def _kind(dt: T.DataType) -> str:
@@ -403,36 +403,25 @@ BLOCK_SHARE_OF_MISSING = 0.5
 def detect_missing_pattern(df: DataFrame, column: str, order_by: Sequence[str] | None = None) -> DataFrame:
     """Where nulls sit in table order (``order_by``, else the source's file order): front-loaded (>60 % in the first third),
     tail-loaded (>60 % in the last third), a block (longest run >= max(5, half the nulls)),
-    or sporadic. Positions and runs come from distributed prefix counts, never a global
-    window: a null run is the set of nulls with equal ``position - nulls_before``."""
+    or sporadic.
+
+    Nulls and runs come from summaries of contiguous pieces of the input, joined in order
+    (``plans.runs``): in file order no row is moved, otherwise rows are sorted by range once. Of rows that tie
+    on ``order_by`` those with a value come first."""
     c = resolve_column(df, column)
     order = resolve_columns(df, order_by) if order_by else file_order(df)
-    dt = field_type(df, c)
-    base = df.select(*[F.col(qcol(o)) for o in order],
-                     missing(F.col(qcol(c)), dt).cast("long").alias("__null"))
-    totals = base.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__null"), F.lit(0)).alias("m")).first()
-    n, m = totals["n"], totals["m"]
-    head = [F.lit(c).alias("column"), F.lit(n).cast("long").alias("n_rows"), F.lit(m).cast("long").alias("n_missing"),
-            F.round(F.lit(m * 100.0 / n if n else 0.0), 2).alias("missing_pct")]
-    if m == 0 or m == n:
-        return base.agg(F.count(F.lit(1)).alias("__n")).select(
-            *head, F.lit(0.0 if m == 0 else 1.0).alias("frac_first"),
-                                    F.lit(0.0 if m == 0 else 1.0).alias("frac_last"),
-                                    F.lit(m).cast("long").alias("longest_run"),
-                                    F.lit(PATTERNS["none" if m == 0 else "all"]).alias("pattern"))
-    ps = prefix_sums(base.withColumn("__one", F.lit(1).cast("long")), order, ["__one", "__null"])
-    pos = F.col("__one_before")
-    nulls = ps.where(F.col("__null") == 1)
-    runs = (nulls.groupBy((pos - F.col("__null_before")).alias("island")).agg(F.count(F.lit(1)).alias("run"))
-            .agg(F.max("run")))
-    agg = nulls.agg(
-        (F.sum((pos < F.lit(n / 3)).cast("long")) / F.lit(m)).alias("frac_first"),
-        (F.sum((pos >= F.lit(2 * n / 3)).cast("long")) / F.lit(m)).alias("frac_last"))
-    run = runs.scalar()
-    pattern = (F.when(F.col("frac_first") > CLUSTER_SHARE, PATTERNS["front"])
-               .when(F.col("frac_last") > CLUSTER_SHARE, PATTERNS["tail"])
-               .when(run >= F.greatest(F.lit(MIN_BLOCK_RUN).cast("double"), F.lit(m * BLOCK_SHARE_OF_MISSING)),
-                     PATTERNS["block"])
-               .otherwise(PATTERNS["sporadic"]))
-    return agg.select(*head, F.round("frac_first", 4).alias("frac_first"), F.round("frac_last", 4).alias("frac_last"),
-                      run.cast("long").alias("longest_run"), pattern.alias("pattern"))
+    null = missing(F.col(qcol(c)), field_type(df, c))
+    n, m = df.agg(F.count(F.lit(1)), F.count_if(null)).first()
+    front = tail = 1.0 if m else 0.0
+    run, name = m, "all" if m else "none"
+    if 0 < m < n:
+        thirds = -(-n // 3), -(-2 * n // 3)     # rows before position n / 3, and before 2 n / 3
+        whole, (first, last) = flagged_runs(df, order, null, n, thirds, files=order == ORDER_COLUMNS)
+        front, tail, run = first / m, (m - last) / m, whole.longest
+        name = ("front" if front > CLUSTER_SHARE else "tail" if tail > CLUSTER_SHARE
+                else "block" if run >= max(MIN_BLOCK_RUN, m * BLOCK_SHARE_OF_MISSING) else "sporadic")
+    return df.sparkSession.range(1).select(
+        F.lit(c).alias("column"), F.lit(n).cast("long").alias("n_rows"), F.lit(m).cast("long").alias("n_missing"),
+        F.round(F.lit(m * 100.0 / n if n else 0.0), 2).alias("missing_pct"),
+        F.round(F.lit(front), 4).alias("frac_first"), F.round(F.lit(tail), 4).alias("frac_last"),
+        F.lit(run).cast("long").alias("longest_run"), F.lit(PATTERNS[name]).alias("pattern"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubspark.contracts import is_datetime, is_floating, is_numeric, is_string
+from scrubspark.contracts import is_datetime, is_floating, is_integral, is_numeric, is_string
 
 # What counts as a number when text is parsed (after trimming), and the
 # spellings of infinity accepted besides it. Anything else parses to null, as with
@@ -103,13 +103,54 @@ def title_case(col: Column) -> Column:
     return F.when(col.isNotNull(), F.array_join(fixed, ""))
 
 
+def number_text(col: Column) -> Column:
+    """A float as users write it: digits and a point from 0.0001 up to below 10^16 (``10000000.0``), beyond that
+    with an exponent (``1e+16``, ``1.5e-05``), infinities as ``inf``; null for NaN."""
+    shown = col.cast("string")        # the shortest digits that read back as the number
+    size = F.abs(col)
+    plain = F.regexp_replace(shown.try_cast("decimal(38,22)").cast("string"), r"(\.\d+?)0+$", "$1")
+    exponent = F.substring_index(shown, "E", -1).try_cast("int")
+    power = F.abs(exponent).cast("string")
+    scientific = F.concat(F.regexp_replace(F.substring_index(shown, "E", 1), r"\.0$", ""),
+                          F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                          F.lpad(power, F.greatest(F.length(power), F.lit(2)), F.lit("0")))
+    return (F.when(F.isnan(col), F.lit(None).cast("string")).when(~shown.contains("E") & (size < 1e16), shown)
+            .when(size == float("inf"), F.when(col > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+            .when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific))
+
+
 def text_form(col: Column, dt: T.DataType) -> Column:
     """The text a cell shows; null stays null."""
     if is_string(dt):
         return col
+    if is_floating(dt):
+        return number_text(col)
     return col.cast("string")
 
 
+def equals_value(col: Column, dt: T.DataType, value, match_case: bool = True) -> Column:
+    """Null-safe equality in the column's own type, numbers by their value: never true on a null cell, never null."""
+    if isinstance(dt, T.BooleanType):
+        truth = boolean_word(value)
+        return F.lit(False) if truth is None else col.eqNullSafe(F.lit(truth))
+    if is_integral(dt):
+        exact = exact_integer(value)
+        fits = exact is not None and -(2**63) <= exact < 2**63
+        return F.coalesce(col == F.lit(exact).cast("long"), F.lit(False)) if fits else F.lit(False)
+    if isinstance(dt, T.DecimalType):
+        d = F.lit(str(value).strip()).try_cast("decimal(38,18)")
+        return F.coalesce(col == d, F.lit(False))
+    if is_numeric(dt):
+        try:
+            return F.coalesce(col == F.lit(float(value)).cast(dt), F.lit(False))
+        except (TypeError, ValueError):
+            return F.lit(False)
+    text = text_form(col, dt)
+    if match_case:
+        return text.eqNullSafe(F.lit(str(value)))
+    return F.coalesce(F.lower(text) == F.lit(str(value).lower()), F.lit(False))
+
+
 def exact_integer(value) -> int | None:
     """A whole number written as a number or as text, digit for digit; None if it is none."""
     if isinstance(value, bool):

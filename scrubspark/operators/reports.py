@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from scrubspark.contracts import (field_type, is_datetime, is_integral, is_numeric, qcol, resolve_column,
                                   resolve_columns)
 from scrubspark.functions import stats
-from scrubspark.functions.parse import missing, nan_to_null
+from scrubspark.functions.parse import missing, nan_to_null, text_form
 from scrubspark.plans.runs import flagged_runs
 from scrubspark.sources.parquet import ORDER_COLUMNS, file_order
 
@@ -43,7 +43,7 @@ def _stack(rows: list[Column]) -> Column:
 
 
 def _value_text(df: DataFrame, c: str) -> Column:
-    return F.col(qcol(c)).cast("string")
+    return text_form(F.col(qcol(c)), field_type(df, c))
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str], as_double: bool = False) -> DataFrame:
@@ -377,16 +377,15 @@ def detect_outliers_report(df: DataFrame, column: str | None = None, iqr_multipl
 def value_counts(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     """Top-n values including null: value (as text), n, % of all rows (2 dp), rank.
 
-    Ties are broken by value, nulls last. The grouping is map-side combined; the top-n is
+    Ties are broken by value (numbers by size), nulls last. The grouping is map-side combined; the top-n is
     a ``TakeOrderedAndProject`` (each task keeps n rows)."""
     c = resolve_column(df, column)
     dt = field_type(df, c)
-    v = F.when(~missing(F.col(qcol(c)), dt), F.col(qcol(c)).cast("string"))
-    counts = df.select(v.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select(nan_to_null(F.col(qcol(c)), dt).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    order = [F.col("n").desc(), F.col("value").asc_nulls_last()]
+    order = [F.col("n").desc(), F.col("v").asc_nulls_last()]
     top = counts.orderBy(*order).limit(top_n)
-    return top.select("value", "n", F.round(F.col("n") * 100.0 / total, 2).alias("pct"),
+    return top.select(text_form(F.col("v"), dt).alias("value"), "n", F.round(F.col("n") * 100.0 / total, 2).alias("pct"),
                       F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from scrubspark.contracts import (field_type, is_integral, is_numeric, is_string, qcol, require_numeric, resolve_column,
                                   resolve_columns)
-from scrubspark.functions.parse import boolean_word, exact_integer, missing, text_form, to_number
+from scrubspark.functions.parse import equals_value, exact_integer, missing, text_form, to_number
 from scrubspark.functions.stats import DEFAULT_ACCURACY, iqr_bounds
 from scrubspark.sources.parquet import file_order
 
@@ -38,7 +38,7 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep: st
       row per key, also map-side combined.
     """
     if keep not in KEEP_CHOICES:
-        raise ValueError(f"Unknown keep '{keep}'. Use 'first', 'last' or 'none'.")
+        raise ValueError(f"drop_duplicates: keep is one of {KEEP_CHOICES}, not {keep!r}")
     cols = df.columns
     key = resolve_columns(df, subset) if subset else list(cols)
     rest = [c for c in cols if c not in key]
@@ -104,35 +104,13 @@ def filter_rows(df: DataFrame, column: str, condition: str, value=None) -> DataF
             keep = ~F.coalesce(hit, F.lit(False))
         return df.where(keep)
     if condition in ("equals", "not_equals"):
-        match = _equals(col, dt, value)
+        match = equals_value(col, dt, value)
         return df.where(~match) if condition == "equals" else df.where(match)
     # contains
     hit = F.coalesce(text_form(col, dt).rlike(str(value)), F.lit(False))
     return df.where(~hit)
 
 
-def _equals(col: Column, dt, value) -> Column:
-    """Null-safe equality in the column's own type: never true on a null cell, never null."""
-    if isinstance(dt, T.BooleanType):
-        truth = boolean_word(value)
-        return F.lit(False) if truth is None else col.eqNullSafe(F.lit(truth))
-    if is_integral(dt):
-        exact = exact_integer(value)
-        fits = exact is not None and -(2**63) <= exact < 2**63
-        return F.coalesce(col == F.lit(exact).cast("long"), F.lit(False)) if fits else F.lit(False)
-    if isinstance(dt, T.DecimalType):
-        d = F.lit(str(value).strip()).try_cast("decimal(38,18)")
-        return F.coalesce(col == d, F.lit(False))
-    if is_numeric(dt):
-        try:
-            return F.coalesce(col == F.lit(float(value)), F.lit(False))
-        except (TypeError, ValueError):
-            return F.lit(False)
-    if is_string(dt):
-        return col.eqNullSafe(F.lit(str(value)))
-    return text_form(col, dt).eqNullSafe(F.lit(str(value)))
-
-
 def remove_outliers(df: DataFrame, column: str, iqr_multiplier: float = 1.5,
                     accuracy: int = DEFAULT_ACCURACY, exact: bool = True) -> DataFrame:
     """Drop rows outside the Tukey fences; nulls are kept. The quartiles are exact unless

@@ -12,6 +12,7 @@ from scrubspark.suite.registry import num_sql, register, ts_sql
 DC = with_views("dirty_customer")
 DUP = with_views("dup_orders")
 DO = with_views("dirty_orders")
+ODD = with_views("odd_numbers")
 CUST_COLS = "c_custkey, acctbal, segment, nation_txt, segment_gap"
 DUP_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, copy_no"
 
@@ -352,3 +353,45 @@ SELECT o_orderkey, CASE WHEN orderdate_txt IS NOT NULL AND {ts_sql('orderdate_tx
 def anomalies_datetime(spark, sf):
     return cells.remove_type_anomalies(view(spark, sf, "dirty_orders"), "orderdate_txt", "datetime").select(
         "o_orderkey", "orderdate_txt")
+
+
+# --- numbers as users write them ------------------------------------------------------
+
+@register("filter_double", ODD + """
+SELECT p_partkey, d, b FROM odd_numbers
+WHERE NOT coalesce(d IN (5, 10000000, 0.0001::DOUBLE, 9007199254740993), false) AND b <> 9007199254740993""")
+def filter_double(spark, sf):
+    out = view(spark, sf, "odd_numbers")
+    for value in ("5", "10000000", "0.0001", 9007199254740993):
+        out = rows.filter_rows(out, "d", "equals", value)
+    return rows.filter_rows(out, "b", "equals", "9007199254740993")
+
+
+@register("contains_double", ODD + """
+SELECT p_partkey, d, b FROM odd_numbers WHERE NOT coalesce(regexp_matches(CAST(d AS VARCHAR), '^1000|e[-+]'), false)
+  AND NOT regexp_matches(CAST(b AS VARCHAR), '993$')""")
+def contains_double(spark, sf):
+    out = rows.filter_rows(view(spark, sf, "odd_numbers"), "d", "contains", "^1000|e[-+]")
+    return rows.filter_rows(out, "b", "contains", "993$")
+
+
+@register("replace_double", ODD + """
+SELECT p_partkey, CASE WHEN d = 0.0001::DOUBLE THEN 7.5::DOUBLE WHEN d = 10000000 THEN 1 ELSE d END AS d,
+  CASE WHEN b = 9007199254740993 THEN 'big' ELSE CAST(b AS VARCHAR) END AS b FROM odd_numbers""")
+def replace_double(spark, sf):
+    out = cells.find_and_replace(view(spark, sf, "odd_numbers"), "d", "10000000.0", "1")
+    out = cells.find_and_replace(out, "d", "1e-4", 7.5)
+    return cells.find_and_replace(out, "b", "9007199254740993", "big")
+
+
+@register("merge_double", ODD + """
+SELECT p_partkey, concat_ws('/', CAST(d AS VARCHAR), CAST(b AS VARCHAR)) AS both FROM odd_numbers""")
+def merge_double(spark, sf):
+    return cells.merge_columns(view(spark, sf, "odd_numbers"), ["d", "b"], "both", "/")
+
+
+@register("cast_str_double", ODD + """
+SELECT p_partkey, coalesce(CAST(d AS VARCHAR), 'nan') AS d, CAST(b AS VARCHAR) AS b FROM odd_numbers""")
+def cast_str_double(spark, sf):
+    out = cells.convert_dtype(view(spark, sf, "odd_numbers"), "d", "str", null_text="nan")
+    return cells.convert_dtype(out, "b", "str")

@@ -26,6 +26,13 @@ SELECT o_orderkey, o_totalprice,
     ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS orderdate_txt,
   o_orderpriority
 FROM {orders}"""),
+    "odd_numbers": ("part", """
+SELECT p_partkey,
+  CASE p_partkey % 9 WHEN 0 THEN CAST(5 AS DOUBLE) WHEN 1 THEN CAST(10000000 AS DOUBLE) WHEN 2 THEN CAST(0.0001 AS DOUBLE)
+    WHEN 3 THEN CAST(9007199254740993 AS DOUBLE) WHEN 4 THEN NULL WHEN 5 THEN CAST('1.5e-05' AS DOUBLE)
+    WHEN 6 THEN CAST('2e+16' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) * -1000000 + 0.25 END AS d,
+  CASE WHEN p_partkey % 5 = 0 THEN 9007199254740993 ELSE CAST(p_partkey AS BIGINT) % 12 END AS b
+FROM {part}"""),
     "gap_events": ("events", """
 SELECT event_id, value,
   CASE WHEN event_id >= 4000 AND event_id < 4400 THEN NULL ELSE value END AS v_block,

@@ -202,6 +202,15 @@ def value_counts(spark, sf):
     return reports.value_counts(view(spark, sf, "dirty_customer"), "nation_txt", 10)
 
 
+@register("value_counts_double", with_views("odd_numbers") + """
+SELECT CAST(d AS VARCHAR) AS value, n, round(n * 100.0::DOUBLE / (SELECT count(*) FROM odd_numbers), 2) AS pct,
+  CAST(rank AS INTEGER) AS rank
+FROM (SELECT d, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, d NULLS LAST) AS rank
+      FROM odd_numbers GROUP BY d) WHERE rank <= 40""")
+def value_counts_double(spark, sf):
+    return reports.value_counts(view(spark, sf, "odd_numbers"), "d", 40)
+
+
 # --- missing-data pattern -------------------------------------------------------------
 
 def _pattern_sql(c: str) -> str:

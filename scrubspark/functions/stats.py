@@ -118,34 +118,43 @@ def fit(df: DataFrame, quantile_requests: Sequence[tuple[str, float]], mean_colu
 def _narrow(df: DataFrame, vals, keys, plan: dict, accuracy: int, max_misses: int = 20) -> dict[int, int]:
     """Narrow the brackets of ``plan`` in place; the exact number of values below each of them.
 
-    One pass per round for all open brackets: count the values below and inside, and take
-    ``REFINE_GRID`` approximate quantiles of those inside; the grid points around the target
+    One pass per round for all open brackets: count the values below and inside, and, of brackets known
+    to hold too many, take ``REFINE_GRID`` approximate quantiles of those inside; the grid points around the target
     ranks (plus the sketch's error) are the next bracket. A bracket is done when it holds its
     ranks and few enough values, or when ties keep its ends where they are.
     """
     below, open_, misses = {}, set(plan), dict.fromkeys(plan, 0)
+    wide: set[int] = set()      # brackets that were counted and hold too many values: these take the grid
     grid = F.array(*[F.lit(i / REFINE_GRID) for i in range(REFINE_GRID + 1)])
     while open_:
         aggs = []
         for k in sorted(open_):
             v = vals[keys[k][0]]
             inside = (v >= F.lit(plan[k][0])) & (v <= F.lit(plan[k][1]))
-            aggs += [F.count_if(v < F.lit(plan[k][0])).alias(f"b{k}"), F.count_if(inside).alias(f"i{k}"),
-                     F.approx_percentile(F.when(inside, v), grid, accuracy).alias(f"g{k}")]
+            aggs += [F.count_if(v < F.lit(plan[k][0])).alias(f"b{k}"), F.count_if(inside).alias(f"i{k}")]
+            if k in wide:
+                aggs.append(F.approx_percentile(F.when(inside, v), grid, accuracy).alias(f"g{k}"))
         row = df.agg(*aggs).first()
         for k in sorted(open_):
             lo, hi, ra, rb, frac = plan[k]
-            b, n_in, g = row[f"b{k}"], row[f"i{k}"], row[f"g{k}"]
+            b, n_in = row[f"b{k}"], row[f"i{k}"]
             if b > ra or b + n_in < rb + 1:
                 misses[k] += 1
                 if misses[k] > max_misses:
                     raise RuntimeError(f"no bracket of {keys[k]} holds its rank; is the input the same at every read?")
                 plan[k] = (-math.inf if b > ra else lo, math.inf if b + n_in < rb + 1 else hi, ra, rb, frac)
                 continue
-            err = (n_in / accuracy + 1) * 2 ** (1 + misses[k])
+            if n_in <= BRACKET_ROWS:
+                below[k] = b
+                open_.discard(k)
+                continue
+            if k not in wide:
+                wide.add(k)
+                continue
+            g, err = row[f"g{k}"], (n_in / accuracy + 1) * 2 ** (1 + misses[k])
             low = max(0, math.floor((ra - b - err) / max(n_in - 1, 1) * REFINE_GRID))
             high = min(REFINE_GRID, math.ceil((rb - b + err) / max(n_in - 1, 1) * REFINE_GRID) + 1)
-            if n_in <= BRACKET_ROWS or (g[low], g[high]) == (lo, hi):
+            if (g[low], g[high]) == (lo, hi):
                 below[k] = b
                 open_.discard(k)
             else:

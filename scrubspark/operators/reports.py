@@ -3,9 +3,8 @@
 Shared plan shapes:
 * wide aggregates for null counts and moments (one per 16 columns, so generated code stays
   small; with Parquet each reads only its columns);
-* one value-frequency aggregate over the table unpivoted to (column, value), which gives
-  both exact distinct counts and top values (numbers and datetimes grouped as doubles); top-k per column uses ``row_number() <= k``
-  so Spark inserts a partial ``WindowGroupLimit`` before the shuffle;
+* one value-frequency aggregate for each family of types over the table unpivoted to (column, value) gives exact
+  distinct counts; texts are counted by a 128-bit hash and only the first few are looked up (``_text_tops``);
 * exact quantiles through the bounded two-pass fit in ``functions.stats``.
 """
 
@@ -17,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubspark.contracts import (field_type, is_datetime, is_integral, is_numeric, qcol, resolve_column,
+from scrubspark.contracts import (field_type, is_datetime, is_floating, is_integral, is_numeric, qcol, resolve_column,
                                   resolve_columns)
 from scrubspark.functions import stats
 from scrubspark.functions.parse import missing, nan_to_null, text_form
+from scrubspark.plans.bitmap import in_bitmap
 from scrubspark.plans.runs import flagged_runs
+from scrubspark.session import materialize
 from scrubspark.sources.parquet import ORDER_COLUMNS, file_order
 
 
@@ -46,23 +47,6 @@ def _value_text(df: DataFrame, c: str) -> Column:
     return text_form(F.col(qcol(c)), field_type(df, c))
 
 
-def value_frequencies(df: DataFrame, columns: Sequence[str], as_double: bool = False) -> DataFrame:
-    """(column, value, n) for every non-null value of each column.
-
-    Values are text, or doubles with ``as_double`` (numbers, booleans, zoned timestamps as
-    epoch micros), which skips formatting numbers as text when only distinct counts are needed.
-    The table is unpivoted then grouped; partial aggregation collapses repeated values in
-    each task before the shuffle, so a hot value costs one row per task.
-    """
-    cols = list(columns)
-    if not cols:
-        raise ValueError("no columns")
-    vals = [_value_double(df, c) if as_double else _value_text(df, c) for c in cols]
-    pairs = [F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in zip(cols, vals)]
-    long = df.select(_stack(pairs).alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _value_double(df: DataFrame, c: str) -> Column:
     dt = field_type(df, c)
     col = F.col(qcol(c))
@@ -73,23 +57,39 @@ def _value_double(df: DataFrame, c: str) -> Column:
     return nan_to_null(col, dt).cast("double")
 
 
-def top_values(freq: DataFrame, k: int) -> DataFrame:
-    """(column, value, n, rank): the k most frequent values per column, ties by value."""
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
-    return freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+# --- whole-table metadata (shape + per-column summary) --------------------------------
 
+def row_fingerprint(df: DataFrame) -> Column:
+    """64 bits of a row; equal rows (nulls equal, 0.0 and -0.0, all NaN) have equal ones."""
+    parts = []
+    for f in df.schema.fields:
+        v = F.col(qcol(f.name))
+        if is_floating(f.dataType):
+            v = F.when(F.isnan(v), F.lit(float("nan"))).otherwise(v + F.lit(0.0))
+        parts += [v, v.isNull()]      # a hash passes over nulls: which they are counts, too
+    return F.xxhash64(*parts)
 
-# --- whole-table metadata (shape + per-column summary) --------------------------------
 
-def table_shape(df: DataFrame) -> DataFrame:
-    """n_rows, n_columns, duplicate_rows (rows equal to an earlier row on all columns)."""
+def table_shape(df: DataFrame, fingerprint: Column | None = None) -> DataFrame:
+    """n_rows, n_columns, duplicate_rows (rows equal to an earlier row on all columns).
+
+    Fingerprints of 64 bits are counted (16 bytes a row are shuffled, not rows). Only rows whose fingerprint
+    comes twice are compared in full: a bitmap of those fingerprints keeps the others from the shuffle."""
     cols = [F.col(qcol(c)) for c in df.columns]
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    return groups.agg(F.sum("__n").cast("long").alias("n_rows"),
-                      F.lit(len(df.columns)).alias("n_columns"),
-                      F.sum(F.col("__n") - 1).cast("long").alias("duplicate_rows")).select(
-        F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), "n_columns",
-        F.coalesce("duplicate_rows", F.lit(0).cast("long")).alias("duplicate_rows"))
+    fp = row_fingerprint(df) if fingerprint is None else fingerprint
+    counts = df.select(fp.alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    twice = materialize(counts.groupBy(F.when(F.col("n") > 1, F.col("fp")).alias("fp")).agg(
+        F.sum("n").alias("n"), F.lit(True).alias("any")), "row-fingerprints")
+    rows = twice.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0]
+    twice = twice.where(F.col("fp").isNotNull()).select("fp")
+    again = F.lit(0).cast("long")
+    n_twice = twice.count()
+    if n_twice:
+        same = df.where(in_bitmap(fp, twice, n_twice)).groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+        again = same.agg(F.sum(F.col("__n") - 1).cast("long")).scalar()
+    return df.sparkSession.range(1).select(F.lit(rows).cast("long").alias("n_rows"),
+                                           F.lit(len(df.columns)).alias("n_columns"),
+                                           F.coalesce(again, F.lit(0).cast("long")).alias("duplicate_rows"))
 
 
 COLUMNS_PER_AGGREGATE = 16
@@ -118,48 +118,88 @@ def _wide_rows(df: DataFrame, cols: Sequence[str], aggs_of, row_of) -> DataFrame
     return out
 
 
+#: Characters of a text that go along with its hash; a longer text is looked up once it is among the first.
+PREFIX = 64
+#: Longer texts looked up by a broadcast of their hashes, at most; more are joined.
+LOOKED_UP = 100_000
+
+
+def _text_tops(df: DataFrame, texts: dict[int, Column], k: int) -> tuple[DataFrame, DataFrame]:
+    """(i, unique_count) and (i, value, n, rank) of text columns, the ``k`` most frequent values, ties by value.
+
+    Values are counted by a 128-bit hash, with their first ``PREFIX`` characters: no text goes through a
+    shuffle. What may be among the first k by count and prefix is written; texts longer than that are then
+    read from the rows whose hash is one of those.
+    """
+    long = df.select(_stack([F.struct(F.lit(i).alias("i"), v.alias("value")) for i, v in texts.items()]).alias("p")).select(
+        "p.*").where(F.col("value").isNotNull())
+    long = long.select("i", "value", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2"))
+    freq = long.select("i", "h1", "h2", F.substring("value", 1, PREFIX).alias("head"),
+                       (F.length("value") > PREFIX).alias("cut")).groupBy("i", "h1", "h2").agg(
+        F.count(F.lit(1)).alias("n"), F.min("head").alias("head"), F.max("cut").alias("cut"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("head", "string"), ("cut", "boolean"))]
+    # sum(signum(n)) reads n, so that both consumers of ``freq`` share one shuffle
+    distinct = freq.groupBy("i").agg(F.sum(F.signum("n")).cast("long").alias("n"))
+    if k <= 0:
+        return distinct.select("i", F.col("n").alias("unique_count")), freq.where("false").select(
+            "i", F.col("head").alias("value"), "n", F.lit(0).alias("rank"))
+    by = Window.partitionBy("i").orderBy(F.col("n").desc(), F.col("head"))
+    first = freq.withColumn("r", F.rank().over(by)).where(F.col("r") <= k).drop("r")     # with all that tie on the head
+    both = materialize(distinct.select("i", "n", *none).unionByName(first), "value-counts")
+    distinct = both.where("h1 is null").select("i", F.col("n").alias("unique_count"))
+    first = both.where("h1 is not null")
+    cut = first.where("cut").select("i", "h1", "h2")
+    found = first.select("i", F.col("head").alias("value"), "n", "cut")
+    n_cut = cut.count()
+    if n_cut:
+        keys = F.broadcast(cut) if n_cut <= LOOKED_UP else cut
+        whole = long.join(keys, ["i", "h1", "h2"]).groupBy("i", "h1", "h2").agg(F.min("value").alias("value"))
+        found = found.where("not cut").drop("cut").unionByName(
+            first.where("cut").drop("head", "cut").join(whole, ["i", "h1", "h2"]).select("i", "value", "n"))
+    by = Window.partitionBy("i").orderBy(F.col("n").desc(), F.col("value"))
+    return distinct, found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select(
+        "i", "value", "n", "rank")
+
+
 def _distinct_and_tops(df: DataFrame, cols: Sequence[str], kinds: dict[str, str], k: int):
-    """(column, unique_count) and (column, top array of (value, n)) from one frequency pass.
+    """(column, unique_count) and (column, top array of (value, n)).
 
-    One unpivot for every column: text columns keep their text (for top values), others are
-    grouped as longs, doubles or zone-free timestamps (no number formatting). Grouping is map-side
-    combined; both results read the same aggregate, so Spark reuses its shuffle.
+    One aggregate for each family of types, so that its keys are narrow: whole numbers (and decimals, by their
+    digits) as longs, floats as doubles, datetimes without a zone as they are, texts by hash (``_text_tops``).
     """
-    def slot(c: str, kind: str):
-        dt = field_type(df, c)
-        if kind == "text":
-            return _value_text(df, c), None, None, None
-        if isinstance(dt, (T.TimestampNTZType, T.DateType)):  # zone-free wall clock
-            return None, None, F.col(qcol(c)).cast("timestamp_ntz"), None
-        if is_integral(dt):  # doubles would merge neighbours above 2^53
-            return None, None, None, F.col(qcol(c)).cast("long")
-        if isinstance(dt, T.DecimalType) and dt.precision <= 18:  # its digits, as a whole number
-            return None, None, None, (F.col(qcol(c)) * F.lit(10 ** dt.scale)).cast("long")
-        return None, _value_double(df, c), None, None
-
-    items = []
-    for c in cols:
-        sv, dv, tv, ev = slot(c, kinds[c])
-        items.append(F.struct(F.lit(c).alias("column"),
-                              (sv if sv is not None else F.lit(None).cast("string")).alias("s"),
-                              (dv if dv is not None else F.lit(None).cast("double")).alias("d"),
-                              (tv if tv is not None else F.lit(None).cast("timestamp_ntz")).alias("t"),
-                              (ev if ev is not None else F.lit(None).cast("long")).alias("e")))
-    freq = (df.select(_stack(items).alias("p")).select("p.*")
-            .where(F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("t").isNotNull()
-                   | F.col("e").isNotNull())
-            .groupBy("column", "s", "d", "t", "e").agg(F.count(F.lit(1)).alias("n")))
-    # sum(signum(n)) counts the groups while still reading n, so the optimizer keeps the
-    # count in this consumer of ``freq`` too and both consumers share one shuffle
-    distinct = freq.groupBy("column").agg(F.sum(F.signum("n")).cast("long").alias("unique_count"))
-    # filter text values after the top-k window: a filter there cannot move below the
-    # aggregate, so this branch and ``distinct`` share one frequency shuffle
-    tops = (top_values(freq.select("column", F.col("s").alias("value"), "n"), k)
-            .where(F.col("value").isNotNull())
-            .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
-            .select("column", F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
-                    .alias("top")))
-    return distinct, tops
+    families: dict[str, list[tuple[int, Column]]] = {}
+    for i, c in enumerate(cols):
+        dt, v = field_type(df, c), F.col(qcol(c))
+        if kinds[c] == "text":
+            families.setdefault("text", []).append((i, _value_text(df, c)))
+        elif isinstance(dt, (T.TimestampNTZType, T.DateType)):  # zone-free wall clock
+            families.setdefault("time", []).append((i, v.cast("timestamp_ntz")))
+        elif is_integral(dt):  # doubles would merge neighbours above 2^53
+            families.setdefault("whole", []).append((i, v.cast("long")))
+        elif isinstance(dt, T.DecimalType) and dt.precision <= 18:  # its digits, as a whole number
+            families.setdefault("whole", []).append((i, (v * F.lit(10 ** dt.scale)).cast("long")))
+        else:
+            families.setdefault("float", []).append((i, _value_double(df, c)))
+    parts, tops = [], None
+    for family, members in families.items():
+        if family == "text":
+            unique, tops = _text_tops(df, dict(members), k)
+            parts.append(unique)
+            continue
+        long = df.select(_stack([F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in members]).alias("p")).select("p.*")
+        parts.append(long.where(F.col("v").isNotNull()).distinct().groupBy("i").agg(F.count(F.lit(1)).alias("unique_count")))
+    distinct = parts[0]
+    for p in parts[1:]:
+        distinct = distinct.unionByName(p)
+    name = F.get(F.array(*[F.lit(c) for c in cols]), F.col("i")).alias("column")
+    entry = "array<struct<value:string,n:bigint>>"
+    if tops is None:
+        tops = df.sparkSession.createDataFrame([], f"column string, top {entry}")
+    else:
+        tops = (tops.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
+                .select(name, F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
+                        .cast(entry).alias("top")))
+    return distinct.select(name, "unique_count"), tops
 
 
 #: Values that the approximate top categories keep count of, in each task and column.
@@ -243,16 +283,19 @@ def profile_column(df: DataFrame, column: str, top_n: int = 5,
     dt = field_type(df, c)
     col = F.col(qcol(c))
     numeric = _kind(dt) == "numeric" and not isinstance(dt, T.BooleanType)
-    base = [F.count(F.lit(1)).alias("rows"), F.sum(missing(col, dt).cast("long")).alias("missing"),
-            F.count_distinct(nan_to_null(col, dt)).alias("unique")]
+    base = [F.count(F.lit(1)).alias("rows"), F.sum(missing(col, dt).cast("long")).alias("missing")]
     median = None
     if numeric:
+        base.append(F.count_distinct(nan_to_null(col, dt)).alias("unique"))
         v = _num(df, c)
         base += [F.min(v).alias("mn"), F.max(v).alias("mx"), F.avg(v).alias("mean_"),
                  F.stddev_samp(v).alias("std_"), F.count(v).alias("nn"), F.skewness(v).alias("g1"),
                  F.kurtosis(v).alias("g2"), F.var_pop(v).alias("m2")]
         median = stats.quantile(df, c, 0.5, accuracy, exact)
     a = df.agg(*base)
+    if not numeric:     # values are counted by hash, not shuffled
+        distinct, tops = _distinct_and_tops(df, [c], {c: "text"}, top_n)
+        a = a.withColumn("unique", F.coalesce(distinct.select("unique_count").scalar(), F.lit(0).cast("long")))
     rows_, miss = F.col("rows"), F.col("missing")
     pct = F.when(rows_ > 0, F.round(miss * 100.0 / rows_, 2)).otherwise(F.lit(0.0))
     score = F.lit(100.0) - pct - F.when((rows_ > 0) & (F.col("unique") == 1), F.lit(20.0)).otherwise(F.lit(0.0))
@@ -270,10 +313,7 @@ def profile_column(df: DataFrame, column: str, top_n: int = 5,
                 F.round(F.lit(median).cast("double"), 3).alias("median"), F.round("std_", 3).alias("std"),
                 F.round(skew, 3).alias("skewness"), F.round(kurt, 3).alias("kurtosis")]
         return a.select(*sel)
-    top = top_values(value_frequencies(df, [c]), top_n)
-    arr = (top.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
-           .select(F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))))
-    return a.select(*sel, arr.scalar().alias("top_values"))
+    return a.select(*sel, tops.select("top").scalar().alias("top_values"))
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 5,
@@ -377,12 +417,21 @@ def detect_outliers_report(df: DataFrame, column: str | None = None, iqr_multipl
 def value_counts(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     """Top-n values including null: value (as text), n, % of all rows (2 dp), rank.
 
-    Ties are broken by value (numbers by size), nulls last. The grouping is map-side combined; the top-n is
-    a ``TakeOrderedAndProject`` (each task keeps n rows)."""
+    Ties are broken by value (numbers by size), nulls last. The grouping is map-side combined, texts are
+    counted by hash (``_text_tops``); the top-n is a ``TakeOrderedAndProject`` (each task keeps n rows)."""
     c = resolve_column(df, column)
     dt = field_type(df, c)
-    counts = df.select(nan_to_null(F.col(qcol(c)), dt).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    v = nan_to_null(F.col(qcol(c)), dt)
+    if isinstance(dt, T.StringType) and top_n > 0:
+        total, nulls = df.agg(F.count(F.lit(1)), F.count_if(v.isNull())).first()
+        counts = _text_tops(df, {0: v}, top_n)[1].select(F.col("value").alias("v"), "n")
+        if nulls:
+            counts = counts.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("string").alias("v"),
+                                                                        F.lit(nulls).cast("long").alias("n")))
+        total = F.lit(total)
+    else:
+        counts = df.select(v.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        total = counts.agg(F.sum("n")).scalar()
     order = [F.col("n").desc(), F.col("v").asc_nulls_last()]
     top = counts.orderBy(*order).limit(top_n)
     return top.select(text_form(F.col("v"), dt).alias("value"), "n", F.round(F.col("n") * 100.0 / total, 2).alias("pct"),

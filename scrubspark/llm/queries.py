@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scrubspark.llm import (chat, decontam, divergence, langid, mixing, pii, quality, runs, setsketch, sharding, simhash,
                             tokens, warc)
-from scrubspark.llm.common import WORD, pick, table
+from scrubspark.llm.common import ID_KEY, TEXT_KEY, WORD, pick, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,9 +43,14 @@ def domain_of_source():
 
 @register("op1_pii_disclosure")
 def op1_pii_disclosure(spark, sf):
-    a = pii.analyse(table(spark, sf, "documents"))
-    return a.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
-                    F.sha2(pii.span_text(), 256).alias("base_sha256"), pii.span_text(terms=True).alias("spans"))
+    docs = table(spark, sf, "documents")
+    a = pii.analyse(docs)
+    clean = pii.sanitise(docs, analysed=a).select(
+        ID_KEY, TEXT_KEY, F.sha2(F.coalesce("text", F.lit("")), 256).alias("sanitised_sha256")).dropDuplicates([ID_KEY, TEXT_KEY])
+    return a.join(clean, [ID_KEY, TEXT_KEY]).select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.span_text(), 256).alias("base_sha256"), pii.span_text(terms=True).alias("spans"),
+        F.array_join(F.transform("terms", lambda t: t["action"]), ",").alias("actions"), "sanitised_sha256")
 
 
 @register("op2_benchmark_leaks")

@@ -2,6 +2,8 @@ import hashlib
 import math
 import random
 import re
+import tempfile
+import time
 from collections import defaultdict
 
 import pytest
@@ -40,39 +42,40 @@ def brute_spans(text):
 
 
 def brute_terms(docs):
-    """Terms flagged by the definition, document by document: {row number: {(start, end, action)}}."""
-    near, holds, with_term = defaultdict(set), defaultdict(set), defaultdict(set)
-    mentions, n = [], len(docs)
-    term = re.compile(r"[^\W\d_]{3,}")
-    keys = [(i, t) for i, t in docs]
+    """Terms flagged by the definition, over whole documents: {row number: [(start, end, action)]}."""
+    holds, with_term, words = defaultdict(set), defaultdict(set), []
+    n, term = len(docs), re.compile(r"[^\W\d_]{3,}")
     for row, (i, t) in enumerate(docs):
-        t = t or ""
-        for w in set(term.findall(t.lower())):
+        blank = BASE["email"].sub(lambda m: " " * len(m[0]), t or "")
+        words.append([(m[0].lower(), m.start(), m.end()) for m in term.finditer(blank)])
+        for w, *_ in words[-1]:
             with_term[w].add(row)
-        base = brute_spans(t)
-        for k, s, e in base:
-            v = t[s:e]
-            ent = f"{k}:" + (v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v))
-            for lo, hi in ((max(0, s - pii.NEAR), s), (e, min(len(t), e + pii.NEAR))):
-                for m in term.finditer(t[lo:hi]):
-                    a, b = lo + m.start(), lo + m.end()
-                    if (hi == s and lo > 0 and m.start() == 0) or (lo == e and hi < len(t) and m.end() == hi - lo):
-                        continue
-                    if any(x < b and a < y for _, x, y in base):
-                        continue
-                    mentions.append((row, ent, m[0].lower(), a, b))
-                    near[ent, m[0].lower()].add(keys[row])
-                    holds[ent].add(keys[row])
-    out = defaultdict(dict)
-    for row, ent, w, a, b in mentions:
-        n_et, n_e, n_t = len(near[ent, w]), len(holds[ent]), max(len(with_term[w]), len(near[ent, w]))
-        if n_et < pii.MIN_SUPPORT or n_e >= n:
-            continue
-        reveals = math.log(n_et * n / (n_e * n_t)) / math.log(n / n_e)
-        if reveals >= pii.GENERALISE_AT - 1e-12:
-            action = "remove" if reveals >= pii.REMOVE_AT else "generalise"
-            out[row][a, b] = max(action, out[row].get((a, b), ""))
-    return out
+        for k, s, e in brute_spans(t):
+            v = (t or "")[s:e]
+            holds[f"{k}:" + (v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v))].add((i, t))
+    keys = [(i, t) for i, t in docs]
+    actions = {}
+    for w, at in with_term.items():
+        own = {keys[r] for r in at}
+        for e, where in holds.items():
+            n_et, n_e = len(own & where), len(where)
+            if n_et < pii.MIN_SUPPORT or n_e >= n or n_et * math.log(n / n_e) < pii.EVIDENCE:
+                continue
+            reveals = math.log(n_et * n / (n_e * max(len(at), n_et))) / math.log(n / n_e)
+            if reveals >= pii.GENERALISE_AT - 1e-12:
+                action = "remove" if reveals >= pii.REMOVE_AT else "generalise"
+                actions[w] = max(action, actions.get(w, ""))
+    return {row: [(a, b, actions[w]) for w, a, b in ws if w in actions] for row, ws in enumerate(words)}
+
+
+def brute_sanitised(text, terms):
+    marks = sorted([(a, b, f"[{k.upper()}]") for k, a, b in brute_spans(text)]
+                   + [(a, b, "" if act == "remove" else "[TERM]") for a, b, act in terms])
+    out, at = "", 0
+    for a, b, by in marks:
+        if b > at:
+            out, at = out + text[at:max(a, at)] + by, b
+    return out + (text or "")[at:]
 
 
 def spelled(spans):
@@ -85,8 +88,10 @@ def check(rows, docs):
     for row, (i, t) in enumerate(docs):
         base = brute_spans(t)
         n = [sum(k == kind for k, *_ in base) for kind in pii.KINDS]
-        terms = [("term", a, b) for a, b in sorted(flagged[row])]
-        want.append((i, *n, hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(base + terms)))
+        terms = [("term", a, b) for a, b, _ in flagged[row]]
+        want.append((i, *n, hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(base + terms),
+                     ",".join(x[2] for x in flagged[row]),
+                     hashlib.sha256(brute_sanitised(t, flagged[row]).encode()).hexdigest()))
     assert sorted(rows, key=str) == sorted(want, key=str)
 
 
@@ -135,27 +140,69 @@ def test_terms_that_give_an_entity_away(spark):
     rows = queries_of(spark, docs)
     check(rows, docs)
     by_id = {r[0]: r[6] for r in rows}
-    assert "term" in by_id[0] and "term" not in by_id[10]
+    assert "term" in by_id[0] and "term" not in by_id[20]
+    alone = next(r for r in rows if r[0] is None and r[6])      # the term without its entity goes, too
+    assert alone[5] == hashlib.sha256(b"").hexdigest() and alone[7] in ("remove", "generalise")
 
 
 def queries_of(spark, docs):
-    from pyspark.sql import functions as F
+    return query_rows(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+
+
+def query_rows(spark, df):
+    folder = tempfile.mkdtemp(prefix="scrubspark-test-pii-")
+    df.write.parquet(f"{folder}/documents.parquet")
+    return [tuple(r) for r in queries.QUERIES["op1_pii_disclosure"](spark, folder).collect()]
+
+
+def test_random_corpora(spark):
+    r = random.Random(13)
+    people = [f"p{k}@mail{k % 3}.example" for k in range(6)] + ["10.0.0.7", "+1 555 010 9999"]
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(60)]
+    docs = []
+    for i in range(150):
+        who = r.randrange(len(people) * 3)
+        words = [r.choice(vocabulary) for _ in range(r.randrange(3, 30))]
+        if who < len(people):
+            words += [people[who], f"secret{'xyz'[who % 3]}", f"Team{'kl'[who % 2]}", people[who]]
+        elif r.random() < 0.1:
+            words.append("secretx")
+        r.shuffle(words)
+        docs.append((i, " ".join(words)))
+    docs += [docs[3], docs[3]]
+    rows = queries_of(spark, docs)
+    check(rows, docs)
+    assert sum(bool(x[7]) for x in rows) > 5
 
-    a = pii.analyse(spark.createDataFrame(docs, "doc_id long, text string"))
-    return [tuple(r) for r in a.select("doc_id", *[F.size(k) for k in pii.KINDS], F.sha2(pii.span_text(), 256),
-                                       pii.span_text(terms=True)).collect()]
+
+def test_very_many_entities_in_one_text(spark):
+    """Copies of an address list, 20,000 entities long: time grows about as the list does, and entities of the same documents are one."""
+    took = []
+    for n in (1_000, 10_000):
+        dump = "\n".join(f"Name{k % 700} user{k}@host{k % 50}.example phone +1 555 {k:07d}" for k in range(n))
+        docs = [(1, dump), (2, dump + " end"), *[(i, f"plain words number {i}") for i in range(3, 60)]]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        began = time.perf_counter()
+        rows = {r[0]: r for r in query_rows(spark, df)}
+        took.append(time.perf_counter() - began)
+        assert rows[1][1] == n and rows[1][4] == n and rows[3][6] == ""
+        assert rows[1][8] == hashlib.sha256(brute_sanitised(dump, brute_terms(docs)[0]).encode()).hexdigest()
+    assert took[1] < 10 * took[0] and took[1] < 90, took
 
 
 def test_sanitised_text(spark):
     docs = revealing()
     out = {r[0]: r[1] for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert "someone" not in out[0] and "[EMAIL]" in out[0] and "quokka" not in out[0] and "common words" in out[0]
-    assert out[10] == docs[3][1]
+    assert "numbat" in out[0] and out[20] == docs[6][1]      # with as many documents without the entity: kept
     assert len(out) == len({i for i, _ in docs})
 
 
 def test_odd_rows(spark, odd, odd_rows, nothing):
-    assert pii.analyse(odd).count() == len(odd_rows) and pii.sanitise(odd).count() == len(odd_rows)
+    docs = [r[:2] for r in odd_rows]
+    check(query_rows(spark, odd.toDF("doc_id", "TEXT2", "text", "lang", "source", "Doc_Id2")), docs)
+    assert sorted([r[0] for r in pii.analyse(odd).collect()], key=str) == sorted([r[0] for r in odd_rows], key=str)
+    assert pii.sanitise(odd).count() == len(odd_rows)
     assert pii.analyse(nothing).count() == 0 and pii.sanitise(nothing).count() == 0
 
 

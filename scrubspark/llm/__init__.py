@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators, their registered queries and SQL.
+"""Training-data operators: thirteen corpus operators, their registered queries and SQL.
 
 Nothing outside this package imports it; ``__spark_entry__`` adds its queries when it is there.
 """

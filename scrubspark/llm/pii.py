@@ -39,7 +39,7 @@ EVIDENCE = 7.0       # and the natural logarithm of the odds against all of them
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 SMALL = 100_000      # rows of a table that is broadcast, at most
 HOT = 1_000          # entities in over 1 / HOT of all mentions are joined by broadcast: so many at most
-BLOCK = 256          # matches placed together
+BLOCK = 64           # matches placed together
 SPAN = "array<struct<start:int,end:int,value:string>>"
 MARK = "array<struct<start:int,end:int,action:string>>"
 
@@ -202,8 +202,9 @@ def _marked(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     n = flagged.count()
     if not n:
         return docs.where("false").select(ID_KEY, TEXT_KEY, F.array().cast(MARK).alias("terms"))
-    # first the documents that may hold one, by their distinct words; words are placed in those alone
-    some = _among(docs.select("*", F.explode(_words(F.col("text"))).alias("term")), "term", flagged)
+    # first the documents that hold one, by their distinct words; words are placed in those alone
+    words = docs.select(ID_KEY, TEXT_KEY, F.explode(_words(F.col("text"))).alias("term"))
+    some = _among(words, "term", flagged).join(_sized(flagged), "term", "left_semi")
     some = docs.join(some.select(ID_KEY, TEXT_KEY).distinct(), [ID_KEY, TEXT_KEY], "left_semi").dropDuplicates(
         [ID_KEY, TEXT_KEY])
     b = some.withColumn("b", _blanked(F.col("text")))

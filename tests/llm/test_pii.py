@@ -201,7 +201,7 @@ def test_sanitised_text(spark):
 def test_odd_rows(spark, odd, odd_rows, nothing):
     docs = [r[:2] for r in odd_rows]
     check(query_rows(spark, odd.toDF("doc_id", "TEXT2", "text", "lang", "source", "Doc_Id2")), docs)
-    assert sorted([r[0] for r in pii.analyse(odd).collect()], key=str) == sorted([r[0] for r in odd_rows], key=str)
+    assert sorted([r.doc_id for r in pii.analyse(odd).collect()], key=str) == sorted([r[0] for r in odd_rows], key=str)
     assert pii.sanitise(odd).count() == len(odd_rows)
     assert pii.analyse(nothing).count() == 0 and pii.sanitise(nothing).count() == 0
 

@@ -29,7 +29,7 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("args", T.StringType()), T.StructField("outcome", T.StringType()),
     T.StructField("message", T.StringType()), T.StructField("rows_before", T.LongType()),
     T.StructField("rows_after", T.LongType()), T.StructField("cells_changed", T.LongType()),
-    T.StructField("written_at", T.TimestampNTZType()),
+    T.StructField("values", T.MapType(T.StringType(), T.DoubleType())), T.StructField("written_at", T.TimestampNTZType()),
 ])
 
 #: Steps that rewrite the cells of one column: the audit says how many cells came out different.
@@ -81,14 +81,15 @@ class RecipeResult:
         """One row per step; the counts are set once the table was computed (``write``).
 
         ``cells_changed`` counts the cells of the step's column that differ from before, in the
-        rows that are left; null for steps that rewrite no column's cells.
+        rows that are left; null for steps that rewrite no column's cells. ``values`` names what a step put in
+        or cut off at (``fill``; ``lower`` and ``upper``), where it is a number fitted to the data or a bound.
         """
         out = []
         current = self.rows.get(-1)
         for r in self.records:
             after = self.rows.get(r["step"], current)
             out.append((r["step"], r["operator"], r["args"], r["outcome"], r["message"], current, after,
-                        self.cells.get(r["step"]), self.written_at))
+                        self.cells.get(r["step"]), r.get("values"), self.written_at))
             current = after
         return self.df.sparkSession.createDataFrame(out, AUDIT_SCHEMA)
 
@@ -144,13 +145,28 @@ def _prefit(df: DataFrame, steps: list[dict], start: int, seen: set[tuple]) -> d
         else:
             reqs.append((c, 0.5))
             plan[j] = ("median", c)
-    if len(plan) < 2:
+    if not plan:
         return {}
     q, m = stats.fit(df, reqs, means)
     return {j: (m[c] if kind == "mean" else q[(c, 0.5)] if kind == "median" else (q[(c, 0.25)], q[(c, 0.75)]))
             for j, (kind, c) in plan.items()}
 
 
+def _values(name: str, args: dict, fit) -> dict[str, float] | None:
+    """What a step put in or cut off at, as numbers: the fill value, or the bounds."""
+    def shown(**values) -> dict[str, float] | None:
+        return {k: float(v) for k, v in values.items() if v is not None} or None
+
+    if name == "handle_outliers" and fit is not None:
+        (q1, q3), k = fit, args.get("iqr_multiplier", 1.5)
+        return None if q1 is None else shown(lower=q1 - k * (q3 - q1), upper=q3 + k * (q3 - q1))
+    if name == "handle_missing_values":
+        return shown(fill=fit)
+    if name == "clip_numeric_range":
+        return shown(lower=args.get("min_value"), upper=args.get("max_value"))
+    return None
+
+
 def _apply_fitted(df: DataFrame, name: str, args: dict, value) -> DataFrame:
     if name == "handle_outliers":
         return cells.cap_outliers(df, args["column"], args.get("iqr_multiplier", 1.5), fitted=value)
@@ -187,7 +203,7 @@ def run_recipe(df: DataFrame, steps: list[dict], max_steps: int | None = None) -
                 column = resolve_column(current, args["column"]) if name in CELL_STEPS else None
                 current = apply(current)
                 result.applied.append((rec, apply, column))
-                rec.update(outcome="Success", message="applied")
+                rec.update(outcome="Success", message="applied", values=_values(name, args, fitted.get(i)))
             elif name in ANALYSES:
                 validate_call(ANALYSES[name], args, name)
                 result.reports[i] = ANALYSES[name](current, **args)

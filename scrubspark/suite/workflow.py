@@ -86,6 +86,26 @@ def recipe_audit_cells(spark, sf):
     return spark.read.parquet(log).select("step", "cells_changed", "rows_after")
 
 
+VALUE_AUDIT_STEPS = [
+    {"name": "handle_missing_values", "args": {"column": "acctbal", "strategy": "median"}},
+    {"name": "handle_outliers", "args": {"column": "acctbal", "method": "cap", "iqr_multiplier": 0.5}},
+    {"name": "clip_numeric_range", "args": {"column": "acctbal", "min_value": 0}},
+    {"name": "handle_missing_values", "args": {"column": "segment_gap", "strategy": "drop_rows"}},
+]
+
+
+@register("recipe_audit_values", with_views("dirty_customer") + """
+, m AS (SELECT quantile_cont(acctbal, 0.5) AS med FROM dirty_customer),
+f AS (SELECT coalesce(acctbal, med) AS v FROM dirty_customer, m),
+q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM f)
+SELECT 0 AS step, round(med, 6) AS fill, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper FROM m
+UNION ALL SELECT 1, NULL, round(q1 - 0.5::DOUBLE * (q3 - q1), 6), round(q3 + 0.5::DOUBLE * (q3 - q1), 6) FROM q
+UNION ALL SELECT 2, NULL, 0, NULL UNION ALL SELECT 3, NULL, NULL, NULL""")
+def recipe_audit_values(spark, sf):
+    res = recipe.run_recipe(view(spark, sf, "dirty_customer"), VALUE_AUDIT_STEPS)
+    return res.audit().select("step", *[F.round(F.col("values")[k], 6).alias(k) for k in ("fill", "lower", "upper")])
+
+
 # --- versions -------------------------------------------------------------------------
 
 @register("version_diff", with_views("dup_orders") + """

@@ -5,7 +5,7 @@ def load_all() -> None:
     """Import every check module so its queries register."""
     import importlib
 
-    for mod in ("cleaning", "reports", "workflow", "texts"):
+    for mod in ("cleaning", "reports", "workflow", "texts", "states"):
         try:
             importlib.import_module(f"scrubspark.suite.{mod}")
         except ModuleNotFoundError as e:

@@ -15,7 +15,9 @@ The benchmark is read in blocks of bounded size; each block goes over all docume
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
+from functools import cache
 from itertools import repeat
 from math import ceil
 
@@ -26,12 +28,16 @@ from pyspark.sql import functions as F
 
 from scrubspark.llm.common import pick
 
-#: ASCII other than letters and digits separates words; all other characters belong to them
+#: How the Unicode names of scripts without spaces between words start. Each code point is a word there.
+UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "HALFWIDTH KATAKANA", "BOPOMOFO", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN")
+FEW = 8                   # kinds of characters that are replaced one after the other, not by a table
+
+#: ASCII other than letters and digits separates words
 _SEPARATE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 RUN_BITS = 22             # size of the hashed sets of two- and three-word runs (a collision keeps a window)
 OWN_BITS = 16             # likewise, for the three-word runs of the items of one length
 BLOCK_BYTES = 8 << 20     # of benchmark text that is broadcast at a time
-MIN_WORDS = 5             # shorter items are too common to look for
+MIN_WORDS = 2             # a single word is nobody's passage; up to four words must stand as they are (bound 0)
 SIMILARITY = 0.8          # an item of m words may differ by (1 - SIMILARITY) m word edits
 TARGET_RECALL = 0.99
 PLACES = 2                # sampled places per table
@@ -42,8 +48,28 @@ CHUNK = 1 << 20           # words worked on at once
 WINDOWS = 1 << 16         # windows embedded at once
 
 
+@cache
+def _parted(c: str) -> str | None:
+    """What stands for a character outside ASCII before words are split; None: itself, as part of a word."""
+    category = unicodedata.category(c)
+    if category[0] in "PSZ" or category == "Cc":
+        return " "
+    if category == "Cf":                # soft hyphens, joiners
+        return ""
+    return f" {c} " if unicodedata.name(c, "").startswith(UNSPACED) else None
+
+
 def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SEPARATE).split()
+    """The words of a text, lowered: runs of letters, digits and marks; in scripts without spaces, code points."""
+    t = (text or "").lower()
+    if not t.isascii():
+        parted = {c: p for c in set(t) if c > "\x7f" and (p := _parted(c)) is not None}
+        if len(parted) <= FEW:
+            for c, p in parted.items():
+                t = t.replace(c, p)
+        else:
+            t = t.translate(str.maketrans(parted))
+    return t.encode("utf-8", "surrogatepass").translate(_SEPARATE).split()
 
 
 def _runs(x: np.ndarray, q: int) -> np.ndarray:
@@ -149,12 +175,13 @@ def infix_distance(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray,
 class Index:
     """A block of benchmark items ``[(item_id, text)]``, ready to be met by documents."""
 
-    def __init__(self, items: list[tuple], similarity: float, target: float, seed: int):
+    def __init__(self, items: list[tuple], similarity: float, target: float, seed: int,
+                 min_words: int = MIN_WORDS):
         self.vocabulary: dict[bytes, int] = {}
         by_length = defaultdict(list)
         for item_id, text in items:
             w = words(text)
-            if len(w) >= MIN_WORDS:
+            if len(w) >= max(min_words, 2):
                 by_length[len(w)].append((item_id, [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w]))
         self.classes = []
         for m, of in sorted(by_length.items()):
@@ -278,11 +305,11 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
 
 def leak_columns(spark, benchmark: DataFrame, text: Column, item_col: str = "item_id", text_col: str = "text",
                  similarity: float = SIMILARITY, target: float = TARGET_RECALL, block_bytes: int = BLOCK_BYTES,
-                 seed: int = 11) -> list[Column]:
+                 seed: int = 11, min_words: int = MIN_WORDS) -> list[Column]:
     """Per benchmark block, an array of ``item_id, distance, first_word`` of the items found in ``text``.
 
-    Words are runs of letters and digits, lowered. Items of fewer than MIN_WORDS words are not
-    looked for; a null text holds nothing. Items that share an id count as one.
+    Words as ``words`` gives them. Items of one word or of fewer than ``min_words`` are not looked for; a null
+    text holds nothing. Items that share an id count as one in a block.
     """
     def find_in(shared):
         @F.pandas_udf("item_id array<long>, distance array<int>, first_word array<int>")
@@ -295,7 +322,7 @@ def leak_columns(spark, benchmark: DataFrame, text: Column, item_col: str = "ite
 
     out = []
     for items in blocks(benchmark, item_col, text_col, block_bytes):
-        found = find_in(spark.sparkContext.broadcast(Index(items, similarity, target, seed)))
+        found = find_in(spark.sparkContext.broadcast(Index(items, similarity, target, seed, min_words)))
         out.append(F.arrays_zip(found["item_id"].alias("item_id"), found["distance"].alias("distance"),
                                 found["first_word"].alias("first_word")))
     return out
@@ -303,13 +330,28 @@ def leak_columns(spark, benchmark: DataFrame, text: Column, item_col: str = "ite
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   **options) -> DataFrame:
-    """``doc_id, item_id, distance, first_word``: one row per row of ``docs`` and item found in it."""
+    """``doc_id, item_id, distance, first_word``: one row per row of ``docs`` and item found in it.
+
+    Items that share an id count as one, in whichever blocks they lie: the nearest is given, of those as near the first.
+    ``first_word`` is that of the window in which the item was found, within twice the edit bound of the passage's own.
+    """
     d = pick(docs, id_col, text_col).toDF("doc_id", "text")
+    columns = leak_columns(docs.sparkSession, benchmark, F.col("text"), **options)
+    if len(columns) == 1:
+        return (d.select("doc_id", columns[0].alias("l")).select("doc_id", F.explode("l").alias("l"))
+                .select("doc_id", "l.*"))
     parts = None
-    for c in leak_columns(docs.sparkSession, benchmark, F.col("text"), **options):
-        one = d.select("doc_id", c.alias("l")).select("doc_id", F.explode("l").alias("l")).select("doc_id", "l.*")
+    for block, c in enumerate(columns):
+        one = d.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
+                       F.lit(block).alias("block"), c.alias("l"))
+        one = one.select("doc_id", "h1", "h2", "block", F.explode("l").alias("l")).select("doc_id", "h1", "h2", "block", "l.*")
         parts = one if parts is None else parts.unionByName(one)
-    return parts
+    # rows of one id and text give the same in every block, so how often they come is known from any
+    row = ["doc_id", "h1", "h2", "item_id"]
+    nearest = F.min(F.struct("distance", "first_word")).alias("l")
+    found = parts.groupBy(*row, "block").agg(nearest, F.count(F.lit(1)).alias("n"))
+    found = found.groupBy(*row).agg(F.min("l").alias("l"), F.max("n").alias("n"))
+    return found.select("doc_id", "item_id", "l.distance", "l.first_word", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

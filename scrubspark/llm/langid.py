@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts come from a bounded, seeded sample of labelled documents; the log-probability matrix
-(languages x buckets, a fixed size per language) is broadcast, and texts are scored in numpy, batch
-by batch, touching only the buckets that a text has.
+Counts come from all labelled documents, or from a bounded, seeded sample of them where a caller sets
+its size; the log-probability matrix (languages x buckets, a fixed size per language) is broadcast, and
+texts are scored in numpy, batch by batch, touching only the buckets that a text has.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubspark.llm.common import pick
+from scrubspark.session import materialize
 
 ORDERS = 3               # n-grams of 1, 2 and 3 characters
 BUCKETS = 1 << 16
@@ -23,8 +24,8 @@ PIECE = 1 << 18          # characters worked on at once
 MAX_LANGS = 1024         # 256 MB of log-probabilities; more raises
 TRAIN_DOCS_PER_LANG = 5_000
 UNKNOWN = "und"
-FLOOR_DOCS_PER_LANG = 2_000
 FLOOR_SHARE = 0.01       # of the documents that a language's least mean log-likelihood is read off
+SKETCH = 10_000          # accuracy of the quantiles that bracket the exact one
 MIN_FLOOR_DOCS = 100     # languages with fewer take the quantile of all
 MARGIN, SPREAD = 0.3, 12.0  # below that quantile a text of n n-grams may still lie by MARGIN + SPREAD / sqrt(n)
 
@@ -105,10 +106,10 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG, alpha: float = 0.5) -> Model | None:
+def fit(labelled: DataFrame, docs_per_lang: int | None = TRAIN_DOCS_PER_LANG, alpha: float = 0.5) -> Model | None:
     """Learn from ``labelled (id, text, lang)``; rows without a language or text teach nothing.
 
-    About ``docs_per_lang`` documents of each language are read (chosen by a seeded hash of the id),
+    About ``docs_per_lang`` documents of each language are read (chosen by a seeded hash of the id; None: all),
     whole; priors come from all of them. None if there is nothing to learn from.
     """
     d = pick(labelled, "id", "text", "lang").where("lang is not null and text is not null")
@@ -118,9 +119,10 @@ def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG, alpha: fl
     if len(n_of) > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages: the broadcast matrix would have no useful bound")
     langs = sorted(n_of)
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n_of[k])))])
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 30)) / (1 << 30)
-    sample = d.where(u < F.element_at(share, F.col("lang"))).select("lang", "text")
+    if docs_per_lang is not None:
+        share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n_of[k])))])
+        u = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 30)) / (1 << 30)
+        d = d.where(u < F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, np.ndarray] = {}
@@ -134,7 +136,7 @@ def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG, alpha: fl
             at = np.flatnonzero(c[:BUCKETS])
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": c[at]})
 
-    counts = (sample.mapInPandas(count, "lang string, bucket int, n long")
+    counts = (d.select("lang", "text").mapInPandas(count, "lang string, bucket int, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())  # at most MAX_LANGS x BUCKETS rows
     c = np.zeros((len(langs), BUCKETS))
     c[np.searchsorted(langs, counts["lang"].to_numpy(str)) if len(counts) else [], counts["bucket"]] = counts["n"]
@@ -145,13 +147,8 @@ def fit(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS_PER_LANG, alpha: fl
 
 def floors(labelled: DataFrame, model: Model) -> np.ndarray | None:
     """Per language of ``model``, the FLOOR_SHARE quantile of the mean log-likelihood of its n-grams in that
-    language's own documents, from a bounded sample of ``labelled (id, text, lang)`` that ``model`` wasn't fitted on."""
+    language's own documents, from all of ``labelled (id, text, lang)``, on which ``model`` wasn't fitted."""
     d = pick(labelled, "id", "text", "lang").where(F.col("lang").isin(model.langs) & F.col("text").rlike(r"\p{L}"))
-    n_of = {r[0]: r[1] for r in d.groupBy("lang").count().collect()}  # at most MAX_LANGS rows
-    if not n_of:
-        return None
-    share = F.create_map(*[x for k, n in n_of.items() for x in (F.lit(k), F.lit(min(1.0, FLOOR_DOCS_PER_LANG / n)))])
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("floors")), F.lit(1 << 30)) / (1 << 30)
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,13 +158,35 @@ def floors(labelled: DataFrame, model: Model) -> np.ndarray | None:
             k = np.searchsorted(m.langs, pdf["lang"].to_numpy(str))
             yield pd.DataFrame({"lang": pdf["lang"], "mean": (total[np.arange(len(pdf)), k] - m.prior[k]) / np.maximum(n, 1)})
 
-    found = d.where(u < F.element_at(share, F.col("lang"))).select("lang", "text").mapInPandas(
-        means, "lang string, mean double").rollup("lang").agg(
-        F.count("*").alias("n"), F.percentile_approx("mean", FLOOR_SHARE, 10_000).alias("q")).collect()
-    q = {r.lang: r.q for r in found if r.q is not None and (r.lang is None or r.n >= MIN_FLOOR_DOCS)}
+    found = _quantiles(materialize(d.select("lang", "text").mapInPandas(means, "lang string, mean double"),
+                                   "langid-means"), FLOOR_SHARE)
+    q = {k: v for k, (n, v) in found.items() if k is None or n >= MIN_FLOOR_DOCS}
     return np.array([q.get(k, q[None]) for k in model.langs]) if None in q else None
 
 
+def _quantiles(scored: DataFrame, p: float) -> dict[str | None, tuple[int, float]]:
+    """Rows and exact ``p`` quantile (the value of rank ceil(p * rows)) of ``scored (lang, mean)`` by language,
+    and of all rows under None.
+
+    Sketched quantiles on both sides bracket the rank. Values under the bracket are counted, only the distinct
+    ones within it are ranked; a bracket that misses its rank is tried again, wider.
+    """
+    each = scored.select(F.explode(F.array("lang", F.lit(None))).alias("lang"), "mean")
+    margin = 3.0 / SKETCH
+    while True:
+        at = F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin)))
+        b = each.groupBy(F.col("lang").alias("of")).agg(
+            F.count("*").alias("n"), F.percentile_approx("mean", at, SKETCH).alias("ends"))
+        cells = each.join(F.broadcast(b), F.col("lang").eqNullSafe(F.col("of"))).where("mean <= ends[1]").groupBy(
+            "lang", "n", F.when(F.col("mean") >= F.col("ends")[0], F.col("mean")).alias("v")).agg(F.count("*").alias("c"))
+        upto = Window.partitionBy("lang").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        found = cells.withColumn("cum", F.sum("c").over(upto)).groupBy("lang", "n").agg(F.min(F.when(
+            F.col("cum") >= F.ceil(F.col("n") * p), F.struct("cum", "v"))).alias("first")).collect()  # a row per language
+        if margin >= 1 or all(r["first"] is not None and r["first"].v is not None for r in found):
+            return {r.lang: (r.n, r["first"].v) for r in found}
+        margin *= 10
+
+
 def predict_column(spark, model: Model | None, text: Column) -> Column:
     """``struct<lang_pred string, score double>`` of a text column: a learned language, or ``und`` with
     score 0 for a null text, a text without a letter, or if nothing was learned."""
@@ -206,9 +225,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def drop_unidentified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
                       lang_col: str = "lang") -> DataFrame:
     """``docs`` without the documents whose language can't be told: ``und``, a posterior under ``min_score``, or
-    n-grams that are unlikely even in the best language, by the labelled documents that are held out."""
+    n-grams that are unlikely even in the best language, by the labelled documents that are held out.
+
+    All labelled documents count: those not held out in the model, the others in its floors."""
     d = pick(docs, id_col, text_col, lang_col).toDF("id", "text", "lang")
-    model = fit(d.where(~held_out_column(F.col("id"))))
+    model = fit(d.where(~held_out_column(F.col("id"))), docs_per_lang=None)
     if model is not None:
         model.floor = floors(d.where(held_out_column(F.col("id"))), model)
     cols = docs.columns
